@@ -1,0 +1 @@
+"""No streaming operators: every capability of this engine is a batch plan."""
