@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from epitide import schema
 
@@ -154,14 +154,52 @@ def usage_class(topic: Column | str, code: Column | str, name: Column | str) ->
     )
 
 
+def discover_topics(df: DataFrame, code: str, name: str, topics: dict[str, list[str]]) -> DataFrame:
+    """Catalog entries per topic: any keyword in code or name, one row per (topic, code).
+
+    All topics are tested in one pass over the row; only hits become rows.
+    """
+    blob = F.concat_ws(" ", F.col(code), F.coalesce(F.col(name), F.lit("")))
+    hits = F.array(*(F.when(matches_any_term(blob, words), F.lit(topic)) for topic, words in topics.items()))
+    rows = df.where(blank_to_null(code).isNotNull()).select(code, name, F.explode(F.array_compact(hits)).alias("topic"))
+    return rows.groupBy("topic", code).agg(F.max(name).alias(name))
+
+
+def link_candidates(df: DataFrame, url: str, html: str, keywords: list[str], host_suffix: str) -> DataFrame:
+    """Links whose text holds a keyword and whose host ends with the suffix, one row per target."""
+    rows = df.select(F.col(url).alias("_base"), F.explode(anchors(html)).alias("_a"))
+    wanted = reduce(lambda a, b: a | b, (F.col("_a.text").contains(k) for k in keywords))
+    found = rows.where(wanted).select(resolve_link("_base", "_a.href").alias("detail_url"), F.col("_a.text").alias("anchor_title"))
+    host = F.regexp_extract("detail_url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    return found.where(host.endswith(host_suffix)).groupBy("detail_url").agg(F.max("anchor_title").alias("anchor_title"))
+
+
+def attachment_links(url: Column | str, html: Column | str) -> Column:
+    """Sorted unique absolute links to documents."""
+    hrefs = F.transform(anchors(html), lambda a: resolve_link(url, a["href"]))
+    return F.array_sort(F.array_distinct(F.filter(hrefs, lambda h: h.rlike(schema.ATTACHMENT_PATTERN))))
+
+
 def page_role(url: Column | str) -> Column:
     return F.when(_col(url).endswith("/"), "listing").otherwise("detail")
 
 
+# Character references met in report pages; the ampersand is decoded last.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+HIDDEN_HTML = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+
+
+def decode_entities(c: Column) -> Column:
+    for entity, char in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def strip_tags(html: Column | str) -> Column:
     """Visible text: scripts, styles and comments dropped, tags to line breaks."""
-    body = F.regexp_replace(_col(html), r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(body, "(?s)<[^>]*>", "\n"), r"\s*\n\s*", "\n"))
+    body = F.regexp_replace(_col(html), HIDDEN_HTML, "")
+    lines = F.regexp_replace(F.regexp_replace(body, "(?s)<[^>]*>", "\n"), r"\s*\n\s*", "\n")
+    return decode_entities(F.regexp_replace(lines, r"^\s+|\s+$", ""))
 
 
 def page_title(html: Column | str) -> Column:
@@ -170,7 +208,7 @@ def page_title(html: Column | str) -> Column:
 
     def inner(pattern: str) -> Column:
         text = F.regexp_replace(F.regexp_extract(html, pattern, 1), "(?s)<[^>]*>", " ")
-        return blank_to_null(F.regexp_replace(text, r"\s+", " "))
+        return decode_entities(blank_to_null(F.regexp_replace(text, r"\s+", " ")))
 
     return F.coalesce(
         inner(r"(?is)<h[12][^>]*>(.*?)</h[12]>"), inner(r"(?is)<title[^>]*>(.*?)</title>"), F.lit("")

@@ -75,16 +75,16 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int = 200) -> DataFrame:
     """Several top-n rankings of the same rows, missing values counted as 0.
 
-    The rank filter is pushed below the shuffle as a partial group limit.
+    Rows are tagged once per ranking in one pass; the rank filter becomes a group limit inside each
+    task, so at most n rows per ranking and task are shuffled.
     """
-    ranked = []
-    for name, col in measures.items():
-        score = F.coalesce(F.col(col), F.lit(0.0))
-        w = Window.partitionBy("ranking").orderBy(score.desc(), *(F.col(t) for t in ties))
-        ranked.append(
-            df.withColumn("ranking", F.lit(name)).withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
-        )
-    return union_all(ranked)
+    scores = [
+        F.struct(F.lit(name).alias("ranking"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("_score"))
+        for name, c in measures.items()
+    ]
+    tagged = df.select("*", F.inline(F.array(*scores)))
+    w = Window.partitionBy("ranking").orderBy(F.desc("_score"), *(F.col(t) for t in ties))
+    return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("_score")
 
 
 def series_documents(df: DataFrame, by: list[str], header: list[str], points: list[str], date: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from epitide import schema
 from epitide.functions import measures
 from epitide.operators import aggregates, windows
+from epitide.sources import scratch
 
 
 def risk_score(
@@ -17,9 +18,14 @@ def risk_score(
 
     Rate, positive growth and forecast are min-max scaled per disease, weighted, and the composite is
     scaled again. A disease with fewer than two regions or a constant composite is not comparable.
+
+    The scaling reads the latest rows several times, so they are written once: one small row per
+    series instead of several passes over the gold table.
     """
     columns = ["value", "cases_per_million", "growth_rate_7", "prediction_t_plus_7", "rolling_mean_7", *keep]
-    latest = aggregates.latest_per_series(features, ["location_code", by], "date", columns)
+    latest = scratch.materialise(
+        aggregates.latest_per_series(features, ["location_code", by], "date", columns), "latest-rows"
+    )
     rows = latest.withColumns({
         "recent_cases_per_million": F.coalesce("cases_per_million", "value"),
         "forecast_cases": F.coalesce("prediction_t_plus_7", "rolling_mean_7", "value"),

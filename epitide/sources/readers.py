@@ -25,7 +25,7 @@ def read_glob(spark: SparkSession, root: str, layout: T.StructType, pattern: str
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV; reads the first line only."""
-    return spark.read.option("header", True).option("samplingRatio", 0.0001).csv(path).columns
+    return spark.read.option("header", True).csv(path).columns
 
 
 def read_tolerant(
