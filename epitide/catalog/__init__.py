@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "storage", "combining", "summarising", "sequencing", "assembling")
+MODULES = ("scalars", "storage", "combining", "summarising", "sequencing", "assembling", "reporting", "modelling")
 
 
 def all_queries() -> list:

@@ -16,8 +16,8 @@ EPIDEMIC = ["location_key", "location_code", "location", "date", "total_cases",
 _PARSED = """select SNo, trim(country_region) as country, strptime(ObservationDate, '%m/%d/%Y')::date as date, nullif(trim(province_raw), '') as province, Confirmed, Deaths from v_reports"""
 _UNIQUE = f"select * from (select *, row_number() over (partition by country, province, date order by SNo desc) as rn from ({_PARSED})) where rn = 1"
 _LEVELS = f"select country, date, sum(Confirmed) as total_cases, sum(Deaths) as total_deaths, bool_or(province is null) and bool_or(province is not null) as conflict from ({_UNIQUE}) group by 1, 2"
-_COUNTRY = f"""select coalesce(mapped_code, 'UNMAPPED:' || coalesce(standard_name, country)) as location_key, mapped_code as location_code, coalesce(standard_name, country) as location, date, sum(total_cases) as total_cases, sum(total_deaths) as total_deaths, bool_or(conflict) as aggregation_conflict
-    from ({_LEVELS}) left join v_mapping on name = country group by 1, 2, 3, 4"""
+_COUNTRY = f"""select coalesce(mapped_code, 'UNMAPPED:' || coalesce(standard_name, country)) as location_key, mapped_code as location_code, min(coalesce(standard_name, country)) as location, date, sum(total_cases) as total_cases, sum(total_deaths) as total_deaths, bool_or(conflict) as aggregation_conflict
+    from ({_LEVELS}) left join v_mapping on name = country group by 1, 2, 4"""
 EPIDEMIC_SQL = f"""select *, case when new_cases_raw < 0 then 0 else new_cases_raw end as new_cases_clean, case when new_deaths_raw < 0 then 0 else new_deaths_raw end as new_deaths_clean, new_cases_raw < 0 as is_negative_case_correction, new_deaths_raw < 0 as is_negative_death_correction
     from (select *, coalesce(total_cases - lag(total_cases) over (partition by location_key order by date), total_cases) as new_cases_raw, coalesce(total_deaths - lag(total_deaths) over (partition by location_key order by date), total_deaths) as new_deaths_raw from ({_COUNTRY}))"""
 
@@ -126,10 +126,10 @@ def _(v):
     return cleaning.weekly_hospital(hospital_raw(v)).select("disease", "date", "value", "location_code", "frequency")
 
 
-@Q.add("pip07_percent_columns", "select w, location_code, round(case when x > 1 then x else x * 100 end, 4) as percent from (select cast(date + cast((6 - dayofweek(date)) as int) as date) as w, location_code, cast(sum(amount) as double) / count(*) / 1e6 as x from v_orders group by 1, 2)")
+@Q.add("pip07_percent_columns", "select w, location_code, round(case when x > 1 then x else x * 100 end, 8) as percent from (select cast(date + cast((6 - dayofweek(date)) as int) as date) as w, location_code, cast(sum(amount) as double) / count(*) / 1e6 as x from v_orders group by 1, 2)")
 def _(v):
     out = cleaning.percent_columns(hospital_raw(v).where("`Geographic aggregation` <> 'USA'"))
-    return out.select(F.to_date("Week Ending Date").alias("w"), F.col("Geographic aggregation").alias("location_code"), F.round("Percent Inpatient Beds Occupied", 4).alias("percent"))
+    return out.select(F.to_date("Week Ending Date").alias("w"), F.col("Geographic aggregation").alias("location_code"), F.round("Percent Inpatient Beds Occupied", 8).alias("percent"))
 
 
 YEARLY_POPULATION_SQL = """with s as (select coalesce(b.location_code, a.location_code) as location_code, coalesce(b.year, a.year) as year, coalesce(b.population, a.population) as population, case when b.year is not null then 'second' else 'first' end as source
@@ -241,7 +241,7 @@ def catalog(v):
     return cleaning.indicator_catalog(indicator_rows(v), CODES, YEAR_NOW)
 
 
-_RAW = """select *, cast(json_extract_string(props, '$.k') as int) as k, 'NA' || chr(65 + user_id % 25) as loc, day(ts) + 2000 as y,
+_RAW = """select *, cast(json_extract_string(props, '$.k') as int) as k, 'NA' || chr(cast(65 + user_id % 25 as int)) as loc, day(ts) + 2000 as y,
     case event_type when 'click' then 'HIV_0000000026' when 'view' then 'MDG_0000000029' when 'purchase' then 'TB_1' when 'signup' then 'TB_c_newinc' else 'EMFLIMIT' end as code,
     case event_type when 'click' then 'Number of new HIV infections' when 'view' then 'Prevalence of HIV among adults (%)' when 'purchase' then 'Tuberculosis treatment coverage' when 'signup' then 'Tuberculosis cases' else 'Magnetic flux density' end as name,
     case event_type when 'click' then 'count' when 'view' then 'percent' when 'purchase' then 'percent' when 'signup' then 'count' else 'unspecified' end as unit, 'file_' || (event_id % 3) as source_file,
@@ -249,7 +249,7 @@ _RAW = """select *, cast(json_extract_string(props, '$.k') as int) as k, 'NA' ||
 _TYPED = f"""select *, case when k = 13 then null else y end as yy, case when k >= 20 then cast(k as double) end as num, case when k >= 20 then cast(k as varchar) else 'No data' end as val, case when k > 50 then cast(k - 1 as double) end as low, case when k > 50 then cast(k + 1 as double) end as high,
     case when event_type in ('click', 'purchase') then user_id * 100 + day(ts) end as rid from ({_RAW})"""
 _KEYED = f"""select *, case when rid is not null then code || '|id:' || rid else code || '|COUNTRY|' || loc || '|' || coalesce(cast(yy as varchar), '') || '|' || case when sex is null then '||||||' else 'SEX|SEX_MLE|||||' end || coalesce(cast(num as varchar), '') || '|' || val end as key,
-    sha256(code || '|' || name || '|COUNTRY|' || loc || '|' || coalesce(cast(yy as varchar), '') || '|' || val || '|' || coalesce(cast(num as varchar), '') || '|' || coalesce(cast(low as varchar), '') || '|' || coalesce(cast(high as varchar), '') || '|' || unit || '|' || coalesce(sex, '') || '|||' || case when sex is null then '||||||' else 'SEX|SEX_MLE|||||' end || '|') as sig from ({_TYPED})"""
+    sha256(code || '|' || name || '|COUNTRY|' || loc || '|' || coalesce(cast(yy as varchar), '') || '|' || val || '|' || coalesce(cast(num as varchar), '') || '|' || coalesce(cast(low as varchar), '') || '|' || coalesce(cast(high as varchar), '') || '|' || unit || '|' || coalesce(sex, '') || '|||' || case when sex is null then '||||||' else 'SEX|SEX_MLE|||||' end) as sig from ({_TYPED})"""
 CATALOG_SQL = f"""select a.code as indicator_code, a.loc as location_code, a.yy as year, a.num as numeric_value_clean, a.low, a.high, a.unit, a.sex, a.topic as collector_topic, case a.event_type when 'click' then 'primary_hiv_observation' when 'error' then 'keyword_false_positive' else 'auxiliary_feature' end as usage_class,
     case when a.yy is null then 'invalid_year' when a.yy > {YEAR_NOW} then 'future_year' when a.event_type = 'error' then 'keyword_false_positive' when a.num is null then 'non_numeric_reference' when p.vc > 1 then 'duplicate_content_conflict_latest_kept' else 'ok' end as quality_flag,
     p.c as duplicate_source_count, p.files as duplicate_source_files, p.vc as duplicate_content_variant_count, p.vc > 1 as duplicate_content_conflict, a.loc <= 'NAT' as is_selected_country, a.name as indicator_name

@@ -110,7 +110,8 @@ class Views:
     def mapping(self) -> DataFrame:
         """Name mapping: African names are disabled; two names share one code."""
         return self.nations.select(
-            F.col("n_name").alias("name"), F.concat(F.lit("Std "), F.col("n_name")).alias("standard_name"),
+            F.col("n_name").alias("name"),
+            F.concat(F.lit("Std NATION_"), F.least("n_nationkey", F.lit(23))).alias("standard_name"),
             F.when(F.col("r_name") != "AFRICA", F.when(F.col("n_nationkey") == 24, "NAX").otherwise(code_of("n_nationkey"))).alias("mapped_code"),
         )
 
@@ -298,7 +299,7 @@ VIEW_SQL = {
         strftime(date, '%Y-%m-%d') || ' 10:00:00' as last_update_raw, cast(amount as double) as Confirmed,
         cast(o_custkey % 100 as double) as Deaths, cast(length(o_orderpriority) as double) as Recovered
         from v_orders join nation on nation = n_nationkey""",
-    "v_mapping": """select n_name as name, 'Std ' || n_name as standard_name,
+    "v_mapping": """select n_name as name, 'Std NATION_' || least(n_nationkey, 23) as standard_name,
         case when r_name <> 'AFRICA' then case when n_nationkey = 24 then 'NAX' else 'NA' || chr(65 + n_nationkey) end end as mapped_code from v_nations""",
     "v_locations": """select 'NA' || chr(65 + n_nationkey) as location_code, n_name as location, r_name as representative_city,
         cast(n_nationkey * 3 - 36 as varchar) as latitude, cast(n_nationkey * 10 - 120 as varchar) as longitude,

@@ -40,15 +40,6 @@ def target_date(date: Column | str, frequency: Column | str, steps: Column | str
     )
 
 
-def step_number(date: Column | str, frequency: Column | str) -> Column:
-    """Integer axis on which one period is one step, for exact-date range frames.
-
-    Days are counted in days; weeks in days too (a shift of one week is 7); years in years.
-    """
-    date, frequency = _col(date), _col(frequency)
-    return F.when(frequency == "annual", F.year(date)).otherwise(F.unix_date(date))
-
-
 def day_of_week(date: Column | str) -> Column:
     """Monday is 1, Sunday is 7."""
     return F.weekday(_col(date)) + 1

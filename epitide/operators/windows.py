@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from epitide import schema
 from epitide.functions import measures
-from epitide.functions.calendar import step_number
 
 
 def series_window(by: list[str], order: str | Column) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
 
+def day_window(by: list[str], date: str) -> WindowSpec:
+    """Order by day number: row frames and range frames in days share one sort."""
+    return series_window(by, F.unix_date(F.col(date)))
+
+
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the given total order (nulls last, tie-breakers included)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -52,7 +56,7 @@ def published_or_difference(df: DataFrame, by: list[str], date: str, published:
     return df.withColumn(out, F.coalesce(F.col(published), F.col(total) - F.lag(total).over(w)))
 
 
-def lags(df: DataFrame, by: list[str], date: str, col: str, ns: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
+def lags(df: DataFrame, by: list[str], date: str | Column, col: str, ns: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
     w = series_window(by, date)
     return df.withColumns({f"lag_{n}": F.lag(col, n).over(w) for n in ns})
 
@@ -88,7 +92,7 @@ def frequency_features(
 
     All frames share one partitioning and one order, so the whole block costs one shuffle.
     """
-    w = series_window(by, date)
+    w = day_window(by, date)
 
     def narrow(kind: str) -> int:
         return schema.ROLLING_WINDOW[kind]
@@ -111,7 +115,7 @@ def frequency_features(
     if published:
         smoothed = F.coalesce(F.col(published), smoothed)
     out = out.withColumn("new_cases_smoothed", smoothed)
-    out = lags(out, by, date, "new_cases_smoothed")
+    out = lags(out, by, F.unix_date(F.col(date)), "new_cases_smoothed")
     prior = by_frequency(frequency, lambda k: F.lag("new_cases_smoothed", schema.GROWTH_STEPS[k]).over(w))
     out = out.withColumn("_prior", prior).withColumns({
         "growth_rate_1": measures.growth("new_cases_smoothed", "lag_1"),
@@ -132,26 +136,27 @@ def exact_target(
 ) -> DataFrame:
     """Value at exactly date + horizon, null when that date is missing.
 
-    A one-point range frame over the day (or year) number finds it inside the partitioning the
-    other features use; a self join would shuffle both sides again.
+    A one-point range frame over the date finds it inside the partitioning and order the other
+    features use; a self join would shuffle both sides again.
     """
-    if frequency is None:
-        w = Window.partitionBy(*by).orderBy(F.unix_date(F.col(date)))
-        return df.withColumn(out, F.max(value).over(w.rangeBetween(horizon, horizon)))
-    w = Window.partitionBy(*by).orderBy("_step")
-    steps = {
-        kind: horizon or schema.HORIZON_STEPS[kind] for kind in schema.HORIZON_STEPS
-    }
-    steps["weekly"] *= 7
+    w = day_window(by, date)
 
-    def at(kind: str) -> Column:
-        return F.max(value).over(w.rangeBetween(steps[kind], steps[kind]))
+    def days(n: int) -> Column:
+        return F.max(value).over(w.rangeBetween(n, n))
 
-    return (
-        df.withColumn("_step", step_number(date, frequency))
-        .withColumn(out, by_frequency(frequency, at))
-        .drop("_step")
-    )
+    if frequency is None:
+        return df.withColumn(out, days(horizon))
+    steps = {kind: horizon or schema.HORIZON_STEPS[kind] for kind in schema.HORIZON_STEPS}
+    years = steps["annual"]
+    # n calendar years are 365 n days plus the leap days in between; the exact date is checked.
+    found = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(date).alias("d"), F.col(value).alias("v"))))
+    ahead = found.over(w.rangeBetween(365 * years, 365 * years + years // 4 + 1))
+    annual = F.when(ahead["d"] == F.add_months(F.col(date), 12 * years), ahead["v"])
+    return df.withColumn(out, (
+        F.when(F.col(frequency) == "daily", days(steps["daily"]))
+        .when(F.col(frequency) == "weekly", days(7 * steps["weekly"]))
+        .otherwise(annual)
+    ))
 
 
 def trailing_run(
@@ -195,27 +200,24 @@ def interpolate(
     """
     out = out or y
     x = F.col(x) if isinstance(x, str) else x
-    w = Window.partitionBy(*by).orderBy(order or "_x")
+    w = Window.partitionBy(*by).orderBy(order or x)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(0, Window.unboundedFollowing)
-    staged = df.withColumn("_x", x.cast("double")).withColumn("_pos", F.row_number().over(w))
-    point = F.when(F.col(y).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(y).alias("y"), F.col("_pos").alias("p")))
-    staged = staged.withColumn("_pt", point).withColumns({
-        "_p0": F.last("_pt", ignorenulls=True).over(before),
-        "_p1": F.first("_pt", ignorenulls=True).over(after),
+    here = F.struct(x.cast("double").alias("x"), F.col(y).alias("y"), F.col("_at").alias("at"))
+    known = F.when(F.col(y).isNotNull(), here)
+    staged = df.withColumn("_at", F.row_number().over(w)).withColumns({
+        "_here": here,
+        "_left": F.last(known, ignorenulls=True).over(before),
+        "_right": F.first(known, ignorenulls=True).over(after),
     })
-    line = F.col("_p0.y") + (F.col("_p1.y") - F.col("_p0.y")) * F.try_divide(
-        F.col("_x") - F.col("_p0.x"), F.col("_p1.x") - F.col("_p0.x")
-    )
-    inside = F.col("_p0").isNotNull() & F.col("_p1").isNotNull()
+    share = F.try_divide(F.col("_here.x") - F.col("_left.x"), F.col("_right.x") - F.col("_left.x"))
+    line = F.col("_left.y") + (F.col("_right.y") - F.col("_left.y")) * share
+    inside = F.col("_left").isNotNull() & F.col("_right").isNotNull()
     if limit is not None:
-        inside = inside & (F.col("_pos") - F.col("_p0.p") <= limit)
-    filled = F.when(F.col(y).isNotNull(), F.col(y)).when(inside, line)
-    was_null = F.col(y).isNull()
-    return (
-        staged.withColumns({"_filled": filled, flag: was_null & filled.isNotNull()})
-        .drop("_x", "_pos", "_pt", "_p0", "_p1", *([y] if out == y else []))
-        .withColumnRenamed("_filled", out)
+        inside = inside & (F.col("_at") - F.col("_left.at") <= limit)
+    filled = F.when(F.col("_here.y").isNotNull(), F.col("_here.y")).when(inside, line)
+    return staged.withColumns({out: filled, flag: F.col("_here.y").isNull() & filled.isNotNull()}).drop(
+        "_at", "_here", "_left", "_right"
     )
 
 

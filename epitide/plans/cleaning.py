@@ -52,7 +52,7 @@ def cumulative_reports(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     levels = aggregates.split_levels(unique, ["country_region", "date"], "province", "country_region", totals)
     resolved = aggregates.resolve_levels(levels, totals)
     mapped = joins.map_names(resolved, mapping, "country_region")
-    per_code = aggregates.merge_names(mapped, ["location_key", "location_code", "location", "date"], totals)
+    per_code = aggregates.merge_names(mapped, ["location_key", "location_code", "date"], totals, "location")
     daily = windows.diff_cumulative(
         per_code, ["location_key"], "date", {"total_cases": "new_cases_raw", "total_deaths": "new_deaths_raw"}
     )

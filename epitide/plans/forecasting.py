@@ -151,29 +151,29 @@ def sequence_set(
     value = value or ("new_cases_smoothed" if frequency == "daily" else "value")
     horizon = horizon or schema.HORIZON_STEPS[frequency]
     regular = regular_series(features, frequency, value, max_gap)
-    rows = windows.window_arrays(regular, SERIES, "date", "_x", length, horizon, average=schema.ROLLING_WINDOW[frequency])
+    rows = windows.window_arrays(regular, SERIES, "date", "series_value", length, horizon, average=schema.ROLLING_WINDOW[frequency])
     known = rows.where("target IS NOT NULL")
     lo, hi = known.agg(F.min("date")).scalar(), known.agg(F.max("date")).scalar()
     split = F.when(F.col("target").isNull(), "forecast_only").otherwise(
         _split_label("date", F.col("_lo"), F.col("_hi"), 0.70, 0.15)
     )
-    return rows.withColumns({"_lo": lo, "_hi": hi}).withColumn("split", split).drop("_lo", "_hi", "_x")
+    return rows.withColumns({"_lo": lo, "_hi": hi}).withColumn("split", split).drop("_lo", "_hi", "series_value")
 
 
 def regular_series(features: DataFrame, frequency: str, value: str, max_gap: int | None = None) -> DataFrame:
     """Series on their calendar with values clipped at zero and short gaps filled."""
     max_gap = schema.MAX_GAP[frequency] if max_gap is None else max_gap
     scope = features.where((F.col("frequency") == frequency) & F.col(value).isNotNull())
-    scope = scope.select(*SERIES, "date", measures.clip_zero(F.col(value).cast("double")).alias("_x"))
+    scope = scope.select(*SERIES, "date", measures.clip_zero(F.col(value).cast("double")).alias("series_value"))
     grid = joins.calendar_grid(scope, SERIES, "date", frequency)
-    return windows.interpolate(grid, SERIES, F.unix_date("date"), "_x", limit=max_gap, order="date", flag="is_imputed")
+    return windows.interpolate(grid, SERIES, F.unix_date("date"), "series_value", limit=max_gap, order="date", flag="is_imputed")
 
 
 def sequence_counters(features: DataFrame, length: int, frequency: str, value: str, max_gap: int | None = None) -> DataFrame:
     """Calendar rows inserted, values imputed, windows skipped because of a gap."""
     regular = regular_series(features, frequency, value, max_gap)
     w = Window.partitionBy(*SERIES).orderBy("date")
-    known = F.count("_x").over(w.rowsBetween(1 - length, 0))
+    known = F.count("series_value").over(w.rowsBetween(1 - length, 0))
     skipped = F.col("is_observed") & (F.col("_pos") >= length) & (F.col("_known") < length)
     return regular.withColumns({"_pos": F.row_number().over(w), "_known": known}).agg(
         F.count_if(~F.col("is_observed")).alias("calendar_rows_inserted"),
