@@ -26,7 +26,7 @@ def split_sql(source: str, columns: str) -> str:
 
 @Q.add("mlt01_chronological_split", split_sql("select * from v_features where frequency = 'daily' and disease = 'COVID-19'", "location_code, disease, date"))
 def _(v):
-    rows = v.features.where("frequency = 'daily' AND disease = 'COVID-19'")
+    rows = v.gold.where("frequency = 'daily' AND disease = 'COVID-19'")
     return forecasting.time_split(rows).select(*SERIES, "date", "split")
 
 
@@ -48,19 +48,19 @@ COMPARISON_SQL = metrics_sql(
 
 @Q.add("mlt04_baseline_comparison", COMPARISON_SQL)
 def _(v):
-    return forecasting.baseline_comparison(v.features)
+    return forecasting.baseline_comparison(v.gold)
 
 
 @Q.add("mlt04_best_baseline", f"select disease, arg_min(model, (mae, model)) as best_model, min(mae) as best_mae, 'test' as selected_on from ({COMPARISON_SQL}) group by 1")
 def _(v):
-    return aggregates.best_model(forecasting.baseline_comparison(v.features), ["disease"])
+    return aggregates.best_model(forecasting.baseline_comparison(v.gold), ["disease"])
 
 
 NUMERIC = ["lag_1", "lag_7", "rolling_mean_7", "rolling_std_7", "growth_rate_1", "temperature_mean", "precipitation_sum", "population", "month", "day_of_week", "is_weekend"]
 
 
 def training_rows(v):
-    rows = v.features.where("disease = 'COVID-19' AND target_t_plus_7 IS NOT NULL AND lag_1 IS NOT NULL AND lag_7 IS NOT NULL")
+    rows = v.gold.where("disease = 'COVID-19' AND target_t_plus_7 IS NOT NULL AND lag_1 IS NOT NULL AND lag_7 IS NOT NULL")
     rows = rows.withColumn("target_log", measures.log_target("target_t_plus_7")).select(*SERIES, "date", "target_t_plus_7", "target_log", *dict.fromkeys([*NUMERIC, "rolling_mean_7"]))
     # Boosting reads its input once per tree, so the feature plan is computed once and kept as a table.
     return scratch.materialise(forecasting.time_split(forecasting.as_numeric(rows, NUMERIC)), "training")
@@ -109,7 +109,7 @@ def _(v):
 @Q.add("mlt08_winning_prediction", f"""select f.location_code, f.disease, f.date, b.best_model, round(case when b.best_model = 'naive_last_value' then prediction_naive_last_value else prediction_moving_average end, 4) as prediction
     from v_scored f left join (select disease, arg_min(model, (mae, model)) as best_model from ({COMPARISON_SQL}) group by 1) b on b.disease = f.disease""")
 def _(v):
-    out = forecasting.select_best(forecasting.baselines(v.features), forecasting.baseline_comparison(v.features), MODELS)
+    out = forecasting.select_best(forecasting.baselines(v.gold), forecasting.baseline_comparison(v.gold), MODELS)
     return out.select(*SERIES, "date", "best_model", F.round("prediction_t_plus_7", 4).alias("prediction"))
 
 
@@ -175,7 +175,7 @@ def _(v):
     from (select * from v_scored where date between '1998-01-01' and '1999-12-31') p left join (select disease, count(*) as n, bool_or(comparable) as any_c, count(case when risk_level = '高风险' then 1 end) as high from v_risk group by 1) r on r.disease = p.disease
     left join (select disease, arg_min(model, (mae, model)) as best_model from ({COMPARISON_SQL}) group by 1) b on b.disease = p.disease group by 1, 2""")
 def _(v):
-    best = aggregates.best_model(forecasting.baseline_comparison(v.features), ["disease"]).select("disease", "best_model")
+    best = aggregates.best_model(forecasting.baseline_comparison(v.gold), ["disease"]).select("disease", "best_model")
     out = serving.overview_selected(v.scored, v.risk, best, start="1998-01-01", end="1999-12-31")
     return out.select(
         *SERIES, "start_date", "latest_date", "current_new_cases", "last_nonzero_date", "trailing_zero_periods", "reporting_stale", "risk_comparison_regions", "high_risk_regions", "risk_comparable", "best_model"
@@ -210,7 +210,7 @@ CORR_SQL = "case when count(*) >= 3 and stddev_pop({x}) > 0 and stddev_pop(new_c
 @Q.add("qry05_weather_correlation", f"""select location_code, disease, count(*) as sample_size, {CORR_SQL.format(x='temperature_mean')} as temperature_correlation, {CORR_SQL.format(x='relative_humidity_mean')} as humidity_correlation, bool_or(f) as fallback_used, min(date) as matched_start, max(date) as matched_end
     from (select *, max(case when date between '1996-02-01' and '1996-02-20' then 1 else 0 end) over (partition by location_code, disease) = 0 as f from ({_MATCHED})) where f or date between '1996-02-01' and '1996-02-20' group by 1, 2""")
 def _(v):
-    return serving.weather_correlation(v.features, start="1996-02-01", end="1996-02-20")
+    return serving.weather_correlation(v.gold, start="1996-02-01", end="1996-02-20")
 
 
 @Q.add("qry06_risk_map", "select location_code, disease, risk_score, risk_level from v_risk where disease = 'Influenza'")
@@ -226,7 +226,7 @@ def _(v):
 
 @Q.add("qry08_model_metrics", f"select * from ({COMPARISON_SQL}) where disease = 'COVID-19'")
 def _(v):
-    return forecasting.baseline_comparison(v.features.where("disease = 'COVID-19'"))
+    return forecasting.baseline_comparison(v.gold.where("disease = 'COVID-19'"))
 
 
 @Q.add("qry09_options")
@@ -266,7 +266,7 @@ def _(v):
 
 @Q.add("qry14_model_coverage", f"""select c.disease, m.model, m.mae, c.feature_rows, c.target_rows from (select disease, count(*) as feature_rows, count(target_t_plus_7) as target_rows from v_features group by 1) c join ({COMPARISON_SQL}) m on m.disease = c.disease""")
 def _(v):
-    out = quality.model_rows(quality.model_coverage(v.features), forecasting.baseline_comparison(v.features))
+    out = quality.model_rows(quality.model_coverage(v.gold), forecasting.baseline_comparison(v.gold))
     return out.select("disease", "model", "mae", "feature_rows", "target_rows")
 
 
@@ -277,5 +277,5 @@ def _(v):
 
 @Q.add("qry16_trend_documents", "select location_code, disease, count(*) as points, min(date) as first_date, max(date) as last_date from v_features group by 1, 2")
 def _(v):
-    docs = serving.trend_documents(v.features)
+    docs = serving.trend_documents(v.gold)
     return docs.select(*SERIES, F.size("points").cast("long").alias("points"), F.element_at("points", 1)["date"].alias("first_date"), F.element_at("points", -1)["date"].alias("last_date"))

@@ -100,7 +100,7 @@ def _(v):
     + ", " + ", ".join(f"round(avg(case when {c} is null then 1.0 else 0.0 end), 6)::double as missing_{c}" for c in ("temperature_mean", "relative_humidity_mean", "population", "gdp_per_capita", "target_t_plus_7"))
     + ", 0::bigint as duplicate_count from v_features")
 def _(v):
-    return quality.serving_report(v.features)
+    return quality.serving_report(v.gold)
 
 
 def status_parts(v):
@@ -126,18 +126,18 @@ def _(v):
 @Q.add("qlt11_model_coverage", """select disease, string_agg(distinct frequency, ',' order by frequency) as frequency, count(*) as feature_rows, count(distinct location_code) as location_count, min(date) as date_start, max(date) as date_end, count(case when has_weather then 1 end) as weather_matched_rows,
     count(population) as population_matched_rows, count(target_t_plus_7) as target_rows from v_features group by 1""")
 def _(v):
-    return quality.model_coverage(v.features)
+    return quality.model_coverage(v.gold)
 
 
 @Q.add("qlt12_feature_join_report", "select weather_match_level, weather_source, count(*) as rows, count(case when has_weather then 1 end) as matched_rows, count(case when not has_weather then 1 end) as unmatched_rows from v_features group by 1, 2")
 def _(v):
-    return gold.join_report(v.features)
+    return gold.join_report(v.gold)
 
 
 @Q.add("qlt12_feature_join_totals", """select count(*) as feature_rows, count(distinct location_code) as location_count, count(distinct disease) as disease_count, count(case when has_weather then 1 end) as weather_matched_rows, count(case when not has_weather then 1 end) as weather_unmatched_rows,
     round(avg(case when has_weather then 1.0 else 0.0 end), 6)::double as weather_match_rate, count(*) - count(population) as population_unmatched_rows from v_features""")
 def _(v):
-    return gold.join_totals(v.features)
+    return gold.join_totals(v.gold)
 
 
 @Q.add("qlt13_reporting_profile", """select *, e_gap as date_gap_count, e_gap = 0 and zero_day_count >= 0.5 * observed_rows and p > 0 as sparse_reporting from (select location_code, disease, cast(max(date) - min(date) + 1 as int) as expected_calendar_days, count(*) as observed_rows, count(case when value = 0 then 1 end) as zero_day_count,
@@ -160,4 +160,4 @@ def _(v):
 
 @Q.add("qlt15_invariants", "select * from (values ('unique observation keys', (select count(*) = count(distinct (location_code, disease, date)) from v_features)), ('non-empty features', (select count(*) > 0 from v_features)), ('unique weather days', (select count(*) = count(distinct (location_code, date)) from v_weather)), ('more daily than annual rows', (select (select count(*) from v_weather) > (select count(*) from v_population)))) t(check_name, passed)")
 def _(v):
-    return quality.invariants(v.features, v.weather, v.population)
+    return quality.invariants(v.gold, v.weather, v.population)

@@ -344,11 +344,8 @@ def _(v):
     rows = v.table("pages").withColumn("html", F.concat(
         F.replace(F.col("html"), F.lit('">The</a>'), F.lit('.pdf">The</a>')), F.lit("<p>2024年"), F.col("page_id") % 9 + 1, F.lit("月5日</p>")
     ))
-    links = text.attachment_links("url", "html")
-    return rows.select(
-        "page_id", text.page_title("html").alias("title"), text.first_date(text.strip_tags("html")).alias("published_date"),
-        F.array_join(links, " | ").alias("attachments"), (F.size(links) > 0).alias("has_attachment"),
-    )
+    out = text.page_metadata(rows, "url", "html")
+    return out.select("page_id", "title", "published_date", F.array_join("attachment_urls", " | ").alias("attachments"), (F.size("attachment_urls") > 0).alias("has_attachment"))
 
 
 @Q.add("sca42_page_role", "select page_id, case when url like '%/' then 'listing' else 'detail' end as record_role from pages")

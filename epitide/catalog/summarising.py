@@ -65,11 +65,11 @@ def _(v):
     return aggregates.merge_names(resolved.join(regions, "country"), ["region", "date"], TOTALS)
 
 
-@Q.add("agg05_yearly_statistics", """select location_code, location, disease, year, sum(value) as year_cases, sum(new_deaths) as year_deaths, round(avg(cases_per_million), 4) as avg_cases_per_million, round(avg(growth_rate_7), 4) as avg_growth_rate_7,
-    round(avg(temperature_mean), 4) as avg_temperature_mean, max(date) as latest_date from v_features group by 1, 2, 3, 4""")
+@Q.add("agg05_yearly_statistics", """select location_code, location, disease, year, sum(value) as year_cases, sum(new_deaths) as year_deaths, round(avg(cases_per_million), 6) as avg_cases_per_million, round(avg(growth_rate_7), 6) as avg_growth_rate_7,
+    round(avg(temperature_mean), 6) as avg_temperature_mean, max(date) as latest_date from v_features group by 1, 2, 3, 4""")
 def _(v):
-    out = aggregates.yearly_statistics(v.features)
-    return out.withColumns({c: F.round(c, 4) for c in ("avg_cases_per_million", "avg_growth_rate_7", "avg_temperature_mean")})
+    out = aggregates.yearly_statistics(v.gold)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_cases_per_million", "avg_growth_rate_7", "avg_temperature_mean")})
 
 
 @Q.add("agg06_covariate_roll_up", "select location_code, frequency, join_date, round(temperature_mean, 4) as temperature_mean, round(precipitation_sum, 4) as precipitation_sum, weather_match_level from v_covariates")

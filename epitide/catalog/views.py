@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from epitide import schema
 from epitide.functions import calendar
 from epitide.operators import joins, reshape, windows
-from epitide.plans import cleaning, features as gold, forecasting, risk
+from epitide.plans import cleaning, features, forecasting, risk
+from epitide.sources import scratch, sinks
 
 SERIES = ["location_code", "disease"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -242,12 +243,19 @@ class Views:
 
     @cached_property
     def features(self) -> DataFrame:
-        return gold.build_features(self.obs, self.weather, self.population, self.catalog)
+        return features.build_features(self.obs, self.weather, self.population, self.catalog)
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        """The feature table as the serving questions see it: written once, partitioned by year."""
+        return scratch.kept_table(
+            self.spark, f"gold:{self.folder}", lambda: self.features, lambda df, path: sinks.write_partitioned(df, path, ["year"])
+        )
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Features with both baselines and the moving average as the chosen prediction."""
-        rows = forecasting.baselines(self.features)
+        """Gold with both baselines and the moving average as the chosen prediction."""
+        rows = forecasting.baselines(self.gold)
         return rows.withColumn("prediction_t_plus_7", F.col("prediction_moving_average"))
 
     @cached_property

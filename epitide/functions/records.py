@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from epitide import schema
 from epitide.functions import text
@@ -12,19 +12,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def parse_object(column: Column | str, layout: T.StructType) -> Column:
+    """JSON object as a struct in one parse, null for anything that is not exactly one object."""
+    column = _col(column)
+    tested = T.StructType([*layout.fields, T.StructField("_broken", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"}
+    shape = F.trim(column)
+    record = F.from_json(column, tested, options)
+    return F.when(shape.startswith("{") & shape.endswith("}"), record)
+
+
+def is_object(record: str) -> Column:
+    """Did :func:`parse_object` accept the text?"""
+    return F.col(record).isNotNull() & F.col(f"{record}._broken").isNull()
+
+
 def json_record(df: DataFrame, column: str) -> DataFrame:
-    """Thirteen typed fields of a JSON object plus a validity flag.
+    """Thirteen fields of a JSON object plus a validity flag.
 
     Text that is not a JSON object (broken, an array, a scalar) gives nulls and false.
     """
-    is_object = F.coalesce(
-        F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT"), F.lit(False)
-    )
-    staged = df.withColumn("_ok", is_object).withColumn(
-        "_record", F.when(F.col("_ok"), F.from_json(F.col(column), schema.RAW_RECORD_SCHEMA))
-    )
-    fields = {out: F.col(f"_record.{name}") for name, out in schema.RAW_RECORD_NAMES.items()}
-    return staged.withColumns({**fields, "raw_json_valid": F.col("_ok")}).drop("_record", "_ok")
+    staged = df.withColumn("_record", parse_object(column, schema.RAW_RECORD_SCHEMA))
+    ok = is_object("_record")
+    fields = {out: F.when(ok, F.col(f"_record.{name}")) for name, out in schema.RAW_RECORD_NAMES.items()}
+    return staged.withColumns({**fields, "raw_json_valid": ok}).drop("_record")
 
 
 def backfill_dimension(target: Column | str, dimension: str) -> Column:

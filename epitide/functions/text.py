@@ -142,14 +142,16 @@ def topic_matches(topic: Column | str, code: Column | str, name: Column | str) -
     return F.coalesce(reduce(lambda a, b: a | b, by_code + by_name), F.lit(False))
 
 
-def usage_class(topic: Column | str, code: Column | str, name: Column | str) -> Column:
+def usage_class(topic: Column | str, code: Column | str, name: Column | str, matches: Column | None = None) -> Column:
+    """How an indicator may be used; `matches` is a topic match that is already known."""
     topic, code = _col(topic), _col(code)
+    matches = topic_matches(topic, code, name) if matches is None else matches
     auxiliary = [schema.PREVALENCE_INDICATOR, *schema.AUXILIARY_INDICATORS]
     return (
         F.when(code == schema.PRIMARY_INDICATOR, "primary_hiv_observation")
         .when(code.isin(*auxiliary), "auxiliary_feature")
         .when(F.upper(code).startswith("PRISON_"), "special_population_reference")
-        .when((topic != "unknown") & ~topic_matches(topic, code, name), "keyword_false_positive")
+        .when((topic != "unknown") & ~matches, "keyword_false_positive")
         .otherwise("catalog_only")
     )
 
@@ -175,9 +177,21 @@ def link_candidates(df: DataFrame, url: str, html: str, keywords: list[str], hos
 
 
 def attachment_links(url: Column | str, html: Column | str) -> Column:
-    """Sorted unique absolute links to documents."""
-    hrefs = F.transform(anchors(html), lambda a: resolve_link(url, a["href"]))
-    return F.array_sort(F.array_distinct(F.filter(hrefs, lambda h: h.rlike(schema.ATTACHMENT_PATTERN))))
+    """Sorted unique absolute links to documents; only those are resolved."""
+    hrefs = F.regexp_extract_all(_col(html), F.lit(HREF_PATTERN), 1)
+    documents = F.array_distinct(F.filter(hrefs, lambda h: h.rlike(schema.ATTACHMENT_PATTERN)))
+    return F.array_sort(F.array_distinct(F.transform(documents, lambda h: resolve_link(url, h))))
+
+
+def page_metadata(df: DataFrame, url: str, html: str, preview: int = 800) -> DataFrame:
+    """Title, first date, document links and preview of HTML pages.
+
+    The visible text is a column of its own, so the page is stripped once and not per field.
+    """
+    staged = df.withColumns({"_text": strip_tags(html), "attachment_urls": attachment_links(url, html), "title": page_title(html)})
+    return staged.withColumns({
+        "published_date": first_date("_text"), "text_preview": F.substring("_text", 1, preview), "text_chars": F.length("_text"),
+    }).drop("_text")
 
 
 def page_role(url: Column | str) -> Column:
@@ -217,11 +231,14 @@ def page_title(html: Column | str) -> Column:
 
 def first_date(text: Column | str) -> Column:
     """First date-like group in running text as ``YYYY-MM-DD``."""
-    text = _col(text)
-    y, m, d = (extract_field(text, schema.PAGE_DATE_PATTERN, "int", g) for g in (1, 2, 3))
+    parts = F.split(F.regexp_extract(_col(text), schema.PAGE_DATE_PATTERN, 0), r"\D+")
+    y, m, d = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
     return F.when(y.isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d))
 
 
+HREF_PATTERN = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>"""
+
+
 def anchors(html: Column | str) -> Column:
     """Array of (href, text) of every link."""
     html = _col(html)

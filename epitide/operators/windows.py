@@ -18,11 +18,6 @@ def series_window(by: list[str], order: str | Column) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
 
-def day_window(by: list[str], date: str) -> WindowSpec:
-    """Order by day number: row frames and range frames in days share one sort."""
-    return series_window(by, F.unix_date(F.col(date)))
-
-
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the given total order (nulls last, tie-breakers included)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -56,7 +51,7 @@ def published_or_difference(df: DataFrame, by: list[str], date: str, published:
     return df.withColumn(out, F.coalesce(F.col(published), F.col(total) - F.lag(total).over(w)))
 
 
-def lags(df: DataFrame, by: list[str], date: str | Column, col: str, ns: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
+def lags(df: DataFrame, by: list[str], date: str, col: str, ns: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
     w = series_window(by, date)
     return df.withColumns({f"lag_{n}": F.lag(col, n).over(w) for n in ns})
 
@@ -92,7 +87,8 @@ def frequency_features(
 
     All frames share one partitioning and one order, so the whole block costs one shuffle.
     """
-    w = day_window(by, date)
+    # One integer day column orders every row and range frame, so the block has a single sort.
+    w = series_window(by, "_day")
 
     def narrow(kind: str) -> int:
         return schema.ROLLING_WINDOW[kind]
@@ -103,7 +99,7 @@ def frequency_features(
     def mean(n: int) -> Column:
         return F.avg(value).over(w.rowsBetween(1 - n, 0))
 
-    out = df.withColumns({
+    out = df.withColumn("_day", F.unix_date(F.col(date))).withColumns({
         "rolling_mean_3": mean(3),
         "rolling_mean_7": by_frequency(frequency, lambda k: mean(narrow(k))),
         "rolling_mean_14": by_frequency(frequency, lambda k: mean(wide(k))),
@@ -114,15 +110,20 @@ def frequency_features(
     smoothed = F.col("rolling_mean_7")
     if published:
         smoothed = F.coalesce(F.col(published), smoothed)
-    out = out.withColumn("new_cases_smoothed", smoothed)
-    out = lags(out, by, F.unix_date(F.col(date)), "new_cases_smoothed")
-    prior = by_frequency(frequency, lambda k: F.lag("new_cases_smoothed", schema.GROWTH_STEPS[k]).over(w))
-    out = out.withColumn("_prior", prior).withColumns({
+    out = out.withColumn("new_cases_smoothed", smoothed).withColumn(
+        "_ahead", F.when(F.col(frequency) == "daily", F.col("new_cases_smoothed")).otherwise(F.col(value))
+    )
+    steps = schema.HORIZON_STEPS
+    out = out.withColumns({
+        **{f"lag_{n}": F.lag("new_cases_smoothed", n).over(w) for n in (1, 3, 7, 14)},
+        "target_t_plus_7": by_frequency(frequency, lambda k: _ahead(w, date, "_ahead", k, steps[k])),
+    })
+    # The growth horizon is one of the lags: seven days, one week or one year.
+    prior = by_frequency(frequency, lambda k: F.col(f"lag_{schema.GROWTH_STEPS[k]}"))
+    return out.withColumns({
         "growth_rate_1": measures.growth("new_cases_smoothed", "lag_1"),
-        "growth_rate_7": measures.growth("new_cases_smoothed", "_prior"),
-        "_target_source": F.when(F.col(frequency) == "daily", F.col("new_cases_smoothed")).otherwise(F.col(value)),
-    }).drop("_prior")
-    return exact_target(out, by, date, "_target_source", "target_t_plus_7", frequency).drop("_target_source")
+        "growth_rate_7": measures.growth("new_cases_smoothed", prior),
+    }).drop("_day", "_ahead")
 
 
 def lead_target(df: DataFrame, by: list[str], date: str, value: str, h: int, out: str = "target") -> DataFrame:
@@ -130,33 +131,28 @@ def lead_target(df: DataFrame, by: list[str], date: str, value: str, h: int, out
     return df.withColumn(out, F.lead(value, h).over(series_window(by, date)))
 
 
+def _ahead(w: WindowSpec, date: str, value: str, frequency: str, steps: int) -> Column:
+    """Value at exactly `steps` periods later; the window must be ordered by a day number."""
+    if frequency != "annual":
+        days = steps * (7 if frequency == "weekly" else 1)
+        return F.max(value).over(w.rangeBetween(days, days))
+    # n calendar years are 365 n days plus the leap days in between; the exact date is checked.
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(date).alias("d"), F.col(value).alias("v")))
+    found = F.max(point).over(w.rangeBetween(365 * steps, 365 * steps + steps // 4 + 1))
+    return F.when(found["d"] == F.add_months(F.col(date), 12 * steps), found["v"])
+
+
 def exact_target(
-    df: DataFrame, by: list[str], date: str, value: str, out: str = "target",
-    frequency: str | None = None, horizon: int | None = None,
+    df: DataFrame, by: list[str], date: str, value: str, out: str = "target", horizon: int | None = None, frequency: str = "daily"
 ) -> DataFrame:
     """Value at exactly date + horizon, null when that date is missing.
 
-    A one-point range frame over the date finds it inside the partitioning and order the other
-    features use; a self join would shuffle both sides again.
+    A one-point range frame over the day number finds it inside the partitioning the other features
+    use; a self join would shuffle both sides again.
     """
-    w = day_window(by, date)
-
-    def days(n: int) -> Column:
-        return F.max(value).over(w.rangeBetween(n, n))
-
-    if frequency is None:
-        return df.withColumn(out, days(horizon))
-    steps = {kind: horizon or schema.HORIZON_STEPS[kind] for kind in schema.HORIZON_STEPS}
-    years = steps["annual"]
-    # n calendar years are 365 n days plus the leap days in between; the exact date is checked.
-    found = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(date).alias("d"), F.col(value).alias("v"))))
-    ahead = found.over(w.rangeBetween(365 * years, 365 * years + years // 4 + 1))
-    annual = F.when(ahead["d"] == F.add_months(F.col(date), 12 * years), ahead["v"])
-    return df.withColumn(out, (
-        F.when(F.col(frequency) == "daily", days(steps["daily"]))
-        .when(F.col(frequency) == "weekly", days(7 * steps["weekly"]))
-        .otherwise(annual)
-    ))
+    w = series_window(by, "_day")
+    found = _ahead(w, date, value, frequency, horizon or schema.HORIZON_STEPS[frequency])
+    return df.withColumn("_day", F.unix_date(F.col(date))).withColumn(out, found).drop("_day")
 
 
 def trailing_run(

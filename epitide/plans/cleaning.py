@@ -338,8 +338,10 @@ def indicator_catalog(raw: DataFrame, codes: list[str], current_year: int) -> Da
             (F.col("location_type") == "COUNTRY") & F.col("location_code").isin(*codes), F.lit(False)
         ),
         "collector_topic_match": text.topic_matches("collector_topic", "indicator_code", "indicator_name"),
-        "usage_class": text.usage_class("collector_topic", "indicator_code", "indicator_name"),
     })
+    rows = rows.withColumn(
+        "usage_class", text.usage_class("collector_topic", "indicator_code", "indicator_name", F.col("collector_topic_match"))
+    )
     rows = rows.withColumn("quality_flag", measures.quality_flag([
         (F.col("year").isNull(), "invalid_year"),
         (F.col("year") > current_year, "future_year"),
@@ -350,18 +352,14 @@ def indicator_catalog(raw: DataFrame, codes: list[str], current_year: int) -> Da
         "_key": records.record_key("indicator_code", "who_record_id", DEDUP_COLUMNS),
         "_signature": F.sha2(records.joined(SIGNATURE_COLUMNS), 256),
     })
-    origin = aggregates.provenance(rows, "_key", "source_file", "collector_topic", "_signature")
-    unique = windows.keep_latest(rows, ["_key"], [
-        text.parse_timestamp("who_record_updated_at").desc_nulls_last(),
-        F.col("collector_topic_match").desc(),
-        F.col("source_file").desc(),
-        F.col("_signature").desc(),
-    ])
-    out = unique.join(origin, "_key")
+    kept = [c for c in rows.columns if c not in ("_key", "_signature", "topic", "indicator")]
+    out = aggregates.latest_with_provenance(rows, "_key", "source_file", "collector_topic", "_signature", [
+        text.parse_timestamp("who_record_updated_at"), F.col("collector_topic_match"), F.col("source_file"), F.col("_signature"),
+    ], kept)
     conflict = F.col("duplicate_content_conflict") & (F.col("quality_flag") == "ok")
     return out.withColumn(
         "quality_flag", F.when(conflict, "duplicate_content_conflict_latest_kept").otherwise(F.col("quality_flag"))
-    ).drop("_key", "_signature", "topic", "indicator")
+    ).drop("_key")
 
 
 def primary_observations(catalog: DataFrame, locations: DataFrame) -> DataFrame:

@@ -144,16 +144,14 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
     relative = F.abs(F.col(f"{value}_a") - F.col(f"{value}_b")) / F.greatest(
         F.col(f"{value}_a"), F.col(f"{value}_b"), F.lit(1.0)
     )
-    rows = pairs.withColumn("relative_difference", relative)
-    counts = rows.agg(
-        F.count("*").alias("overlap_rows"),
-        F.round(F.avg((F.col("relative_difference") <= tolerance).cast("double")), 6).alias("within_5_percent_share"),
-    )
-    median = aggregates.exact_median(rows, "relative_difference", 0.0, 1.0)
-    return (
-        counts.withColumn("_k", F.lit(1)).join(median.withColumn("_k", F.lit(1)), "_k").drop("_k")
-        .withColumn("median_relative_difference", F.round("median", 6)).drop("median")
+    # Everything is read off the value counts, so the join of the two sources runs once.
+    counts = aggregates.value_counts(pairs.select(relative.alias("r")), "r")
+    share = F.sum(F.when(F.col("v") <= tolerance, F.col("c")).otherwise(0)) / F.sum("c")
+    summary = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("overlap_rows"), F.round(share, 6).alias("within_5_percent_share")
     )
+    median = aggregates.exact_median(counts, 0.0, 1.0).select(F.round("median", 6).alias("median_relative_difference"))
+    return summary.withColumn("_k", F.lit(1)).join(median.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def serving_report(features: DataFrame) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from epitide import schema
-from epitide.functions import text
+from epitide.functions import records, text
 from epitide.operators.windows import keep_latest
 
 
@@ -103,13 +102,13 @@ def read_json_lines(spark: SparkSession, path: str, layout: T.StructType) -> Dat
 
 
 def parse_json_lines(lines: DataFrame, column: str, layout: T.StructType) -> DataFrame:
-    ok = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT"), F.lit(False))
-    parsed = lines.withColumn("_ok", ok).withColumn("_r", F.when(F.col("_ok"), F.from_json(column, layout)))
+    parsed = lines.withColumn("_r", records.parse_object(column, layout))
+    ok = records.is_object("_r")
     others = [c for c in lines.columns if c != column]
     return parsed.select(
-        *(F.col(f"_r.{f.name}").alias(f.name) for f in layout.fields),
+        *(F.when(ok, F.col(f"_r.{f.name}")).alias(f.name) for f in layout.fields),
         *others,
-        F.when(~F.col("_ok"), F.col(column)).alias("_corrupt_record"),
+        F.when(~ok, F.col(column)).alias("_corrupt_record"),
         F.sha2(column, 256).alias("content_hash"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +28,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept_table(spark: SparkSession, key: str, build, write) -> DataFrame:
+    """A table shared by the questions of one application: built and written by the first, then read.
+
+    When its folder was cleared in between, it is built again.
+    """
+    slot = (spark.sparkContext.applicationId, key)
+    if slot in _KEPT:
+        try:
+            return spark.read.parquet(_KEPT[slot])
+        except AnalysisException:
+            del _KEPT[slot]
+    path = shared_dir(spark, "kept")
+    write(build(), path)
+    _KEPT[slot] = path
+    return spark.read.parquet(path)
