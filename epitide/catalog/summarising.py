@@ -150,7 +150,7 @@ def _(v):
     return aggregates.provenance(docs, "key", "source", "lang", "signature")
 
 
-@Q.add("agg17_indicator_summary", """select p_type as indicator_code, min(p_name) as indicator_name, string_agg(distinct p_brand, ' | ' order by p_brand) filter (p_brand in ('Brand#1', 'Brand#2', 'Brand#3')) as usage_class, count(*) as rows, count(case when p_size > 10 then 1 end) as numeric_rows,
+@Q.add("agg17_indicator_summary", """select p_type as indicator_code, min(p_name) as indicator_name, coalesce(string_agg(distinct p_brand, ' | ' order by p_brand) filter (p_brand in ('Brand#1', 'Brand#2', 'Brand#3')), '') as usage_class, count(*) as rows, count(case when p_size > 10 then 1 end) as numeric_rows,
     count(case when p_size > 25 then 1 end) as selected_country_rows, count(case when p_size > 25 and p_size > 10 then 1 end) as selected_country_numeric_rows, count(distinct case when p_retailprice > 1000 then p_name end) as country_count,
     count(distinct case when p_size > 25 then p_name end) as selected_country_count, min(p_size) as year_min, max(p_size) as year_max, 'u' as units, 't' as collector_topics, count(distinct p_brand) as source_file_count,
     cast(sum(greatest(p_size - 1, 0)) as bigint) as duplicate_raw_rows, count(case when p_size = 50 then 1 end) as duplicate_content_conflict_groups from part group by 1""")

@@ -170,7 +170,13 @@ class Views:
 
     @cached_property
     def population(self) -> DataFrame:
-        """Totals per location for even years only."""
+        """Totals per location for even years only.
+
+        Kept as a silver table: read from files, its size is known when a join is planned.
+        """
+        return scratch.kept_table(self.spark, f"population:{self.folder}", self.yearly_totals, sinks.write_parquet)
+
+    def yearly_totals(self) -> DataFrame:
         return (
             self.orders_located.where(F.year("date") % 2 == 0)
             .groupBy("location_code", F.year("date").alias("year"))

@@ -186,6 +186,17 @@ def trailing_run(
     return out.withColumn("reporting_stale", F.col("trailing_zero_periods") >= limit)
 
 
+def _sides(by: list[str], axis: Column) -> tuple[WindowSpec, WindowSpec]:
+    """Rows up to this one, and rows from this one on.
+
+    Looking ahead is a running frame in descending order: a frame that ends at the last row would be
+    evaluated anew for every row.
+    """
+    head = (Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(axis.desc())
+    return series_window(by, axis).rowsBetween(*head), ahead.rowsBetween(*head)
+
+
 def interpolate(
     df: DataFrame, by: list[str], x: str | Column, y: str, out: str | None = None,
     flag: str = "is_interpolated", limit: int | None = None, order: str | None = None,
@@ -196,15 +207,14 @@ def interpolate(
     """
     out = out or y
     x = F.col(x) if isinstance(x, str) else x
-    w = Window.partitionBy(*by).orderBy(order or x)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    axis = F.col(order) if order else x
+    before, after = _sides(by, axis)
     here = F.struct(x.cast("double").alias("x"), F.col(y).alias("y"), F.col("_at").alias("at"))
     known = F.when(F.col(y).isNotNull(), here)
-    staged = df.withColumn("_at", F.row_number().over(w)).withColumns({
+    staged = df.withColumn("_at", F.row_number().over(series_window(by, axis))).withColumns({
         "_here": here,
         "_left": F.last(known, ignorenulls=True).over(before),
-        "_right": F.first(known, ignorenulls=True).over(after),
+        "_right": F.last(known, ignorenulls=True).over(after),
     })
     share = F.try_divide(F.col("_here.x") - F.col("_left.x"), F.col("_right.x") - F.col("_left.x"))
     line = F.col("_left.y") + (F.col("_right.y") - F.col("_left.y")) * share
@@ -222,14 +232,12 @@ def fill(df: DataFrame, by: list[str], x: str, cols: list[str], direction: str =
 
     Backward filling uses later values, so it is never a default.
     """
-    w = Window.partitionBy(*by).orderBy(x)
-    forward = w.rowsBetween(Window.unboundedPreceding, 0)
-    backward = w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _sides(by, F.col(x))
 
     def filled(c: str) -> Column:
-        value = F.last(c, ignorenulls=True).over(forward)
+        value = F.last(c, ignorenulls=True).over(before)
         if direction == "both":
-            value = F.coalesce(value, F.first(c, ignorenulls=True).over(backward))
+            value = F.coalesce(value, F.last(c, ignorenulls=True).over(after))
         return value
 
     return df.withColumns({c: filled(c) for c in cols})
