@@ -8,7 +8,7 @@ from epitide import schema
 from epitide.catalog.registry import Registry
 from epitide.catalog.views import NATIONS, SERIES
 from epitide.plans import cleaning, features as gold, risk
-from epitide.sources import readers, scratch
+from epitide.sources import readers, scratch, sinks
 
 Q = Registry()
 EPIDEMIC = ["location_key", "location_code", "location", "date", "total_cases", "total_deaths", "new_cases_raw", "new_cases_clean", "new_deaths_clean", "is_negative_case_correction", "is_negative_death_correction", "aggregation_conflict"]
@@ -241,6 +241,11 @@ def catalog(v):
     return cleaning.indicator_catalog(indicator_rows(v), CODES, YEAR_NOW)
 
 
+def silver_catalog(v):
+    """The catalog as later stages read it."""
+    return scratch.kept_table(v.spark, f"catalog:{v.folder}", lambda: catalog(v), sinks.write_parquet)
+
+
 _RAW = """select *, cast(json_extract_string(props, '$.k') as int) as k, 'NA' || chr(cast(65 + user_id % 25 as int)) as loc, day(ts) + 2000 as y,
     case event_type when 'click' then 'HIV_0000000026' when 'view' then 'MDG_0000000029' when 'purchase' then 'TB_1' when 'signup' then 'TB_c_newinc' else 'EMFLIMIT' end as code,
     case event_type when 'click' then 'Number of new HIV infections' when 'view' then 'Prevalence of HIV among adults (%)' when 'purchase' then 'Tuberculosis treatment coverage' when 'signup' then 'Tuberculosis cases' else 'Magnetic flux density' end as name,
@@ -269,14 +274,14 @@ PRIMARY_SQL = f"select * from (select location_code, year, numeric_value_clean a
 @Q.add("pip11_primary_observations", f"""select h.location_code, make_date(cast(h.year as int), 12, 31) as date, h.value, p.value as hiv_prevalence_adults_percent, coalesce(c.location, h.location_code) as location, 'HIV/AIDS' as disease from ({PRIMARY_SQL}) h
     left join (select location_code, year, max(numeric_value_clean) as value from ({CATALOG_SQL}) where indicator_code = 'MDG_0000000029' and is_selected_country group by 1, 2) p on p.location_code = h.location_code and p.year = h.year left join v_catalog c on c.location_code = h.location_code where h.year is not null""")
 def _(v):
-    out = cleaning.primary_observations(catalog(v), v.catalog)
+    out = cleaning.primary_observations(silver_catalog(v), v.catalog)
     return out.select("location_code", "date", "value", "hiv_prevalence_adults_percent", "location", "disease")
 
 
 @Q.add("pip11_auxiliary_indicators", f"""select location_code, year, max(case when indicator_code = 'TB_1' then numeric_value_clean end) as who_tb_treatment_coverage_percent, max(case when indicator_code = 'TB_c_newinc' then numeric_value_clean end) as who_tb_new_relapse_cases,
     max(case when indicator_code = 'TB_c_newinc' then low end) as who_tb_new_relapse_cases_low from ({CATALOG_SQL}) where is_selected_country and numeric_value_clean is not null and indicator_code in ('TB_1', 'TB_c_newinc') group by 1, 2""")
 def _(v):
-    out = cleaning.auxiliary_indicators(catalog(v))
+    out = cleaning.auxiliary_indicators(silver_catalog(v))
     return out.select("location_code", "year", "who_tb_treatment_coverage_percent", "who_tb_new_relapse_cases", "who_tb_new_relapse_cases_low")
 
 
@@ -331,7 +336,7 @@ def _(v):
     arg_max(value, date) filter (value <> 0) as last_nonzero_value, count(case when b is null or date > b then 1 end) as trailing_zero_periods, count(case when b is null or date > b then 1 end) >= case min(frequency) when 'daily' then 28 when 'weekly' then 8 else 2 end as reporting_stale, count(case when has_weather then 1 end) as weather_points
     from v_features f left join (select location_code, disease, max(case when value <> 0 then date end) as b from v_features group by 1, 2) k on k.location_code = f.location_code and k.disease = f.disease group by 1, 2""")
 def _(v):
-    out = risk.series_summaries(v.features)
+    out = risk.series_summaries(v.gold)
     return out.select(
         *SERIES, "frequency", "start_date", "end_date", "records", "current_value", F.round("current_rolling_value", 4).alias("current_rolling_value"), "last_nonzero_date", "last_nonzero_value",
         "trailing_zero_periods", "reporting_stale", "weather_points",

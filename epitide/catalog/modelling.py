@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epitide.catalog import reporting
-from epitide.catalog.assembling import CATALOG_SQL, catalog
+from epitide.catalog.assembling import CATALOG_SQL, silver_catalog
 from epitide.catalog.registry import Registry
 from epitide.catalog.summarising import metrics_sql
 from epitide.catalog.views import SERIES
@@ -258,7 +258,7 @@ def _(v):
 @Q.add("qry13_indicator_summary", f"""select indicator_code, min(indicator_name) as indicator_name, string_agg(distinct usage_class, ' | ') as usage_class, count(*) as rows, count(numeric_value_clean) as numeric_rows, count(case when is_selected_country then 1 end) as selected_country_rows,
     count(distinct case when is_selected_country then location_code end) as selected_country_count, min(year) as year_min, max(year) as year_max, cast(sum(duplicate_source_count - 1) as bigint) as duplicate_raw_rows, count(case when duplicate_content_conflict then 1 end) as duplicate_content_conflict_groups from ({CATALOG_SQL}) group by 1""")
 def _(v):
-    out = aggregates.indicator_summary(catalog(v))
+    out = aggregates.indicator_summary(silver_catalog(v))
     return out.select(
         "indicator_code", "indicator_name", "usage_class", "rows", "numeric_rows", "selected_country_rows", "selected_country_count", "year_min", "year_max", "duplicate_raw_rows", "duplicate_content_conflict_groups"
     )

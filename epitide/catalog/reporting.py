@@ -154,7 +154,7 @@ def _(v):
     (select count(*) from (select distinct location_code, year from ({assembling.CATALOG_SQL}) where is_selected_country and numeric_value_clean is not null and indicator_code in ('TB_1', 'TB_c_newinc'))) as auxiliary_rows from ({assembling.CATALOG_SQL}))
     unpivot (value for metric in (input_rows, output_rows, duplicate_rows_removed, duplicate_key_groups, duplicate_content_conflict_groups, invalid_raw_json_rows, indicator_count, numeric_rows, selected_country_numeric_rows, future_date_rows, primary_candidate_rows, primary_no_data_rows, primary_observation_rows, primary_year_gap_count, auxiliary_rows))""")
 def _(v):
-    rows = assembling.catalog(v)
+    rows = assembling.silver_catalog(v)
     return quality.catalog_report(rows, cleaning.primary_observations(rows, v.catalog), cleaning.auxiliary_indicators(rows), assembling.YEAR_NOW)
 
 

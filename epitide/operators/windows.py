@@ -304,7 +304,7 @@ def positional_split(df: DataFrame, date: str, train: float = 0.70, valid: float
     The ranking runs over distinct dates only (calendar-bounded), never over the rows.
     """
     dates = df.select(date).distinct().withColumn("_pos", F.row_number().over(Window.orderBy(date)) - 1)
-    total = dates.groupBy().agg(F.count("*").alias("n")).select("n").scalar()
+    total = df.agg(F.count_distinct(F.col(date))).scalar()
     n = F.col("_n")
     last_train = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * train).cast("int") - 1))
     last_valid = F.greatest(last_train + 1, F.least(n - 1, F.floor(n * (train + valid)).cast("int") - 1))

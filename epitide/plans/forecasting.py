@@ -29,10 +29,8 @@ def time_split(df: DataFrame, date: str = "date", train: float = 0.70, valid: fl
     Without groups the bounds are scalar subqueries; with groups they are aggregated and joined back.
     """
     if not by:
-        lo, hi = df.agg(F.min(date)).scalar(), df.agg(F.max(date)).scalar()
-        return df.withColumns({"_lo": lo, "_hi": hi}).withColumn(
-            "split", _split_label(date, F.col("_lo"), F.col("_hi"), train, valid)
-        ).drop("_lo", "_hi")
+        rows = aggregates.attach(df, df.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi")))
+        return rows.withColumn("split", _split_label(date, F.col("_lo"), F.col("_hi"), train, valid)).drop("_lo", "_hi")
     bounds = df.groupBy(*by).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     return df.join(bounds, by).withColumn("split", _split_label(date, F.col("_lo"), F.col("_hi"), train, valid)).drop("_lo", "_hi")
 
@@ -153,11 +151,11 @@ def sequence_set(
     regular = regular_series(features, frequency, value, max_gap)
     rows = windows.window_arrays(regular, SERIES, "date", "series_value", length, horizon, average=schema.ROLLING_WINDOW[frequency])
     known = rows.where("target IS NOT NULL")
-    lo, hi = known.agg(F.min("date")).scalar(), known.agg(F.max("date")).scalar()
+    bounds = known.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     split = F.when(F.col("target").isNull(), "forecast_only").otherwise(
         _split_label("date", F.col("_lo"), F.col("_hi"), 0.70, 0.15)
     )
-    return rows.withColumns({"_lo": lo, "_hi": hi}).withColumn("split", split).drop("_lo", "_hi", "series_value")
+    return aggregates.attach(rows, bounds).withColumn("split", split).drop("_lo", "_hi", "series_value")
 
 
 def regular_series(features: DataFrame, frequency: str, value: str, max_gap: int | None = None) -> DataFrame:
@@ -199,9 +197,8 @@ def log_scaler(sequences: DataFrame) -> DataFrame:
 
 def standardise(sequences: DataFrame) -> DataFrame:
     """Windows and targets on the log scale, standardised with train statistics."""
-    scaler = log_scaler(sequences)
-    mean, std = scaler.select("mean").scalar(), scaler.select(F.nullif("std", F.lit(0.0)).alias("std")).scalar()
-    rows = sequences.withColumns({"_m": mean, "_s": F.coalesce(std, F.lit(1.0))})
+    scaler = log_scaler(sequences).select(F.col("mean").alias("_m"), F.coalesce(F.nullif("std", F.lit(0.0)), F.lit(1.0)).alias("_s"))
+    rows = aggregates.attach(sequences, scaler)
     return rows.withColumns({
         "input_scaled": F.transform("input_window", lambda v: (F.log1p(v) - F.col("_m")) / F.col("_s")),
         "target_scaled": (F.log1p(measures.clip_zero("target")) - F.col("_m")) / F.col("_s"),

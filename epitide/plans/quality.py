@@ -95,11 +95,10 @@ def overlap_report(
     ]).agg(F.coalesce(F.sum("_e"), F.lit(0)).alias("date_parse_errors"))
     doubled = aggregates.duplicate_summary(weather, ["location_code", "date"]).select(F.col("duplicated_keys").alias("weather_duplicate_keys"))
     doubled_pop = pop.agg(F.count_if(F.col("_pop_rows") > 1).alias("population_duplicate_codes"))
-    # Each part is a single aggregate row; a constant key lines them up.
-    out = name_counts.withColumn("_k", F.lit(1))
+    out = name_counts
     for part in (days, errors, doubled, doubled_pop):
-        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k").withColumns({
+        out = aggregates.attach(out, part)
+    return out.withColumns({
         "mapping_success_rate": F.round(F.coalesce(F.try_divide(F.col("mapped_population_count"), F.col("country_count")), F.lit(0.0)), 6),
         "enough_locations": F.col("common_locations") >= min_locations,
         "enough_common_days": F.col("max_common_days") >= min_days,
@@ -151,7 +150,7 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
         F.coalesce(F.sum("c"), F.lit(0)).alias("overlap_rows"), F.round(share, 6).alias("within_5_percent_share")
     )
     median = aggregates.exact_median(counts, 0.0, 1.0).select(F.round("median", 6).alias("median_relative_difference"))
-    return summary.withColumn("_k", F.lit(1)).join(median.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return aggregates.attach(summary, median)
 
 
 def serving_report(features: DataFrame) -> DataFrame:
@@ -170,9 +169,9 @@ def serving_report(features: DataFrame) -> DataFrame:
         *rate,
     )
     doubled = aggregates.duplicate_summary(features, ["location_code", "disease", "date"]).select(
-        F.col("surplus_rows").alias("duplicate_count"), F.lit(1).alias("_k")
+        F.col("surplus_rows").alias("duplicate_count")
     )
-    return main.withColumn("_k", F.lit(1)).join(doubled, "_k").drop("_k")
+    return aggregates.attach(main, doubled)
 
 
 def source_status(parts: DataFrame) -> DataFrame:

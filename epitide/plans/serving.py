@@ -97,7 +97,7 @@ def overview(features: DataFrame, main_disease: str) -> DataFrame:
         F.sum("total_cases").alias("current_total_cases"),
         F.sum("total_deaths").alias("current_total_deaths"),
         F.sum("value").alias("current_new_cases"),
-    ).withColumn("_k", F.lit(1))
+    )
     totals = features.agg(
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
@@ -105,8 +105,8 @@ def overview(features: DataFrame, main_disease: str) -> DataFrame:
         F.count_distinct("disease").alias("diseases"),
         F.count("*").alias("valid_records"),
         aggregates.completeness(features, list(schema.REQUIRED_OBSERVATION)).alias("data_completeness"),
-    ).withColumn("_k", F.lit(1))
-    return totals.join(snapshot, "_k").drop("_k")
+    )
+    return aggregates.attach(totals, snapshot)
 
 
 def overview_selected(

@@ -54,6 +54,36 @@ def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", ["pip14_multi_frequency_features", "qlt05_dataset_overlap", "qlt08_source_reconciliation", "qlt09_serving_report", "qry01_overview", "sca33_topic_discovery", "joi12_calendar_grid", "mlt01_chronological_split"])
+def test_plans_have_no_cross_join_and_no_python(spark, tables, name):
+    plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert word not in plan
+
+
+def test_feature_windows_share_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    from epitide.operators import windows
+
+    df = spark.range(100).select(
+        F.lit("A").alias("location_code"), (F.col("id") % 3).cast("string").alias("disease"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        F.lit("daily").alias("frequency"), F.col("id").cast("double").alias("value"), F.lit(None).cast("double").alias("published_smoothed"),
+    )
+    plan = windows.frequency_features(df, ["location_code", "disease"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("- Sort [") + plan.count(" Sort [") <= 2
+    assert plan.count("Window [") == 2
+
+
+def test_filters_and_columns_reach_the_scan(spark, tables):
+    from epitide.catalog.views import Views
+    from epitide.plans import serving
+
+    rows = serving.filter_series(Views(spark, tables).gold, "NAD", "COVID-19", "1997-01-01").select("date", "value")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(location_code,NAD)" in plan and "growth_rate_7" not in plan
+
+
 def test_names_are_unique():
     from epitide.catalog import all_queries
 
