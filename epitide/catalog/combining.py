@@ -60,9 +60,6 @@ def _(v):
     return joins.reconcile_pairs(orders, items, ["order_key"], "total", ("_orders", "_items"))
 
 
-INDICATORS = {"deaths_all_ages": "n > 20", "case_detection_rate": "n > 22", "treatment_success": "n > 24"}
-
-
 @Q.add("joi08_indicator_left_joins", """select y.location_code, y.year, y.n, a.total as deaths_all_ages, b.total as case_detection_rate, c.total as treatment_success from v_y y
     left join v_y a on a.location_code = y.location_code and a.year = y.year and a.n > 80 left join v_y b on b.location_code = y.location_code and b.year = y.year and b.n > 85
     left join v_y c on c.location_code = y.location_code and c.year = y.year and c.n > 90""".replace("v_y", "(select location_code, year(date) as year, count(*) as n, cast(sum(amount) as double) as total from v_orders group by 1, 2)"))

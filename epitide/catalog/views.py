@@ -12,9 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from epitide import schema
 from epitide.functions import calendar
-from epitide.operators import joins, reshape, windows
+from epitide.operators import reshape, windows
 from epitide.plans import cleaning, features, forecasting, risk
 from epitide.sources import scratch, sinks
 

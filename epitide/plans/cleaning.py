@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epitide import schema
@@ -417,7 +415,3 @@ def wide_case_series(df: DataFrame, country: str, dates: list[str]) -> DataFrame
     long = long.withColumn("date", F.to_date("date"))
     daily = windows.diff_cumulative(long, [country], "date", {"total": "change"})
     return daily.withColumn("change", measures.clip_zero("change"))
-
-
-def combine(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

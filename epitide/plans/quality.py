@@ -276,14 +276,6 @@ def invariants(features: DataFrame, daily: DataFrame, annual: DataFrame) -> Data
     return reshape.union_all(checks)
 
 
-def unmapped(cases: DataFrame, mapping: DataFrame) -> DataFrame:
-    return joins.unmapped_names(cases, mapping, "name").orderBy("name")
-
-
-def column_profile_types(df: DataFrame, date_columns: list[str]) -> DataFrame:
-    return aggregates.column_types(df, date_columns)
-
-
 def parse_errors(df: DataFrame, column: str, *formats: str) -> DataFrame:
     value = text.blank_to_null(column)
     return df.agg(F.count_if(value.isNotNull() & text.parse_date(value, *formats).isNull()).alias("date_parse_errors"))
