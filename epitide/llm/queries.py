@@ -5,9 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epitide.llm import bpe
+from epitide.llm import bpe, ngram_join
 from epitide.llm.common import table
 
 
 def op2_byte_bpe(spark: SparkSession, folder: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.read_ranks(public_tokenizers.path(vocabulary)), public_tokenizers.PATTERN)
+
+
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, folder, "documents"))
+
+
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, row_number() over () as r,
+    [v for v in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if v <> ''] as w
+  from documents
+), sets as (
+  select doc_id, r, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) end as s
+  from words
+), kinds as (
+  select s, len(s) as n, min(doc_id) as id from sets where len(s) > 0 group by s
+), grams as (select id, n, unnest(s) as g from kinds
+), links as (
+  select a.id as x, b.id as y from grams a join grams b on a.g = b.g and a.id <> b.id
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(x, y) as (
+  select id, id from kinds union select reach.x, links.y from reach join links on reach.y = links.x
+), least as (select x, min(y) as c from reach group by x)
+select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(least.c, sets.doc_id) as component_id
+from sets left join kinds on sets.s = kinds.s left join least on kinds.id = least.x
+"""

@@ -10,5 +10,8 @@ from epitide.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": q.op2_byte_bpe,
+    "op8_ngram_join": q.op8_ngram_join,
+}
+ORACLES: dict[str, str] = {
+    "op8_ngram_join": q.OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
