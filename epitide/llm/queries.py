@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epitide.llm import bpe, ngram_join
+from epitide.llm import bpe, ngram_join, suffix_dedup
 from epitide.llm.common import table
 
 
@@ -38,3 +39,10 @@ with recursive words as (
 select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(least.c, sets.doc_id) as component_id
 from sets left join kinds on sets.s = kinds.s left join least on kinds.id = least.x
 """
+
+
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+    )

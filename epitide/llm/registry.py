@@ -10,8 +10,10 @@ from epitide.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": q.op2_byte_bpe,
+    "op3_suffix_dedup": q.op3_suffix_dedup,
     "op8_ngram_join": q.op8_ngram_join,
 }
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": q.op3_suffix_dedup,
     "op8_ngram_join": q.OP8_SQL,
 }
