@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, ngram_join, suffix_dedup
+from epitide.llm import bpe, fingerprint, ngram_join, suffix_dedup
 from epitide.llm.common import table
 
 
@@ -46,3 +46,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"))

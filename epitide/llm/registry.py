@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from epitide.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": q.op1_fingerprints,
     "op2_byte_bpe": q.op2_byte_bpe,
     "op3_suffix_dedup": q.op3_suffix_dedup,
     "op8_ngram_join": q.op8_ngram_join,
