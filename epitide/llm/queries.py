@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, fingerprint, ngram_join, suffix_dedup
+from epitide.llm import bpe, fingerprint, ngram_join, quality, suffix_dedup, toxicity
 from epitide.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join_components(table(spark, folder, "documents"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 OP8_SQL = r"""
 with recursive words as (
   select doc_id, row_number() over () as r,
