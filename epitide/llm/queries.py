@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, fingerprint, ngram_join, quality, suffix_dedup, toxicity
+from epitide.llm import ann, bpe, fingerprint, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from epitide.llm.common import table
 
 
@@ -18,10 +18,24 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join_components(table(spark, folder, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op5_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages have no labels of their own: a page's outcome is the quality label with the page's id, 0 being bad."""
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.judged(table(spark, folder, "pages"), outcomes)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 

@@ -12,7 +12,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": q.op1_fingerprints,
     "op2_byte_bpe": q.op2_byte_bpe,
     "op3_suffix_dedup": q.op3_suffix_dedup,
+    "op4_neighbours": q.op4_neighbours,
+    "op5_mixture": q.op5_mixture,
     "op6_quality": q.op6_quality,
+    "op7_url_filter": q.op7_url_filter,
     "op8_ngram_join": q.op8_ngram_join,
     "op10_toxicity": q.op10_toxicity,
 }
