@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import ann, bpe, fingerprint, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from epitide.llm import ann, bpe, fingerprint, html_text, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from epitide.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"), outcomes)
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.texts(table(spark, folder, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from epitide.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": q.op6_quality,
     "op7_url_filter": q.op7_url_filter,
     "op8_ngram_join": q.op8_ngram_join,
+    "op9_html_text": q.op9_html_text,
     "op10_toxicity": q.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": q.op3_suffix_dedup,
