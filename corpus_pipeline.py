@@ -24,28 +24,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component (of repeated ids the first in the order of the scan);
-    documents without words or id stay."""
-    docs = docs.select(*COLUMNS)
-    found = ngram_join.join_components(docs)
-    heads = found.where("n_shingles > 0 and doc_id is not null").where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(heads, "doc_id", "left_anti")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """The document with the smallest id of each component; documents without words stay."""
+    return ngram_join.representatives(docs.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 100 bytes that start earlier; a character that lost a byte goes whole."""
     rows = suffix_dedup.dedup(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, whole_characters("kept")).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
-def whole_characters(kept):
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs.select(*COLUMNS))
 

@@ -41,8 +41,8 @@ def fit(docs: DataFrame, chosen: DataFrame, train: Callable[[list[str], np.ndarr
         np.savez(out, **train(texts, mark))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    got = rows.mapInArrow(run, "model binary").first()  # one row of fixed size
-    return dict(np.load(io.BytesIO(got["model"])))
+    got = rows.mapInArrow(run, "model binary").first()  # one row of fixed size; none without rows
+    return dict(np.load(io.BytesIO(got["model"]))) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], apply: Callable[[pa.Array, dict], np.ndarray]) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epitide.llm.common import MAX_LONG, Ranges, mix, text_chunks
@@ -273,3 +273,12 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
     whole = rows.join(keys, "_row", "left_anti").select("doc", F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return touched.mapInArrow(cut, schema).union(whole).select("doc.*", "kept", "n_removed", "n_spans")
+
+
+def whole_characters(kept: Column) -> Column:
+    """The text of kept bytes without characters that lost a byte."""
+    @F.pandas_udf("string")
+    def read(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return read(kept)
