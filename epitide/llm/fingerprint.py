@@ -9,10 +9,11 @@ their generalised Jaccard similarity.
 The same draw, rearranged so that weight 1 costs one hash: r b and r (1 - b) are independent Exp(1) values e1 and e2,
 and a(1) = c exp(-e2) is Exp(1). So a(1) = -ln(1 - u) comes first, e2 = ln(1 + E / a(1)) with E ~ Exp(1) follows its
 distribution given a(1), r = e1 + e2 is the gamma sample, and a(s) = a(1) exp(-r t) with t = floor((ln s + e1) / r).
-Values are kept as 1 - exp(-a) on a 63-bit scale, on which a(1) is u itself.
+Values are compared as 1 - exp(-a) on a 63-bit scale, on which a(1) is u itself; of the smallest value the lowest 16
+bits are kept, so that samples of different terms agree by chance once in 65,536.
 
 Rows that agree in doc_id and text are one document: they get the same results, and the next document is the next
-different one. A null text is empty; all empty texts agree with each other and with nothing else. Null ids come last.
+different one. A null text is empty; all texts without words agree with each other and with nothing else. Null ids come last.
 """
 
 from __future__ import annotations
@@ -25,16 +26,17 @@ from epitide.sources.scratch import materialise
 
 SAMPLES, BLOCK = 64, 8
 WORDS = 5
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Bytes of text in one partition, so that the terms of a partition fit in memory.
 PARTITION_BYTES = 5 << 20
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """id, h, n, next_id, next_h for each different (id, h): the next in descending order of id; after the last, the first.
-
-    Ranges of ids are sorted apart; only the first row of each range meets those of the others.
+    """id, h, n, copies, next_id, next_h for each different (id, h): the next in descending order of id; after the last,
+    the first. Ranges of ids are sorted apart; only the first row of each range meets those of the others.
     """
-    rows = docs.groupBy("id", "h").agg(F.first("n").alias("n"))
+    rows = docs.groupBy("id", "h").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
     order = [F.col("id").desc(), F.col("h")]
     rows = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     inner = Window.partitionBy("part").orderBy(*order)
@@ -43,21 +45,22 @@ def successors(docs: DataFrame) -> DataFrame:
     ranges = Window.orderBy("part")  # one row for each range
     heads = heads.withColumn("after", F.coalesce(F.lead("head").over(ranges), F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, 0)))).select("part", "after")
     return rows.join(heads, "part").withColumn("follow", F.coalesce("follow", "after")).select(
-        "id", "h", "n", F.col("follow.id").alias("next_id"), F.col("follow.h").alias("next_h")
+        "id", "h", "n", "copies", F.col("follow.id").alias("next_id"), F.col("follow.h").alias("next_h")
     )
 
 
 def edited_texts(docs: DataFrame, follow: DataFrame, partitions: int) -> DataFrame:
-    """id, h, text, edited: the last third of the code points replaced by as many first ones of the next document."""
-    placed = docs.select("id", "h", "text").repartition(partitions, "id", "h")
-    wanted = follow.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
-    heads = placed.join(wanted, ["id", "h"]).groupBy(F.col("to_id").alias("id"), F.col("to_h").alias("h")).agg(F.first(F.expr("left(text, k)")).alias("head"), F.first("k").alias("k"))
-    both = placed.dropDuplicates(["id", "h"]).join(heads, ["id", "h"])
-    return both.select("id", "h", "text", F.concat(F.expr("left(text, char_length(text) - k)"), F.col("head")).alias("edited"))
+    """The columns of `follow`, text, and edited: the last third of the code points replaced by as many first ones of
+    the next document. Texts are shuffled once."""
+    placed = docs.select("id", "h", "text").repartition(partitions, "id", "h").dropDuplicates(["id", "h"])
+    wanted = follow.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.struct("*").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("k"))
+    heads = placed.join(wanted, ["id", "h"]).select("to.*", "k", F.expr("left(text, k)").alias("head"))
+    both = placed.join(heads, ["id", "h"])
+    return both.select(*follow.columns, "text", F.concat(F.expr("left(text, char_length(text) - k)"), F.col("head")).alias("edited"))
 
 
 def _terms(text: str) -> Column:
-    return F.split(F.col(text), r"[\x20\x09-\x0D]+")
+    return F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
 
 
 def _value(weight: Column, log_weight: Column, sample: Column) -> Column:
@@ -75,7 +78,7 @@ def _value(weight: Column, log_weight: Column, sample: Column) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, and the samples of columns `a` and `b` as arrays of SAMPLES ints. Rows are already dealt by `keys`."""
+    """keys, and the samples of columns `a` and `b` as arrays of SAMPLES smallints. Rows are already dealt by some keys."""
     sides = F.array(*(F.struct(_terms(c).alias("w"), F.lit(i).alias("side")) for i, c in enumerate((a, b))))
     rows = texts.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.side", "x.w")
     rows = rows.select(*keys, "side", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WORDS, F.lit(0)))).alias("i"))
@@ -87,7 +90,7 @@ def signatures(texts: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     found = rows.groupBy(*keys, "block").agg(
         *(F.min(_value(F.col(f"w{s}"), F.col(f"l{s}"), samples[k])).alias(f"{s}{k}") for s in "ab" for k in range(BLOCK))
     )
-    low = lambda c: F.col(c).bitwiseAND(0x7FFFFFFF).cast("int")
+    low = lambda c: (F.col(c).bitwiseAND(0xFFFF) - 0x8000).cast("smallint")
     blocks = found.select(*keys, F.struct("block", *(F.array(*(low(f"{s}{k}") for k in range(BLOCK))).alias(s) for s in "ab")).alias("block"))
     blocks = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # SAMPLES / BLOCK rows a key
     return blocks.select(*keys, F.flatten("blocks.a").alias("a"), F.flatten("blocks.b").alias("b"))
@@ -99,26 +102,25 @@ def likeness(x: Column, y: Column) -> Column:
 
 
 def as_text(x: Column) -> Column:
-    """Samples as hexadecimal, 8 digits each."""
-    return F.array_join(F.transform(x, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+    """Samples as hexadecimal, 4 digits each."""
+    return F.array_join(F.transform(x, lambda v: F.lpad(F.lower(F.hex(v.cast("int") + 0x8000)), 4, "0")), "")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of `docs`."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.char_length(text).cast("long").alias("n"),
+        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.char_length(text).cast("long").alias("n"),
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
-    follow = materialise(successors(docs), "order")
+    follow = materialise(successors(docs.drop("text")), "order")
     texts = edited_texts(docs, follow, partitions)
-    keys = ["id", "h", "edited_sha256"]
-    found = materialise(signatures(texts.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "text", "edited"), "fingerprints")
+    samples = signatures(texts, ["id", "h"], "text", "edited")  # few key columns: one row for each term passes here
+    found = materialise(samples.join(texts.select(*follow.columns, F.sha2("edited", 256).alias("edited_sha256")), ["id", "h"]), "fingerprints")
     after = found.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("a").alias("c"))
-    full = follow.join(found, ["id", "h"]).join(after, ["next_id", "next_h"])
-    full = full.select(
-        "id", "h", F.col("n").alias("n_chars"), "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
-    )
-    return docs.select("doc_id", "id", "h").join(full, ["id", "h"]).drop("id", "h")
+    full = found.join(after, ["next_id", "next_h"])
+    return full.select(
+        F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy")
