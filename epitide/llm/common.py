@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Fixed constants of the splitmix64 generator.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 MAX_LONG = (1 << 63) - 1
 
 

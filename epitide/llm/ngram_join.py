@@ -8,10 +8,11 @@
 3. An inverted list of each prefix shingle holds groups. Lists with one group are dropped.
 4. In each list one group is the pivot (the one with the most shared shingles): the pairs of pivot and member, and of
    a group's classes with its first class, are expanded to classes and verified on whole texts. Their number follows
-   the lists' length.
+   the lists' length. Pairs need fitting sizes and enough common prefix shingles: of the k shingles two sets of sizes
+   n >= m must share, at most ceil(t n) - 1 stand behind the prefix of either, so the first k - ceil(t n) + 1 stand in both.
 5. Only lists whose classes are not one component by then are opened: pairs from different components that were not
-   tried yet and have fitting sizes are verified too. A pair inside a component needs no check, any other pair that
-   could link has been verified, so no link between components is lost.
+   tried yet are verified by the same rules. A pair inside a component needs no check, any other pair that could link
+   has been verified, so no link between components is lost.
 
 Rows without words have an empty set, no links and their own id as component. Repeated rows are one class. A null
 doc_id is linked like any other; its component is the smallest id of the component that is not null, else null.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import mix
+from epitide.llm.common import MAX_LONG, mix
 from epitide.llm.components import components
 from epitide.llm.shingles import shingle_sets
 from epitide.sources.scratch import materialise
@@ -123,12 +124,14 @@ def _fits(a: str, b: str, per_cent: int) -> F.Column:
     return (F.col(a) * 100 >= F.col(b) * per_cent) & (F.col(b) * 100 >= F.col(a) * per_cent)
 
 
-def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
+def _enough(a: str, b: str, per_cent: int) -> F.Column:
+    """Whether n common prefix shingles suffice for sets of sizes a and b."""
+    share = F.ceil((F.col(a) + F.col(b)) * per_cent / (100 + per_cent))
+    return F.col("n") > share - F.ceil(F.greatest(a, b) * per_cent / 100)
+
 
-    Row numbers come from the scan, so `docs` should be read from files or be otherwise stable between reads.
-    """
-    docs = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """_row, doc_id, cls, size of each row of `docs` (_row, doc_id, text), and cls, root, component_id of each class."""
     members = materialise(prefixes(docs, words, per_cent), "prefixes")
     solid = members.where("size > 0")
     classes = materialise(
@@ -142,7 +145,7 @@ def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> Data
     heads = classes.groupBy("gk").agg(F.min(F.struct("cls", "row")).alias("h"), F.first("size").alias("size")).select("gk", "size", F.col("h.cls").alias("a"), F.col("h.row").alias("ra"))
     ranked = lists.join(lists.groupBy("gk").agg((-F.count("*")).alias("fewer")), "gk").join(heads.select("gk", "size"), "gk")
     pivots = ranked.groupBy("token").agg(F.min(F.struct("fewer", "gk", "size")).alias("p")).select("token", F.col("p.gk").alias("pk"), F.col("p.size").alias("psize"))
-    stars = ranked.join(pivots, "token").where((F.col("gk") != F.col("pk")) & _fits("size", "psize", per_cent)).select("pk", "gk").distinct()
+    stars = ranked.join(pivots, "token").where((F.col("gk") != F.col("pk")) & _fits("size", "psize", per_cent)).groupBy("pk", "gk", "psize", "size").agg(F.count("*").alias("n")).where(_enough("psize", "size", per_cent)).select("pk", "gk")
     one = classes.select("gk", F.col("cls").alias("b"), F.col("row").alias("rb"))
     star_pairs = heads.select(F.col("gk").alias("pk"), "a", "ra").join(stars, "pk").join(one, "gk").select("a", "ra", "b", "rb")
     inner_pairs = heads.select("gk", "a", "ra").join(one, "gk").where("a <> b").select("a", "ra", "b", "rb")
@@ -156,7 +159,8 @@ def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> Data
     mixed = materialise(spread.join(split, "token"), "open")
     x = mixed.select("token", F.col("cls").alias("a"), F.col("row").alias("ra"), F.col("root").alias("xr"), F.col("size").alias("xs"))
     y = mixed.select("token", F.col("cls").alias("b"), F.col("row").alias("rb"), F.col("root").alias("yr"), F.col("size").alias("ys"))
-    more = x.join(y, "token").where((F.col("xr") < F.col("yr")) & _fits("xs", "ys", per_cent)).select("a", "ra", "b", "rb").distinct()
+    more = x.join(y, "token").where((F.col("xr") < F.col("yr")) & _fits("xs", "ys", per_cent))
+    more = more.groupBy("a", "ra", "b", "rb", "xs", "ys").agg(F.count("*").alias("n")).where(_enough("xs", "ys", per_cent)).select("a", "ra", "b", "rb")
     done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(more.join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
@@ -164,7 +168,29 @@ def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> Data
 
     named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(least, "root").select("cls", "component_id"), "components")
-    return members.select("doc_id", "size", "cls").join(named, "cls", "left").select(
+    return members, materialise(named.join(least, "root").select("cls", "root", "component_id"), "components")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with the numbers of the scan; `docs` should be read from files or be otherwise stable between reads."""
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+
+
+def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
+    members, named = linked(_numbered(docs), words, per_cent)
+    return members.select("doc_id", "size", "cls").join(named.select("cls", "component_id"), "cls", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of `docs` that are the first of their component, by doc_id (null last) and then the order of the scan;
+    rows without words stay."""
+    members, named = linked(_numbered(docs), words, per_cent)
+    solid = members.where("size > 0").join(named.select("cls", "root"), "cls")
+    first = solid.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("id"), "_row")).alias("f")).select("f._row")
+    gone = materialise(members.where("size > 0").select("_row").join(first, "_row", "left_anti"), "rows")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select("doc.*")
