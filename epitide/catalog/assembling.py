@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from epitide import schema
 from epitide.catalog.registry import Registry
@@ -79,8 +79,8 @@ def published_raw(v):
     case when n > 1 then case when n > 2 then 0.0 else cast(0 as double) end end as new_deaths, coalesce(n > 2, false) as is_negative_death_correction, cast(n * 10 as double) as source_population
     from (select *, row_number() over (partition by location_code order by date) as r from v_totals where date between '1996-01-01' and '1999-12-31' and location_code <> 'NAD')""")
 def _(v):
-    codes = [f"NA{chr(65 + k)}" for k in NATIONS if k != 3]
-    out = cleaning.published_series(published_raw(v), codes, "1996-01-01", "1999-12-31")
+    chosen = v.locations.where("location_code <> 'NAD'")
+    out = cleaning.published_series(published_raw(v), chosen, "1996-01-01", "1999-12-31")
     return out.select("location_code", "date", "value", "is_negative_case_correction", "quality_flag", "new_deaths", "is_negative_death_correction", "source_population")
 
 
@@ -238,12 +238,24 @@ def indicator_rows(v):
 
 
 def catalog(v):
-    return cleaning.indicator_catalog(indicator_rows(v), CODES, YEAR_NOW)
+    """The catalog of indicator files: each source file is written as CSV, with a stale version of itself whose columns
+    stand in another order, and only the newest version is read back."""
+    root = scratch.shared_dir(v.spark, "indicator-files")
+    name = F.concat(F.lit("who_"), "topic", F.lit("_"), "source_file", F.lit("_"), F.lit("{}"), F.lit("Z.csv"))
+    rows = indicator_rows(v).drop("indicator")
+    stamped = {"20260101T000000": rows.withColumn("value", F.lit("9999")).select(*reversed(rows.columns)), "20260201T000000": rows}
+    for stamp, part in stamped.items():
+        part = part.withColumn("file", F.replace(name, F.lit("{}"), F.lit(stamp))).drop("source_file", "topic")
+        part.write.mode("append").partitionBy("file").options(**readers.CSV).csv(root)
+    layout = T.StructType([T.StructField(c, T.StringType()) for c in schema.INDICATOR_COLUMNS])
+    read = readers.read_latest(v.spark, root, schema.INDICATOR_FILE_PATTERN, layout, [1, 2], 3)
+    read = read.withColumn("source_file", F.col("indicator")).drop("file_name").withColumn("indicator", F.col("indicator_code"))
+    return cleaning.indicator_catalog(read, v.locations.where(F.col("location_code").isin(*CODES)), YEAR_NOW)
 
 
 def silver_catalog(v):
     """The catalog as later stages read it."""
-    return scratch.kept_table(v.spark, f"catalog:{v.folder}", lambda: catalog(v), sinks.write_parquet)
+    return v.spark.read.parquet(v.kept("catalog", ("events",), lambda path: sinks.write_parquet(catalog(v), path)))
 
 
 _RAW = """select *, cast(json_extract_string(props, '$.k') as int) as k, 'NA' || chr(cast(65 + user_id % 25 as int)) as loc, day(ts) + 2000 as y,
@@ -321,7 +333,7 @@ def _(v):
 
 
 SIMPLE_SQL = """select location_code, disease, score as risk_score, case when score < 35 then '低风险' when score < 55 then '中风险' when score < 75 then '较高风险' else '高风险' end as risk_level from (select *, round((0.6 * (f / m) + 0.4 * abs(coalesce(growth_rate_7, 0))) * 100, 2) as score
-    from (select *, rolling_mean_7 / population * 1000000.0 as f, max(rolling_mean_7 / population * 1000000.0) over () as m from v_latest where population is not null)) order by score desc, location_code, disease limit 200"""
+    from (select *, rolling_mean_7 / population * 1000000.0 as f, max(rolling_mean_7 / population * 1000000.0) over () as m from v_latest where population is not null))"""
 
 
 @Q.add("pip16_risk_score_simple", SIMPLE_SQL)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epitide import schema
 from epitide.catalog import reporting
 from epitide.catalog.assembling import CATALOG_SQL, silver_catalog
 from epitide.catalog.registry import Registry
 from epitide.catalog.summarising import metrics_sql
-from epitide.catalog.views import SERIES
+from epitide.catalog.views import GOLD_INPUTS, SERIES
 from epitide.functions import measures
 from epitide.operators import aggregates
 from epitide.plans import forecasting, quality, serving
@@ -56,21 +57,29 @@ def _(v):
     return aggregates.best_model(forecasting.baseline_comparison(v.gold), ["disease"])
 
 
-NUMERIC = ["lag_1", "lag_7", "rolling_mean_7", "rolling_std_7", "growth_rate_1", "temperature_mean", "precipitation_sum", "population", "month", "day_of_week", "is_weekend"]
+NUMERIC = list(schema.FEATURE_COLUMNS)
 
 
 def training_rows(v):
-    rows = v.gold.where("disease = 'COVID-19' AND target_t_plus_7 IS NOT NULL AND lag_1 IS NOT NULL AND lag_7 IS NOT NULL")
-    rows = rows.withColumn("target_log", measures.log_target("target_t_plus_7")).select(*SERIES, "date", "target_t_plus_7", "target_log", *dict.fromkeys([*NUMERIC, "rolling_mean_7"]))
-    # Boosting reads its input once per tree, so the feature plan is computed once and kept as a table.
-    return scratch.materialise(forecasting.time_split(forecasting.as_numeric(rows, NUMERIC)), "training")
+    """Labelled rows with all feature columns; boosting reads its input once per tree, so they are kept as a table."""
+    def write(path):
+        rows = v.gold.where("disease = 'COVID-19' AND target_t_plus_7 IS NOT NULL AND lag_1 IS NOT NULL AND lag_7 IS NOT NULL")
+        rows = rows.withColumn("target_log", measures.log_target("target_t_plus_7")).select(*SERIES, "date", "target_t_plus_7", "target_log", *NUMERIC)
+        sinks.write_parquet(forecasting.time_split(forecasting.as_numeric(rows, NUMERIC)), path)
 
+    return v.spark.read.parquet(v.kept("training", GOLD_INPUTS, write))
 
-def trained(v, trees: int = 60):
+
+def trained(v):
+    """Training rows and the fitted trees, one model for all questions of an application."""
     rows = training_rows(v)
-    forecasting.require_partitions(rows)
-    numeric = forecasting.usable_numeric(rows.where("split = 'train'"), NUMERIC)
-    return rows, forecasting.fit_gbt(rows.where("split = 'train'"), numeric, trees)
+
+    def write(path):
+        forecasting.require_partitions(rows)
+        train = rows.where("split = 'train'")
+        sinks.save_model(forecasting.fit_gbt(train, forecasting.usable_numeric(train, NUMERIC)), path)
+
+    return rows, sinks.load_model(v.kept("trees", GOLD_INPUTS, write))
 
 
 @Q.add("mlt05_feature_stages")
@@ -93,14 +102,14 @@ def _(v):
 
 @Q.add("mlt07_model_evaluation")
 def _(v):
-    rows, model = trained(v, 10)
+    rows, model = trained(v)
     test = forecasting.gbt_predict(model, rows.where("split = 'test'"))
     return forecasting.evaluate(test, {"gbt": "prediction_gbt", "moving_average": "rolling_mean_7"}, "moving_average")
 
 
 @Q.add("snk07_model_persistence")
 def _(v):
-    rows, model = trained(v, 5)
+    rows, model = trained(v)
     path = scratch.shared_dir(v.spark, "model")
     sinks.save_model(model, path)
     return forecasting.gbt_predict(sinks.load_model(path), rows.where("split = 'test'")).select(*SERIES, "date", "prediction_gbt")
@@ -156,9 +165,9 @@ def _(v):
 
 
 @Q.add("mlt11_prediction_export", """select location_code, disease, date, round(target_t_plus_7, 4) as actual_t_plus_7, round(prediction_t_plus_7, 4) as prediction, round(prediction_t_plus_7 - target_t_plus_7, 4) as error, round(prediction_naive_last_value, 4) as prediction_naive_last_value
-    from (select *, row_number() over (partition by location_code, disease order by date desc) as r from v_scored where target_t_plus_7 is not null) where r <= 2500""")
+    from v_scored where target_t_plus_7 is not null""")
 def _(v):
-    out = forecasting.prediction_export(v.scored, ["naive_last_value"])
+    out = forecasting.prediction_export(v.scored, ["naive_last_value"], None)
     return out.select(*SERIES, "date", *(F.round(c, 4).alias(c) for c in ("actual_t_plus_7", "prediction", "error", "prediction_naive_last_value")))
 
 
@@ -277,5 +286,5 @@ def _(v):
 
 @Q.add("qry16_trend_documents", "select location_code, disease, count(*) as points, min(date) as first_date, max(date) as last_date from v_features group by 1, 2")
 def _(v):
-    docs = serving.trend_documents(v.gold)
+    docs = serving.trend_documents(v.gold, None)
     return docs.select(*SERIES, F.size("points").cast("long").alias("points"), F.element_at("points", 1)["date"].alias("first_date"), F.element_at("points", -1)["date"].alias("last_date"))

@@ -344,7 +344,7 @@ def _(v):
     rows = v.table("pages").withColumn("html", F.concat(
         F.replace(F.col("html"), F.lit('">The</a>'), F.lit('.pdf">The</a>')), F.lit("<p>2024年"), F.col("page_id") % 9 + 1, F.lit("月5日</p>")
     ))
-    out = text.page_metadata(rows, "url", "html")
+    out = text.page_metadata(rows, "url", "html", 800)
     return out.select("page_id", "title", "published_date", F.array_join("attachment_urls", " | ").alias("attachments"), (F.size("attachment_urls") > 0).alias("has_attachment"))
 
 

@@ -68,11 +68,20 @@ FILE_NAME_SQL = """'who_' || case lang when 'en' then 'covid' when 'fr' then 'in
 FILE_NAME = """concat('who_', case lang when 'en' then 'covid' when 'fr' then 'influenza' when 'de' then 'tuberculosis' when 'es' then 'hiv' else lang end, '_', source, '_202607', lpad(string(doc_id % 28 + 1), 2, '0'), 'T', lpad(string(n_chars % 1000000), 6, '0'), 'Z.csv')"""
 
 
-@Q.add("src04_latest_file_per_key", f"""select topic, indicator, max(stamp) as stamp from (select regexp_extract(f, 'who_([a-z]+)_', 1) as topic, regexp_extract(f, 'who_[a-z]+_(.+)_[0-9]+T', 1) as indicator,
-    regexp_extract(f, '_([0-9]+T[0-9]+Z)', 1) as stamp from (select {FILE_NAME_SQL} as f from documents)) group by 1, 2""")
-def _(v):
-    files = v.table("documents").select(F.expr(FILE_NAME).alias("file_name"))
-    return readers.latest_files(files, "file_name", schema.INDICATOR_FILE_PATTERN, [1, 2], 3).select("topic", "indicator", "stamp")
+@Q.add("src04_latest_file_per_key", f"""select topic, indicator, count(*) as rows, sum(v) as total, bool_and(true) as quoted from (select *, max(stamp) over (partition by topic, indicator) as newest from (select n_chars as v, regexp_extract(f, 'who_([a-z]+)_', 1) as topic, regexp_extract(f, 'who_[a-z]+_(.+)_[0-9]+T', 1) as indicator,
+    regexp_extract(f, '_([0-9]+T[0-9]+Z)', 1) as stamp from (select n_chars, {FILE_NAME_SQL.replace("n_chars % 1000000", "doc_id % 4")} as f from documents))) where stamp = newest group by 1, 2""")
+def _(v):
+    """Files with quotes and commas in values and two column orders; only the newest of each key is read."""
+    root = scratch.shared_dir(v.spark, "versions")
+    rows = v.table("documents").select(
+        F.col("n_chars").alias("value"), F.concat(F.lit('{"a, b": "'), F.col("doc_id").cast("string"), F.lit('"}')).alias("raw_json"),
+        F.expr(FILE_NAME.replace("n_chars % 1000000", "doc_id % 4")).alias("file"),
+    )
+    for part in (rows.where("file < 'who_h'"), rows.where("file >= 'who_h'").select("raw_json", "value", "file")):
+        part.write.mode("append").partitionBy("file").options(**readers.CSV).csv(root)
+    read = readers.read_latest(v.spark, root, schema.INDICATOR_FILE_PATTERN, layout(("value", _L), ("raw_json", _S)), [1, 2], 3)
+    whole = F.get_json_object("raw_json", "$['a, b']").cast("long").isNotNull()
+    return read.groupBy("topic", "indicator").agg(F.count("*").alias("rows"), F.sum("value").cast("decimal(38,0)").alias("total"), F.bool_and(whole).alias("quoted"))
 
 
 @Q.add("src04_stale_file_count", f"""select count(*) as input_files, cast(count(distinct k) as bigint) as kept_files, cast(count(*) - count(distinct k) as bigint) as stale_file_count

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epitide import schema
 from epitide.catalog.registry import Registry
 from epitide.catalog.views import EVENT_TYPES, NATIONS, SERIES
 from epitide.functions import text
@@ -68,7 +69,7 @@ def _(v):
 @Q.add("agg05_yearly_statistics", """select location_code, location, disease, year, sum(value) as year_cases, sum(new_deaths) as year_deaths, round(avg(cases_per_million), 6) as avg_cases_per_million, round(avg(growth_rate_7), 6) as avg_growth_rate_7,
     round(avg(temperature_mean), 6) as avg_temperature_mean, max(date) as latest_date from v_features group by 1, 2, 3, 4""")
 def _(v):
-    out = aggregates.yearly_statistics(v.gold)
+    out = aggregates.statistics(v.gold, list(schema.YEARLY_KEYS), schema.YEARLY_STATISTICS)
     return out.withColumns({c: F.round(c, 6) for c in ("avg_cases_per_million", "avg_growth_rate_7", "avg_temperature_mean")})
 
 
@@ -138,9 +139,9 @@ def _(v):
     return aggregates.duplicate_summary(v.table("documents"), ["text"])
 
 
-@Q.add("agg15_duplicate_rows", "select count(*) as total_rows, count(*) - count(distinct (user_id, event_type, props)) as duplicate_rows from events")
+@Q.add("agg15_duplicate_rows", """select count(*) as total_rows, count(*) - (select count(*) from (select distinct user_id, event_type, note from (select *, case event_id % 3 when 0 then null when 1 then '' else props end as note from events))) as duplicate_rows from events""")
 def _(v):
-    return aggregates.duplicate_rows(v.table("events").select("user_id", "event_type", "props"))
+    return aggregates.duplicate_rows(v.table("events").select("user_id", "event_type", F.when(F.col("event_id") % 3 == 1, "").when(F.col("event_id") % 3 == 2, F.col("props")).alias("note")))
 
 
 @Q.add("agg16_duplicate_provenance", """select md5(text) as key, count(*) as duplicate_source_count, string_agg(distinct source, ' | ' order by source) as duplicate_source_files, string_agg(distinct lang, ' | ' order by lang) as duplicate_collector_topics,
@@ -198,10 +199,11 @@ def _(v):
     return model_metrics(v)
 
 
-@Q.add("agg21_guarded_correlation", """select location_code, case when count(*) >= 3 and stddev_pop(day_total) > 0 and stddev_pop(temperature_max) > 0 then round(corr(day_total, temperature_max), 4) end as correlation, count(*) as n
-    from v_totals join v_weather using (location_code, date) group by 1""")
+@Q.add("agg21_guarded_correlation", """select location_code, case when count(t) >= 3 and stddev_pop(d) > 0 and stddev_pop(t) > 0 then round(corr(d, t), 4) end as correlation, count(*) as n
+    from (select location_code, case when t is not null then day_total end as d, t, day_total from (select location_code, day_total, case when day(date) % 3 <> 0 then temperature_max end as t from v_totals join v_weather using (location_code, date))) group by 1""")
 def _(v):
     pairs = v.totals_daily.join(v.weather, ["location_code", "date"])
+    pairs = pairs.withColumn("temperature_max", F.when(F.dayofmonth("date") % 3 != 0, F.col("temperature_max")))  # some are missing
     return pairs.groupBy("location_code").agg(aggregates.safe_corr("day_total", "temperature_max").alias("correlation"), F.count("*").alias("n"))
 
 

@@ -21,6 +21,8 @@ SERIES = ["location_code", "disease"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 NATIONS = list(range(25))
+#: Tables the features are derived from.
+GOLD_INPUTS = ("orders", "customer", "events", "lineitem", "supplier", "nation", "region")
 
 
 def code_of(nation: str) -> Column:
@@ -41,6 +43,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def kept(self, key: str, tables: tuple[str, ...], write) -> str:
+        """Path of a table or model derived from the given tables."""
+        return scratch.kept(self.spark, key, [f"{self.folder}/{t}.parquet" for t in tables], write)
+
     @cached_property
     def orders_located(self) -> DataFrame:
         customers = self.table("customer").select("c_custkey", "c_nationkey")
@@ -173,7 +179,7 @@ class Views:
 
         Kept as a silver table: read from files, its size is known when a join is planned.
         """
-        return scratch.kept_table(self.spark, f"population:{self.folder}", self.yearly_totals, sinks.write_parquet)
+        return self.spark.read.parquet(self.kept("population", ("orders", "customer"), lambda path: sinks.write_parquet(self.yearly_totals(), path)))
 
     def yearly_totals(self) -> DataFrame:
         return (
@@ -253,9 +259,7 @@ class Views:
     @cached_property
     def gold(self) -> DataFrame:
         """The feature table as the serving questions see it: written once, partitioned by year."""
-        return scratch.kept_table(
-            self.spark, f"gold:{self.folder}", lambda: self.features, lambda df, path: sinks.write_partitioned(df, path, ["year"])
-        )
+        return self.spark.read.parquet(self.kept("gold", GOLD_INPUTS, lambda path: sinks.write_partitioned(self.features, path, ["year"])))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -265,7 +269,7 @@ class Views:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return risk.risk_score(self.scored)
+        return risk.risk_score(risk.latest_rows(self.scored))
 
     @cached_property
     def short_series(self) -> DataFrame:

@@ -103,8 +103,3 @@ def anomaly_label(role: Column | str, value: Column | str) -> Column:
         .when((role == "longitude") & ~value.between(-180, 180), "longitude_out_of_range")
         .when((role == "humidity") & ~value.between(0, 100), "humidity_out_of_range")
     )
-
-
-def null_if_nan(c: Column | str) -> Column:
-    c = _col(c)
-    return F.when(~F.isnan(c), c)

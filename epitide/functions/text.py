@@ -183,8 +183,8 @@ def attachment_links(url: Column | str, html: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(documents, lambda h: resolve_link(url, h))))
 
 
-def page_metadata(df: DataFrame, url: str, html: str, preview: int = 800) -> DataFrame:
-    """Title, first date, document links and preview of HTML pages.
+def page_metadata(df: DataFrame, url: str, html: str, preview: int) -> DataFrame:
+    """Title, first date, document links and a preview of so many characters of HTML pages.
 
     The visible text is a column of its own, so the page is stripped once and not per field.
     """

@@ -72,19 +72,29 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int = 200) -> DataFrame:
-    """Several top-n rankings of the same rows, missing values counted as 0.
+def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int | None = None) -> DataFrame:
+    """Several rankings of the same rows, missing values counted as 0; with n, the first n of each.
 
-    Rows are tagged once per ranking in one pass; the rank filter becomes a group limit inside each
-    task, so at most n rows per ranking and task are shuffled.
+    Rows are tagged once per ranking in one pass. With n, the rank filter becomes a group limit inside each task, so at
+    most n rows per ranking and task are shuffled. Without, rows are sorted by range; a row's position is its place in
+    its range plus the rows of the ranking in the ranges before, so no task holds a whole ranking.
     """
     scores = [
         F.struct(F.lit(name).alias("ranking"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("_score"))
         for name, c in measures.items()
     ]
     tagged = df.select("*", F.inline(F.array(*scores)))
-    w = Window.partitionBy("ranking").orderBy(F.desc("_score"), *(F.col(t) for t in ties))
-    return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("_score")
+    order = [F.desc("_score"), *(F.col(t) for t in ties)]
+    if n is not None:
+        w = Window.partitionBy("ranking").orderBy(*order)
+        return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("_score")
+    ranged = tagged.repartitionByRange("ranking", *order).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("ranking", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("ranking").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("ranking", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("ranking", "_range").orderBy(*order)
+    rows = ranged.withColumn("_place", F.row_number().over(inside)).join(offsets, ["ranking", "_range"])
+    return rows.withColumn("position", (F.col("_place") + F.col("_before")).cast("int")).drop("_score", "_range", "_place", "_n", "_before")
 
 
 def series_documents(df: DataFrame, by: list[str], header: list[str], points: list[str], date: str) -> DataFrame:

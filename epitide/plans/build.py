@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from epitide import schema
 from epitide.functions import text
-from epitide.operators import aggregates
+from epitide.operators import aggregates, reshape
 from epitide.plans import cleaning, features as gold, forecasting, quality, risk, serving
 from epitide.sources import readers, sinks
 
 SERIES = ["location_code", "disease"]
-MAX_LOCATIONS = 10_000
 REPORT_RENAMES = {"Province/State": "province_raw", "Country/Region": "country_region", "Last Update": "last_update_raw"}
 PUBLISHED_COLUMNS = {
     "country": "string", "date": "string", "code": "string",
@@ -27,9 +26,11 @@ PUBLISHED_COLUMNS = {
 
 @dataclass
 class RawFiles:
-    """Where the raw files are; a source that is None is skipped."""
+    """Where the raw files are; a source that is None is skipped. Years after current_year are flagged; a date bound of
+    None sets no bound."""
 
     locations: str
+    current_year: int
     mapping: str | None = None
     reports: str | None = None
     published: str | None = None
@@ -42,14 +43,8 @@ class RawFiles:
     page_files: DataFrame | None = None
     hourly: dict[str, str] = field(default_factory=dict)
     hourly_cities: dict[str, list[str]] = field(default_factory=dict)
-    start: str = "1900-01-01"
-    end: str = "2999-12-31"
-    current_year: int = 2026
-
-
-def text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text; types are set by the cleaners."""
-    return spark.read.option("header", True).csv(path)
+    start: str | None = None
+    end: str | None = None
 
 
 def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]:
@@ -64,11 +59,8 @@ def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]
             sinks.write_parquet(df, written[name])
         return readers.read_table(spark, written[name])
 
-    catalog = save("locations", readers.location_catalog(text_csv(spark, raw.locations)))
-    # The catalog is a configuration table: the countries to build.
-    codes = [r["location_code"] for r in catalog.select("location_code").limit(MAX_LOCATIONS + 1).collect()]
-    if len(codes) > MAX_LOCATIONS:
-        raise ValueError(f"the location catalog holds more than {MAX_LOCATIONS} locations")
+    catalog = save("locations", readers.location_catalog(readers.read_text_csv(spark, raw.locations)))
+    codes = catalog.select("location_code")
     observations: list[DataFrame] = []
 
     if raw.reports and raw.mapping:
@@ -82,17 +74,17 @@ def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]
             raise ValueError(f"required columns are missing in {rejected}")
         observations.append(save("published", cleaning.published_series(rows, codes, raw.start, raw.end)))
     if raw.hospital:
-        observations.append(save("hospital", cleaning.weekly_hospital(text_csv(spark, raw.hospital))))
+        observations.append(save("hospital", cleaning.weekly_hospital(readers.read_text_csv(spark, raw.hospital))))
     if raw.weather_root:
         weather = cleaning.weather_silver(readers.read_glob(spark, raw.weather_root, schema.WEATHER_SCHEMA))
-        save("weather", weather.where(F.col("location_code").isin(*codes)), ["year", "location_code"])
+        save("weather", weather.join(codes, "location_code", "left_semi"), ["year", "location_code"])
     if raw.population:
         sources = [cleaning.population_silver(readers.read_csv(spark, raw.population, schema.POPULATION_SCHEMA)).withColumn("source", F.lit("population table"))]
         if raw.yearly_indicators:
-            yearly = text_csv(spark, raw.yearly_indicators)
+            yearly = readers.read_text_csv(spark, raw.yearly_indicators)
             numbers = [c for c in ("year", "population", "urban_population_ratio", "gdp_per_capita") if c in yearly.columns]
             sources.append(yearly.withColumns({c: text.parse_number(c) for c in numbers}))
-        chosen = [s.where(F.upper(F.trim("location_code")).isin(*codes)) for s in sources]
+        chosen = [s.join(codes.withColumnRenamed("location_code", "_code"), F.upper(F.trim("location_code")) == F.col("_code"), "left_semi") for s in sources]
         save("population", cleaning.yearly_population(chosen))
     if raw.indicators_root:
         layout = T.StructType([T.StructField(c, T.StringType()) for c in schema.INDICATOR_COLUMNS])
@@ -108,7 +100,7 @@ def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]
     if raw.hourly:
         # Only the city columns that are used are parsed.
         matrices = {
-            name: text_csv(spark, path).withColumn("at", text.parse_timestamp("datetime"))
+            name: readers.read_text_csv(spark, path).withColumn("at", text.parse_timestamp("datetime"))
             .select("at", *(F.col(f"`{c}`").try_cast("double").alias(c) for cs in raw.hourly_cities.values() for c in cs))
             for name, path in raw.hourly.items()
         }
@@ -143,23 +135,23 @@ def build_gold(spark: SparkSession, silver: dict[str, str], out: str, population
     return path
 
 
-def train_trees(features: DataFrame, out: str, trees: int = 60) -> DataFrame | None:
-    """Boosted trees on the daily eligible rows; scored test rows, or None when there is too little data."""
+def train_trees(features: DataFrame, out: str, trees: int = 60) -> tuple[DataFrame | None, str | None]:
+    """Boosted trees on the daily eligible rows: scored rows, or the reason why there is no model."""
     columns = [c for c in schema.FEATURE_COLUMNS]
     rows = features.where("model_eligible").dropna(subset=list(schema.REQUIRED_FEATURES))
     rows = forecasting.as_numeric(rows, columns).withColumn("target_log", F.log1p("target_t_plus_7"))
     split = forecasting.time_split(rows)
     try:
         forecasting.require_partitions(split)
-    except ValueError:
-        return None
+    except ValueError as reason:
+        return None, str(reason)
     train = split.where("split = 'train'")
     model = forecasting.fit_gbt(train, forecasting.usable_numeric(train, columns), trees)
     sinks.save_model(model, f"{out}/models/gbt")
     scored = forecasting.gbt_predict(model, rows.drop("target_log"))
     path = f"{out}/gold/predictions"
     sinks.write_parquet(scored.select(*SERIES, "date", "prediction_gbt"), path)
-    return readers.read_table(features.sparkSession, path)
+    return readers.read_table(features.sparkSession, path), None
 
 
 def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], out: str, main_disease: str = "COVID-19", trees: int = 0) -> dict[str, str]:
@@ -167,31 +159,36 @@ def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], o
     features = readers.read_table(spark, gold_path)
     rows = forecasting.baselines(features)
     models = ["naive_last_value", "moving_average"]
-    metrics = forecasting.baseline_comparison(features)
+    metrics = forecasting.baseline_comparison(features).withColumn("skipped_because", F.lit(None).cast("string"))
     if trees:
-        predicted = train_trees(features, out, trees)
+        predicted, reason = train_trees(features, out, trees)
         if predicted is not None:
             rows = rows.join(predicted, [*SERIES, "date"], "left")
             models.append("gbt")
             test = forecasting.time_split(rows.where("prediction_gbt IS NOT NULL AND target_t_plus_7 IS NOT NULL"), by=["disease"]).where("split = 'test'")
             learned = aggregates.regression_metrics(test.withColumn("model", F.lit("gbt")), "target_t_plus_7", "prediction_gbt", ["disease", "model"])
-            metrics = metrics.unionByName(learned)
+            metrics = metrics.unionByName(learned, allowMissingColumns=True)
+        else:
+            skipped = spark.createDataFrame([("gbt", reason)], "model string, skipped_because string")
+            metrics = metrics.unionByName(skipped, allowMissingColumns=True)
     path = f"{out}/gold/scored"
     sinks.write_partitioned(forecasting.select_best(rows, metrics, models), path, ["year"])
     scored = readers.read_table(spark, path)
-    risk_rows = risk.risk_score(scored, keep=("metric", "latitude", "longitude", "quality_flag"))
+    latest_path = f"{out}/gold/latest"
+    sinks.write_parquet(risk.latest_rows(scored, keep=("metric", "latitude", "longitude", "quality_flag")), latest_path)
+    risk_rows = risk.risk_score(readers.read_table(spark, latest_path))
     matched = scored.where("has_weather").select(
         "date", *SERIES, "frequency", "metric", "temperature_mean", "relative_humidity_mean", "precipitation_sum", "new_cases_smoothed", "weather_match_level", "weather_source"
     )
     documents = {
         "overview": serving.overview(scored, main_disease),
         "series": risk.series_summaries(scored),
-        "trend": serving.trend_documents(scored),
+        "trend": serving.trend_documents(scored, None),
         "risk_map": risk_rows,
-        "rankings": serving.rankings(scored),
-        "predictions": forecasting.prediction_export(scored, models),
+        "rankings": reshape.rankings(risk_rows, serving.RANKINGS, SERIES),
+        "predictions": forecasting.prediction_export(scored, models, None),
         "model_metrics": metrics,
-        "best_models": aggregates.best_model(metrics, ["disease"]),
+        "best_models": aggregates.best_model(metrics.where("skipped_because IS NULL"), ["disease"]),
         "data_quality": quality.serving_report(scored),
         "options": serving.options(scored, models),
         "weather_rows": matched,
@@ -199,7 +196,7 @@ def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], o
         "disease_share": serving.disease_share(scored),
         "model_coverage": quality.model_rows(quality.model_coverage(scored), metrics),
         "feature_join": gold.join_report(scored),
-        "statistics": aggregates.yearly_statistics(scored),
+        "statistics": aggregates.statistics(scored, list(schema.YEARLY_KEYS), schema.YEARLY_STATISTICS),
     }
     if "indicators" in silver:
         documents["indicator_summary"] = aggregates.indicator_summary(readers.read_table(spark, silver["indicators"]))

@@ -93,8 +93,9 @@ def population_silver(raw: DataFrame, years: list[int] | None = None) -> DataFra
     return windows.keep_latest(long, ["location_code", "year"], [F.col("population").desc_nulls_last(), F.col("location")])
 
 
-def published_series(raw: DataFrame, codes: list[str] | None, start: str, end: str, disease: str = "COVID-19", source: str = "published daily series") -> DataFrame:
-    """Published daily series to observations; a missing new-case value comes from the total."""
+def published_series(raw: DataFrame, locations: DataFrame | None, start: str | None, end: str | None, disease: str = "COVID-19", source: str = "published daily series") -> DataFrame:
+    """Published daily series of the given locations (all if None) to observations; a missing new-case value comes from
+    the total. None as start or end sets no bound."""
     rows = raw.select(
         text.parse_date(F.col("date").cast("string"), "yyyy-MM-dd").alias("date"),
         text.iso3("code").alias("location_code"),
@@ -104,9 +105,11 @@ def published_series(raw: DataFrame, codes: list[str] | None, start: str, end: s
             for c in ("total_cases", "new_cases", "new_cases_smoothed", "total_deaths", "new_deaths",
                       "population", "population_density", "gdp_per_capita")
         ),
-    ).where(F.col("location_code").isNotNull() & F.col("date").between(F.lit(start), F.lit(end)))
-    if codes is not None:
-        rows = rows.where(F.col("location_code").isin(*codes))
+    ).where(F.col("location_code").isNotNull() & F.col("date").isNotNull())
+    rows = rows.where(F.col("date") >= F.lit(start)) if start else rows
+    rows = rows.where(F.col("date") <= F.lit(end)) if end else rows
+    if locations is not None:
+        rows = rows.join(locations.select("location_code").distinct(), "location_code", "left_semi")
     rows = windows.keep_latest(
         rows, ["location_code", "date"], [F.col("total_cases").desc_nulls_last(), F.col("new_cases").desc_nulls_last()]
     )
@@ -299,18 +302,7 @@ def report_pages(pages: DataFrame, inventory: DataFrame) -> DataFrame:
     }).drop("_paths", "_html", "_there")
 
 
-DEDUP_COLUMNS = [
-    "indicator_code", "location_type", "location_code", "year", "dimension_1_type", "dimension_1_value",
-    "dimension_2_type", "dimension_2_value", "dimension_3_type", "dimension_3_value", "numeric_value_clean", "value",
-]
-SIGNATURE_COLUMNS = [
-    "indicator_code", "indicator_name", "location_type", "location_code", "year", "value", "numeric_value_clean",
-    "low", "high", "unit", "sex", "age", "publish_state", "dimension_1_type", "dimension_1_value",
-    "dimension_2_type", "dimension_2_value", "dimension_3_type", "dimension_3_value", "who_record_updated_at",
-]
-
-
-def indicator_catalog(raw: DataFrame, codes: list[str], current_year: int) -> DataFrame:
+def indicator_catalog(raw: DataFrame, locations: DataFrame, current_year: int) -> DataFrame:
     """Indicator records to a catalog with one row per business key and its provenance.
 
     Input: the indicator columns plus source_file, topic and indicator (from the file name).
@@ -327,13 +319,14 @@ def indicator_catalog(raw: DataFrame, codes: list[str], current_year: int) -> Da
         "low": text.parse_number("low"),
         "high": text.parse_number("high"),
     })
-    rows = rows.withColumns({
+    selected = locations.select("location_code", F.lit(True).alias("_selected")).distinct()
+    rows = rows.join(selected, "location_code", "left").withColumns({
         "date": F.when(F.col("year").between(1, 9999), calendar.year_end("year")),
         "unit": text.resolve_unit("unit", "indicator_code", "indicator_name", schema.INDICATOR_UNITS),
         "sex": records.backfill_dimension("sex", "SEX"),
         "age": records.backfill_dimension("age", "AGEGROUP"),
         "is_selected_country": F.coalesce(
-            (F.col("location_type") == "COUNTRY") & F.col("location_code").isin(*codes), F.lit(False)
+            (F.col("location_type") == "COUNTRY") & F.col("_selected"), F.lit(False)
         ),
         "collector_topic_match": text.topic_matches("collector_topic", "indicator_code", "indicator_name"),
     })
@@ -347,10 +340,10 @@ def indicator_catalog(raw: DataFrame, codes: list[str], current_year: int) -> Da
         (F.col("numeric_value_clean").isNull(), "non_numeric_reference"),
     ]))
     rows = rows.withColumns({
-        "_key": records.record_key("indicator_code", "who_record_id", DEDUP_COLUMNS),
-        "_signature": F.sha2(records.joined(SIGNATURE_COLUMNS), 256),
+        "_key": records.record_key("indicator_code", "who_record_id", schema.DEDUP_COLUMNS),
+        "_signature": F.sha2(records.joined(schema.SIGNATURE_COLUMNS), 256),
     })
-    kept = [c for c in rows.columns if c not in ("_key", "_signature", "topic", "indicator")]
+    kept = [c for c in rows.columns if c not in ("_key", "_signature", "_selected", "topic", "indicator")]
     out = aggregates.latest_with_provenance(rows, "_key", "source_file", "collector_topic", "_signature", [
         text.parse_timestamp("who_record_updated_at"), F.col("collector_topic_match"), F.col("source_file"), F.col("_signature"),
     ], kept)
@@ -406,12 +399,3 @@ def canonical(sources: list[DataFrame]) -> DataFrame:
     return joins.merge_by_precedence(
         sources, ["location_code", "disease", "date"], [F.col("value").desc_nulls_last(), F.col("source")]
     )
-
-
-def wide_case_series(df: DataFrame, country: str, dates: list[str]) -> DataFrame:
-    """Wide cumulative matrix (one column per date) summed per country, then daily changes."""
-    summed = aggregates.sum_columns(df, [country], dates)
-    long = reshape.wide_to_long(summed, [country], dates, "date", "total")
-    long = long.withColumn("date", F.to_date("date"))
-    daily = windows.diff_cumulative(long, [country], "date", {"total": "change"})
-    return daily.withColumn("change", measures.clip_zero("change"))

@@ -57,7 +57,7 @@ def build_features(
         "cases_per_million": measures.per_million("value", "population", "metric"),
         "deaths_per_million": measures.per_million("new_deaths", "population"),
         **calendar.calendar_features("date"),
-        "model_eligible": F.col("frequency") == "daily",
+        "model_eligible": (F.col("frequency") == "daily") & (F.col("disease") == "COVID-19"),
     })
 
 

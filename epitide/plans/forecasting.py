@@ -213,9 +213,10 @@ def prediction_rows(sequences: DataFrame, prediction: Column, model: str) -> Dat
     ).withColumn("error", measures.error("prediction", "actual_t_plus_7"))
 
 
-def prediction_export(features: DataFrame, models: list[str], n: int = 2500) -> DataFrame:
-    """Last n rows with a known target per series, one column per model."""
-    rows = windows.last_n(features.where("target_t_plus_7 IS NOT NULL"), SERIES, [F.desc("date")], n)
+def prediction_export(features: DataFrame, models: list[str], n: int | None) -> DataFrame:
+    """Rows with a known target, all or the last n per series, one column per model."""
+    rows = features.where("target_t_plus_7 IS NOT NULL")
+    rows = windows.last_n(rows, SERIES, [F.desc("date")], n) if n is not None else rows
     return rows.select(
         "date", *SERIES, F.col("target_t_plus_7").alias("actual_t_plus_7"), F.col("prediction_t_plus_7").alias("prediction"),
         measures.error("prediction_t_plus_7", "target_t_plus_7").alias("error"), *(f"prediction_{m}" for m in models),

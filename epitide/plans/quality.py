@@ -274,8 +274,3 @@ def invariants(features: DataFrame, daily: DataFrame, annual: DataFrame) -> Data
         ).agg((F.sum("d") > F.sum("a")).alias("passed")).select(F.lit("more daily than annual rows").alias("check_name"), "passed"),
     ]
     return reshape.union_all(checks)
-
-
-def parse_errors(df: DataFrame, column: str, *formats: str) -> DataFrame:
-    value = text.blank_to_null(column)
-    return df.agg(F.count_if(value.isNotNull() & text.parse_date(value, *formats).isNull()).alias("date_parse_errors"))

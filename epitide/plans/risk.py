@@ -7,25 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from epitide import schema
 from epitide.functions import measures
 from epitide.operators import aggregates, windows
-from epitide.sources import scratch
 
 
-def risk_score(
-    features: DataFrame, weights: tuple[float, float, float] = schema.RISK_WEIGHTS, by: str = "disease",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Latest row per series scored 0-100 within its disease.
+def latest_rows(features: DataFrame, by: str = "disease", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Latest row of each series with the columns a score reads."""
+    columns = ["value", "cases_per_million", "growth_rate_7", "prediction_t_plus_7", "rolling_mean_7", *keep]
+    return aggregates.latest_per_series(features, ["location_code", by], "date", columns)
+
+
+def risk_score(latest: DataFrame, weights: tuple[float, float, float] = schema.RISK_WEIGHTS, by: str = "disease") -> DataFrame:
+    """Latest rows (one per series) scored 0-100 within their disease.
 
     Rate, positive growth and forecast are min-max scaled per disease, weighted, and the composite is
     scaled again. A disease with fewer than two regions or a constant composite is not comparable.
 
-    The scaling reads the latest rows several times, so they are written once: one small row per
-    series instead of several passes over the gold table.
+    The scaling reads the latest rows several times; a caller that scores a large table stores them first.
     """
-    columns = ["value", "cases_per_million", "growth_rate_7", "prediction_t_plus_7", "rolling_mean_7", *keep]
-    latest = scratch.materialise(
-        aggregates.latest_per_series(features, ["location_code", by], "date", columns), "latest-rows"
-    )
     rows = latest.withColumns({
         "recent_cases_per_million": F.coalesce("cases_per_million", "value"),
         "forecast_cases": F.coalesce("prediction_t_plus_7", "rolling_mean_7", "value"),
@@ -52,8 +49,8 @@ def risk_score(
     )
 
 
-def risk_score_simple(latest: DataFrame, n: int = 200) -> DataFrame:
-    """Top n of 60 % forecast rate (relative to the maximum) plus 40 % absolute growth."""
+def risk_score_simple(latest: DataFrame) -> DataFrame:
+    """60 % forecast rate (relative to the maximum) plus 40 % absolute growth, all rows in order."""
     w_rate, w_growth = schema.RISK_WEIGHTS_SIMPLE
     rows = latest.withColumn("forecast_per_million", measures.per_million("rolling_mean_7", "population")).where(
         "forecast_per_million IS NOT NULL"
@@ -67,7 +64,6 @@ def risk_score_simple(latest: DataFrame, n: int = 200) -> DataFrame:
         .withColumn("risk_level", measures.risk_bucket("risk_score"))
         .drop("_top")
         .orderBy(F.desc("risk_score"), "location_code", "disease")
-        .limit(n)
     )
 
 

@@ -212,14 +212,19 @@ def weather_correlation(
     )
 
 
+RANKINGS = {"risk": "risk_score", "growth": "growth_rate_7", "forecast": "forecast_cases"}
+
+
 def risk_map(features: DataFrame, disease: str | None = None) -> DataFrame:
-    rows = risk.risk_score(features)
-    return rows.where(F.lower("disease") == disease.strip().lower()) if disease else rows
+    """Scored regions; scores are per disease, so one disease is chosen before anything is computed."""
+    rows = features.where(F.lower("disease") == disease.strip().lower()) if disease else features
+    return risk.risk_score(risk.latest_rows(rows))
 
 
-def rankings(features: DataFrame, disease: str | None = None, n: int = 200) -> DataFrame:
+def rankings(features: DataFrame, disease: str | None = None, n: int | None = None) -> DataFrame:
+    """All regions by risk, growth and forecast; with n, the first n of each."""
     rows = risk_map(features, disease)
-    return reshape.rankings(rows, {"risk": "risk_score", "growth": "growth_rate_7", "forecast": "forecast_cases"}, SERIES, n)
+    return reshape.rankings(rows, RANKINGS, SERIES, n)
 
 
 def options(features: DataFrame, models: list[str]) -> DataFrame:
@@ -248,9 +253,9 @@ def disease_share(features: DataFrame) -> DataFrame:
     )
 
 
-def trend_documents(features: DataFrame, n: int = 2500) -> DataFrame:
-    """Nested series documents of the last n points."""
-    recent = windows.last_n(features, SERIES, [F.desc("date")], n)
+def trend_documents(features: DataFrame, n: int | None) -> DataFrame:
+    """Nested series documents of all points, or of the last n; a series is bounded by the calendar."""
+    recent = windows.last_n(features, SERIES, [F.desc("date")], n) if n is not None else features
     return reshape.series_documents(
         recent, SERIES, ["frequency", "metric", "source"], ["date", "value", "rolling_mean_7", "growth_rate_7", "target_t_plus_7"], "date"
     )

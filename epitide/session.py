@@ -12,7 +12,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Strings that do not match a date pattern become null instead of an upgrade error.
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # "last 2 500 rows per series" is pruned before the shuffle, like smaller limits.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }

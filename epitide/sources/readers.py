@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import json
+import csv
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -10,49 +12,72 @@ from epitide.functions import records, text
 from epitide.operators.windows import keep_latest
 
 
-def read_csv(spark: SparkSession, path: str | list[str], layout: T.StructType, renames: dict[str, str] | None = None) -> DataFrame:
-    """CSV with header and explicit schema: no inference pass over the data."""
-    df = spark.read.option("header", True).schema(layout).csv(path)
+#: Quotes are doubled, as standard CSV writers do; a backslash is an ordinary character.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def headers_of(spark: SparkSession, paths: str | list[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of every CSV file below the paths, in one job; the driver holds a line per file."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # Lines of a file's first block come in order, so the first one met is the header.
+    first = lines.where("at = 0").groupBy(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("file")).agg(F.first("value").alias("line"))
+    return {r["file"]: tuple(next(csv.reader([r["line"].lstrip("\ufeff")]), ())) for r in first.collect()}
+
+
+def _by_header(spark: SparkSession, headers: dict[str, tuple[str, ...]], layout: T.StructType, with_file: bool = False, multi_line: bool = False) -> DataFrame:
+    """Columns of the layout, found by their names in each file's header; one scan per header. Absent ones are null."""
+    kinds = {f.name: f.dataType for f in layout.fields}
+    files: dict[tuple[str, ...], list[str]] = {}
+    for path, header in headers.items():
+        files.setdefault(header, []).append(path)
+    extra = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name")] if with_file else []
+    frames = []
+    for header, paths in sorted(files.items()):
+        fields = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+        rows = spark.read.options(**CSV, multiLine=multi_line).schema(fields).csv(paths)
+        frames.append(rows.select(*((F.col(f"`{c}`") if c in header else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()), *extra))
+    if not frames:
+        names = [T.StructField(n, T.StringType()) for n in ("source_file", "file_name")] if with_file else []
+        return spark.createDataFrame([], T.StructType([*layout.fields, *names]))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _complete(headers: dict[str, tuple[str, ...]], layout: T.StructType) -> dict[str, tuple[str, ...]]:
+    for path, header in headers.items():
+        if missing := [f.name for f in layout.fields if f.name not in header]:
+            raise ValueError(f"columns {missing} are missing in {path}")
+    return headers
+
+
+def read_csv(spark: SparkSession, path: str | list[str], layout: T.StructType, renames: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with header and explicit types; columns are matched by name, and a missing one is an error."""
+    df = _by_header(spark, _complete(headers_of(spark, path), layout), layout, multi_line=multi_line)
     return df.withColumnsRenamed(renames or {})
 
 
-def read_glob(spark: SparkSession, root: str, layout: T.StructType, pattern: str = "*/*.csv") -> DataFrame:
-    """All files below a root as one table, each row with its file."""
-    df = spark.read.option("header", True).schema(layout).csv(f"{root.rstrip('/')}/{pattern}")
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name"))
+def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV with every column as text; the files share one header."""
+    return spark.read.options(**CSV).csv(path)
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV; reads the first line only."""
-    return spark.read.option("header", True).csv(path).columns
+def read_glob(spark: SparkSession, root: str, layout: T.StructType, pattern: str = "*/*.csv") -> DataFrame:
+    """All files below a root as one table, each row with its file; every file has all columns, in any order."""
+    return _by_header(spark, _complete(headers_of(spark, f"{root.rstrip('/')}/{pattern}"), layout), layout, with_file=True)
 
 
 def read_tolerant(
     spark: SparkSession, paths: list[str], wanted: dict[str, str], required: list[str]
 ) -> tuple[DataFrame, list[str]]:
-    """Wanted columns that exist, the others as null; files without a required column are listed.
+    """Wanted columns that exist, the others as null; paths with a file that lacks a required column are listed.
 
     Files are read together per header layout, so the number of scans is the number of layouts.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    rejected = []
-    for path in paths:
-        header = tuple(header_of(spark, path))
-        if any(c not in header for c in required):
-            rejected.append(path)
-        else:
-            layouts.setdefault(header, []).append(path)
-    frames = [tolerant_select(
-        spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(files),
-        wanted,
-    ) for header, files in layouts.items()]
-    if not frames:
-        empty = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
-        return tolerant_select(spark.createDataFrame([], empty), wanted), rejected
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out, rejected
+    headers = headers_of(spark, paths)
+    owner = {file: next(p for p in sorted(paths, key=len, reverse=True) if p.rstrip("/") in file) for file in headers}
+    bad = {owner[file] for file, header in headers.items() if any(c not in header for c in required)}
+    good = {file: header for file, header in headers.items() if owner[file] not in bad}
+    texts = _by_header(spark, good, T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
+    return tolerant_select(texts, wanted), [p for p in paths if p in bad]
 
 
 def tolerant_select(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -84,11 +109,24 @@ def stale_file_count(files: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, root: str, pattern: str, layout: T.StructType, key_groups: list[int], stamp_group: int) -> DataFrame:
-    """Rows of the newest file per key; superseded files are dropped by a semi join on the file name."""
-    rows = read_glob(spark, root, layout, "*.csv")
-    names = rows.select("file_name").distinct()
-    kept = latest_files(names, "file_name", pattern, key_groups, stamp_group)
-    return rows.join(kept.select("file_name", "topic", "indicator"), "file_name")
+    """Rows of the newest file per key. File names are listed first; superseded files are never read.
+
+    A folder whose name ends in .csv counts as one file.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
+    steps = F.split("path", "/")
+    folder = F.regexp_replace(F.element_at(steps, -2), "^[^=]*=", "")
+    named = listed.select("path", F.when(folder.endswith(".csv"), folder).otherwise(F.element_at(steps, -1)).alias("file_name"))
+    kept = latest_files(named.select("file_name").distinct(), "file_name", pattern, key_groups, stamp_group)
+    chosen = {r["path"]: r for r in named.join(kept, "file_name").collect()}  # a line per file that is read
+    if not chosen:
+        return _by_header(spark, {}, layout, with_file=True).drop("source_file").withColumns({"topic": F.lit(""), "indicator": F.lit("")})
+    rows = _by_header(spark, headers_of(spark, list(chosen)), layout, with_file=True).drop("file_name")
+    rows = rows.withColumn("_file", F.regexp_replace(F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")).drop("source_file")
+    table = spark.createDataFrame(
+        [(re.sub("^file:/+", "/", p), r["file_name"], r["topic"], r["indicator"]) for p, r in chosen.items()], "_file string, file_name string, topic string, indicator string"
+    )
+    return rows.join(table, "_file").drop("_file")
 
 
 def read_json_lines(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
@@ -155,9 +193,3 @@ def indicators_to_years(df: DataFrame, code: str, year_text: str, indicator: str
     if location:
         aggs.insert(0, F.min(location).alias("location"))
     return rows.groupBy(F.col(code).alias("location_code"), F.col(year_text).cast("int").alias("year")).agg(*aggs)
-
-
-def config_aliases(path: str) -> dict[str, list[str]]:
-    """Alias file: canonical name to list of aliases (a config file, read on the driver)."""
-    with open(path, encoding="utf-8") as handle:
-        return json.load(handle)

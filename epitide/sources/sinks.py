@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from epitide.sources.readers import CSV
+
 DUPLICATE_AUDIT_COLUMNS = (  # fixed values
     "indicator_code", "indicator_name", "location_type", "location_code", "year", "value",
     "numeric_value_clean", "unit", "duplicate_source_count", "duplicate_content_variant_count",
@@ -32,7 +34,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header; quotes inside a value are doubled."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

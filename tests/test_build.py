@@ -41,7 +41,7 @@ def raw_files(spark, root):
     pages.write_text(json.dumps({"page_url": "https://x.test/a/", "anchor_title": "法定传染病", "attachment_urls": [], "local_attachment_paths": []}, ensure_ascii=False) + "\n", encoding="utf-8")
     hourly = {n: write(root / "hourly" / f"{n}.csv", ["datetime", "New York", "Far"], [[f"2020-12-{d:02d} 0{h}:00:00", 280.15 + d, 1] for d in range(1, 4) for h in range(3)]) for n in ("temperature", "humidity")}
     return build.RawFiles(
-        locations, mapping, reports, published, str(root / "weather"), population, None, hospital, str(root / "indicators"), str(pages),
+        locations, 2026, mapping, reports, published, str(root / "weather"), population, None, hospital, str(root / "indicators"), str(pages),
         spark.createDataFrame([("none",)], "path string"), hourly, {"AAA": ["New York"]},
     )
 

@@ -96,7 +96,7 @@ def test_gradient_boosting_beats_nothing_but_runs(spark, tables):
     from epitide.catalog.views import Views
     from epitide.plans import forecasting
 
-    rows, model = trained(Views(spark, tables), 3)
+    rows, model = trained(Views(spark, tables))
     scored = forecasting.gbt_predict(model, rows.where("split = 'test'"))
     metrics = {r["model"]: r for r in forecasting.evaluate(scored, {"gbt": "prediction_gbt", "moving_average": "rolling_mean_7"}, "moving_average").collect()}
     assert metrics["moving_average"]["beats_baseline"] is False and metrics["gbt"]["rows"] == scored.count()

@@ -112,7 +112,7 @@ def test_page_metadata(spark):
         "<a class='x' href=\"files/b.PDF\">b</a><a href='/a.xlsx?v=1'>a</a><a href='/a.xlsx?v=1'>a</a><a href='other.html'>o</a></body></html>"
     )
     df = spark.createDataFrame([("https://h.test/dir/page.html", html)], "url string, html string")
-    row = text.page_metadata(df, "url", "html").first()
+    row = text.page_metadata(df, "url", "html", 800).first()
     assert row["title"] == "Week 3 report"
     assert row["published_date"] == "2026-07-09"
     assert row["attachment_urls"] == ["https://h.test/a.xlsx?v=1", "https://h.test/dir/files/b.PDF"]

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from epitide import schema
 from epitide.operators import joins
@@ -129,7 +129,7 @@ def test_indicator_catalog_golden(spark):
         indicator("TB_1", "Tuberculosis treatment coverage", 2020, 75.0, 5, "tuberculosis"), indicator("TB_c_newinc", "Tuberculosis - new and relapse cases", 2020, 1400.0, 6, "tuberculosis"),
         indicator("EMFLIMITMAGNETIC", "Magnetic flux density (microT)", 2018, 50.0, 7, "influenza", dim=("SEX", "SEX_MLE")),
     ])
-    catalog = cleaning.indicator_catalog(raw, ["AUS"], 2026)
+    catalog = cleaning.indicator_catalog(raw, spark.createDataFrame([("AUS",)], "location_code string"), 2026)
     rows = {(r["indicator_code"], r["year"]): r for r in catalog.collect()}
     assert len(rows) == 7
     double = rows[("MDG_0000000017", 2020)]
@@ -156,7 +156,7 @@ def test_indicator_conflict_keeps_latest(spark):
         indicator("TB_1", "Tuberculosis treatment coverage", 2020, 75.0, 5, "tuberculosis", updated="2024-01-01T00:00:00"),
         indicator("TB_1", "Tuberculosis treatment coverage", 2020, 80.0, 5, "hiv", updated="2025-01-01T00:00:00"),
     ])
-    row = cleaning.indicator_catalog(raw, ["AUS"], 2026).first()
+    row = cleaning.indicator_catalog(raw, spark.createDataFrame([("AUS",)], "location_code string"), 2026).first()
     assert row["numeric_value_clean"] == 80.0 and row["quality_flag"] == "duplicate_content_conflict_latest_kept"
 
 
@@ -232,7 +232,7 @@ def test_risk_golden(spark):
     ]
     df = spark.createDataFrame(rows, "location_code string, disease string, cases_per_million double, value double, prediction_t_plus_7 double, rolling_mean_7 double, growth_rate_7 double")
     old = df.withColumns({"date": F.lit(date(2025, 12, 30)), "value": F.lit(500.0), "cases_per_million": F.lit(500.0)})
-    out = {r["location_code"]: r for r in risk.risk_score(df.withColumn("date", F.lit(date(2025, 12, 31))).unionByName(old)).collect()}
+    out = {r["location_code"]: r for r in risk.risk_score(risk.latest_rows(df.withColumn("date", F.lit(date(2025, 12, 31))).unionByName(old))).collect()}
     assert [out[c]["risk_score"] for c in ("AAA", "BBB", "CCC")] == [0.0, 32.38, 100.0]
     assert out["CCC"]["risk_level"] == "高风险" and all(out[c]["risk_comparable"] for c in ("AAA", "BBB", "CCC"))
     assert (out["USA"]["risk_score"], out["USA"]["risk_level"], out["USA"]["risk_comparable"]) == (0.0, "不可比较", False)
@@ -388,20 +388,87 @@ def test_json_has_null_for_nan(spark):
     assert sorted(r["document"] for r in sinks.as_json(df).collect()) == ['{"k":1,"v":null}', '{"k":2,"v":3.0}']
 
 
-def test_kept_table_is_rebuilt_when_cleared(spark):
-    calls = []
+def test_kept_things_follow_their_inputs(spark, tmp_path):
+    import glob
+    import os
 
-    def build():
-        calls.append(1)
-        return spark.range(3)
+    from epitide.sources import scratch
+
+    source, calls = str(tmp_path / "in"), []
 
     def read():
-        return scratch.kept_table(spark, "t", build, sinks.write_parquet).count()
+        def write(path):
+            calls.append(1)
+            spark.read.parquet(source).write.parquet(path)
+
+        return scratch.kept(spark, "t", [source], write)
+
+    spark.range(3).write.parquet(source)
+    assert spark.read.parquet(read()).count() == 3 and spark.read.parquet(read()).count() == 3 and len(calls) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)  # changed input
+    path = read()
+    assert spark.read.parquet(path).count() == 5 and len(calls) == 2
+    os.remove(glob.glob(f"{path}/part-*")[0])  # a lost file
+    assert spark.read.parquet(read()).count() == 5 and len(calls) == 3
+
+
+def test_a_cluster_without_a_shared_folder_fails():
+    from types import SimpleNamespace
+
+    from epitide.sources import scratch
+
+    def session(master):
+        conf = {"spark.master": master}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(applicationId="x"))
+
+    for master in ("local-cluster[2,1,1024]", "spark://h:7077", "yarn"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session(master), "t")
+    assert scratch.shared_dir(session("local[4]"), "t").startswith("/tmp/spark-")
+
+
+def test_quoted_csv_by_header(spark, tmp_path):
+    """Doubled quotes, commas in quotes, swapped columns, a backslash, and line breaks where asked for."""
+    from epitide.sources import sinks
+
+    (tmp_path / "a.csv").write_text('name,code,raw_json\nAland,1,"{""Id"": 1, ""x"": ""a\\b""}"\n')
+    (tmp_path / "b.csv").write_text('raw_json,name,extra,code\n"{""Id"": 2}","B, land",zz,2\n')
+    layout = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("raw_json", T.StringType())])
+    rows = readers.read_csv(spark, str(tmp_path / "*.csv"), layout).orderBy("code").collect()
+    assert [tuple(r) for r in rows] == [(1, "Aland", '{"Id": 1, "x": "a\\b"}'), (2, "B, land", '{"Id": 2}')]
+    out = str(tmp_path / "out")
+    sinks.write_csv(spark.createDataFrame(rows), out)
+    import csv
+    import glob
+
+    back = [r for f in glob.glob(f"{out}/*.csv") for r in csv.DictReader(open(f, newline=""))]
+    assert sorted(r["raw_json"] for r in back) == sorted(r["raw_json"] for r in rows)
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), T.StructType([T.StructField("absent", T.StringType())]))
+    (tmp_path / "c.csv").write_text('code,name,raw_json\n3,"two\nlines",\n')
+    assert readers.read_csv(spark, str(tmp_path / "c.csv"), layout, multi_line=True).first()["name"] == "two\nlines"
+
+
+def test_no_ranking_or_series_is_cut(spark):
+    from epitide.operators import reshape
+
+    df = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("k"), ((F.col("id") * 7919) % 3000).cast("double").alias("x"))
+    rows = reshape.rankings(df, {"x": "x"}, ["k"]).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(1, 3001)) and [r["x"] for r in rows] == [float(x) for x in range(2999, -1, -1)]
+    series = spark.range(3000).select(F.lit("AAA").alias("location_code"), F.lit("COVID-19").alias("disease"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"), *(
+        F.lit(x).alias(c) for c, x in (("frequency", "daily"), ("metric", "m"), ("source", "s"), ("value", 1.0), ("rolling_mean_7", 1.0), ("growth_rate_7", 0.0), ("target_t_plus_7", 1.0))))
+    assert serving.trend_documents(series, None).selectExpr("size(points)").first()[0] == 3000
+
+
+def test_correlation_takes_complete_pairs_and_null_is_not_empty(spark):
+    from epitide.operators import aggregates
 
-    assert read() == 3 and read() == 3 and len(calls) == 1
-    slot = (spark.sparkContext.applicationId, "t")
-    scratch._KEPT[slot] += "-cleared"
-    assert read() == 3 and len(calls) == 2
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (None, 4.0), (2.0, 5.0)], "a double, b double")
+    assert df.agg(aggregates.safe_corr("a", "b").alias("c")).first()["c"] is None
+    more = df.unionByName(spark.createDataFrame([(3.0, 8.0), (4.0, None)], "a double, b double"))
+    assert more.agg(aggregates.safe_corr("a", "b").alias("c")).first()["c"] == 1.0
+    rows = spark.createDataFrame([("a", None), ("a", ""), ("a", "")], "x string, y string")
+    assert aggregates.duplicate_rows(rows).first()["duplicate_rows"] == 1
 
 
 def test_scratch_follows_the_session(spark):
