@@ -148,7 +148,7 @@ def _(v):
     return out.select("location_code", "year", "population", "population_is_interpolated", "source", "location")
 
 
-CITIES = {"USA": [f"city_{k}" for k in range(0, 20)], "CAN": ["city_22"]}
+CITIES = {"USA": [f"city_{k}" for k in range(0, 20)], "CAN": ["city_22"], "MEX": ["city_20", "city_21", "city_23", "city_24"]}
 
 
 def matrices(v):

@@ -88,11 +88,11 @@ def _(v):
 
 @Q.add("joi11_many_to_one", "select doc_id, c as copies, v as variants from documents d join (select text as t, count(*) as c, count(distinct lang) as v from documents group by 1) on t = text")
 def _(v):
-    docs = v.table("documents").select("doc_id", "text", "lang", "source")
-    counts = aggregates.provenance(docs.withColumn("topic", F.col("lang")), "text", "source", "topic", "lang").select(
-        "text", F.col("duplicate_source_count").alias("copies"), F.col("duplicate_content_variant_count").alias("variants")
+    docs = v.table("documents").select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "source")
+    counts = aggregates.provenance(docs.withColumn("topic", F.col("lang")), "digest", "source", "topic", "lang").select(
+        "digest", F.col("duplicate_source_count").alias("copies"), F.col("duplicate_content_variant_count").alias("variants")
     )
-    return joins.many_to_one(docs, counts, "text", ["copies", "variants"]).select("doc_id", "copies", "variants")
+    return joins.many_to_one(docs, counts, "digest", ["copies", "variants"]).select("doc_id", "copies", "variants")
 
 
 @Q.add("joi12_calendar_grid", """select k.location_code, k.disease, k.date, s.value, s.value is not null as is_observed from (select location_code, disease, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date
@@ -242,9 +242,11 @@ def _(v):
     return docs.select(*SERIES, F.to_json("points").alias("points"))
 
 
-@Q.add("rsh06_availability_map")
+@Q.add("rsh06_availability_map", """select disease, location_code, min(date) as full_start, max(date) as full_end, max(case when abs(value) > 1e-9 then date end) as last_nonzero_date from v_features group by 1, 2""")
 def _(v):
-    return serving.options(v.scored, ["naive_last_value", "moving_average"])
+    """The map of each disease, one row per entry."""
+    maps = serving.options(v.scored, ["naive_last_value", "moving_average"])
+    return maps.select("disease", F.explode("location_date_ranges").alias("location_code", "range")).select("disease", "location_code", "range.*")
 
 
 @Q.add("rsh07_explode_links", """select page_id, h as link from (select page_id, unnest(case when len(l) = 0 then [null] else l end) as h from (select page_id, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>', 1) as l from pages))""")

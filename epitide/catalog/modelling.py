@@ -238,9 +238,11 @@ def _(v):
     return forecasting.baseline_comparison(v.gold.where("disease = 'COVID-19'"))
 
 
-@Q.add("qry09_options")
+@Q.add("qry09_options", """select disease, unnest(['naive_last_value', 'moving_average']) as model, count(distinct location_code) as entries, min(date) as start, max(date) as end_date from v_features group by 1""")
 def _(v):
-    return serving.options(v.scored, MODELS)
+    """The options of each disease, one row per model; the entries of its map are counted."""
+    out = serving.options(v.scored, MODELS)
+    return out.select("disease", F.explode("models").alias("model"), F.size("location_date_ranges").cast("long").alias("entries"), "start", F.col("end").alias("end_date"))
 
 
 @Q.add("qry09_option_rows", "select disease, count(distinct location_code) as location_count, min(date) as start, max(date) as end_date, min(frequency) as frequency, min(metric) as metric from v_features group by 1")

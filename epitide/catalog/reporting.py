@@ -35,9 +35,9 @@ def _(v):
     return quality.epidemic_report(epidemic(v))
 
 
-@Q.add("qlt01_epidemic_null_rates", f"select 'location_code' as column_name, round(avg(case when location_code is null then 1.0 else 0.0 end), 6)::double as null_rate from ({EPIDEMIC_SQL}) union all select 'total_cases', 0.0::double")
+@Q.add("qlt01_epidemic_null_rates", " union all ".join(f"select '{c}' as column_name, round(avg(case when {c} is null then 1.0 else 0.0 end), 6)::double as null_rate from ({EPIDEMIC_SQL})" for c in assembling.EPIDEMIC))
 def _(v):
-    return aggregates.null_rates(epidemic(v), ["location_code", "total_cases"])
+    return aggregates.null_rates(epidemic(v), list(assembling.EPIDEMIC))
 
 
 @Q.add("qlt02_population_report", f"select count(*) as output_rows, count(distinct location_code) as country_count, min(year) as year_min, max(year) as year_max, count(*) - count(distinct (location_code, year)) as duplicate_count from ({SILVER_POPULATION})")
@@ -71,18 +71,27 @@ def _(v):
     return quality.overlap_report(cases, codes, v.weather, v.mapping)
 
 
-ITEM_COLUMNS = ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"]
+ITEM_COLUMNS = {
+    "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number",
+    "l_discount": "number", "l_tax": "number", "l_returnflag": "region", "l_linestatus": "region", "l_shipdate": "date",
+}
 
 
-@Q.add("qlt06_table_profile", """select row_count, column_name, null_rate, min_value, max_value, negative_count, zero_count, date_min, date_max, future_dates, distinct_regions from (
-    select (select count(*) from lineitem) as row_count, 0.0::double as null_rate, * from (
-    select 'l_orderkey' as column_name, min(l_orderkey)::double as min_value, max(l_orderkey)::double as max_value, count(case when l_orderkey < 0 then 1 end) as negative_count, count(case when l_orderkey = 0 then 1 end) as zero_count, null::date as date_min, null::date as date_max, 0::bigint as future_dates, null::bigint as distinct_regions from lineitem
-    union all select 'l_quantity', min(l_quantity), max(l_quantity), count(case when l_quantity < 0 then 1 end), count(case when l_quantity = 0 then 1 end), null, null, 0, null from lineitem
-    union all select 'l_discount', min(l_discount), max(l_discount), count(case when l_discount < 0 then 1 end), count(case when l_discount = 0 then 1 end), null, null, 0, null from lineitem
-    union all select 'l_returnflag', null, null, 0, 0, null, null, 0, count(distinct l_returnflag) from lineitem
-    union all select 'l_shipdate', null, null, 0, 0, min(l_shipdate)::date, max(l_shipdate)::date, count(case when l_shipdate > '2000-01-01' then 1 end), null from lineitem))""")
+def profile_sql(table: str) -> str:
+    """One row per column of ITEM_COLUMNS."""
+    rows = []
+    for c, kind in ITEM_COLUMNS.items():
+        number = f"min({c})::double as min_value, max({c})::double as max_value, count(case when {c} < 0 then 1 end) as negative_count, count(case when {c} = 0 then 1 end) as zero_count"
+        number = number if kind == "number" else "null::double as min_value, null::double as max_value, 0::bigint as negative_count, 0::bigint as zero_count"
+        dates = f"min({c})::date as date_min, max({c})::date as date_max, count(case when {c}::date > '2000-01-01' then 1 end) as future_dates" if kind == "date" else "null::date as date_min, null::date as date_max, 0::bigint as future_dates"
+        regions = f"count(distinct {c})" if kind == "region" else "null::bigint"
+        rows.append(f"select count(*) as row_count, '{c}' as column_name, round(avg(case when {c} is null then 1.0 else 0.0 end), 6)::double as null_rate, {number}, {dates}, {regions} as distinct_regions from {table}")
+    return " union all ".join(rows)
+
+
+@Q.add("qlt06_table_profile", profile_sql("lineitem"))
 def _(v):
-    return quality.profile(v.table("lineitem").select(*ITEM_COLUMNS), ["l_shipdate"], ["l_returnflag"], "2000-01-01")
+    return quality.profile(v.table("lineitem").select(*ITEM_COLUMNS), ["l_shipdate"], ["l_returnflag", "l_linestatus"], "2000-01-01")
 
 
 RECONCILE_SQL = f"""select count(*) as overlap_rows, round(median(r), 6) as median_relative_difference, round(avg(case when r <= 0.05 then 1.0 else 0.0 end), 6)::double as within_5_percent_share from (select abs(a.total_cases - b.total_cases) / greatest(a.total_cases, b.total_cases, 1.0) as r

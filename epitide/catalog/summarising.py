@@ -102,11 +102,11 @@ def _(v):
     return aggregates.sum_columns(v.wide, ["location_code"], EVENT_TYPES)
 
 
-@Q.add("agg10_row_sum", "select location_code, date, case when coalesce(" + ", ".join(EVENT_TYPES[:3]) + ") is not null then " + " + ".join(f"coalesce({t}, 0)" for t in EVENT_TYPES[:3]) + " end as row_total from v_wide")
+@Q.add("agg10_row_sum", "select location_code, date, case when coalesce(" + ", ".join(EVENT_TYPES) + ") is not null then " + " + ".join(f"coalesce({t}, 0)" for t in EVENT_TYPES) + " end as row_total from v_wide")
 def _(v):
     from epitide.functions.measures import row_sum
 
-    return v.wide.select("location_code", "date", row_sum(EVENT_TYPES[:3]).alias("row_total"))
+    return v.wide.select("location_code", "date", row_sum(EVENT_TYPES).alias("row_total"))
 
 
 @Q.add("agg11_sum_null_when_empty", "select event_type, sum(case when event_type not in ('error', 'view') then floor(value) end) as total from events group by 1")
@@ -136,7 +136,7 @@ def _(v):
 
 @Q.add("agg14_duplicate_summary", """select count(*) as total_rows, count(distinct text) as distinct_keys, count(*) - count(distinct text) as surplus_rows, (select count(*) from (select text from documents group by 1 having count(*) > 1)) as duplicated_keys from documents""")
 def _(v):
-    return aggregates.duplicate_summary(v.table("documents"), ["text"])
+    return aggregates.duplicate_summary(v.table("documents").select(F.sha2("text", 256).alias("digest")), ["digest"])
 
 
 @Q.add("agg15_duplicate_rows", """select count(*) as total_rows, count(*) - (select count(*) from (select distinct user_id, event_type, note from (select *, case event_id % 3 when 0 then null when 1 then '' else props end as note from events))) as duplicate_rows from events""")
@@ -229,9 +229,9 @@ def _(v):
     return disease_share(v.series_daily)
 
 
-@Q.add("agg25_completeness", "select round(1 - (avg(case when click is null then 1.0 else 0.0 end) + avg(case when view is null then 1.0 else 0.0 end)) / 2, 4)::double as completeness from v_wide")
+@Q.add("agg25_completeness", "select round(1 - (" + " + ".join(f"avg(case when {t} is null then 1.0 else 0.0 end)" for t in EVENT_TYPES) + f") / {len(EVENT_TYPES)}, 4)::double as completeness from v_wide")
 def _(v):
-    return v.wide.agg(aggregates.completeness(v.wide, ["click", "view"]).alias("completeness"))
+    return v.wide.agg(aggregates.completeness(v.wide, EVENT_TYPES).alias("completeness"))
 
 
 STAT_ROLES = {"l_quantity": "latitude", "l_tax": "humidity", "l_extendedprice": "public_health"}
