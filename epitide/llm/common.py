@@ -6,7 +6,9 @@ by an odd base to the power i, and a range is the difference of two sums scaled
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that hands free memory back when a task ends; Spark keeps its Python workers for the
+    next stage, which would otherwise find less room."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 class Ranges:
     """Hashes of byte ranges of one chunk."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import MAX_LONG, mix
+from epitide.llm.common import MAX_LONG, mix, tidy
 from epitide.llm.components import components
 from epitide.llm.shingles import shingle_sets
 from epitide.sources.scratch import materialise
@@ -59,7 +59,7 @@ def common_slots(docs: DataFrame, words: int) -> np.ndarray:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).withColumn("branch", F.spark_partition_id() % 256)
+    rows = docs.select("text").mapInArrow(tidy(count), kind).withColumn("branch", F.spark_partition_id() % 256)
     rows = rows.groupBy("part", "branch").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
     total = np.zeros(size, np.uint64)
     for r in rows.collect():  # always PARTS rows that hold one table of fixed size
@@ -95,7 +95,7 @@ def prefixes(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
                 names=["_row", "doc_id", "cls", "size", "gk", "prefix"],
             )
 
-    return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, cls long, size long, gk long, prefix array<long>")
+    return docs.select("_row", "doc_id", "text").mapInArrow(tidy(run), "_row long, doc_id long, cls long, size long, gk long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, per_cent: int) -> DataFrame:
@@ -117,17 +117,21 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, per_cent: int) -> Da
         pairs.join(texts.select(F.col("_row").alias("ra"), F.col("text").alias("ta")), "ra")
         .join(texts.select(F.col("_row").alias("rb"), F.col("text").alias("tb")), "rb").select("a", "b", "ta", "tb")
     )
-    return materialise(rows.mapInArrow(run, "u long, v long"), "links")
+    return materialise(rows.mapInArrow(tidy(run), "u long, v long"), "links")
 
 
 def _fits(a: str, b: str, per_cent: int) -> F.Column:
     return (F.col(a) * 100 >= F.col(b) * per_cent) & (F.col(b) * 100 >= F.col(a) * per_cent)
 
 
-def _enough(a: str, b: str, per_cent: int) -> F.Column:
+def _overlap(a: str, b: str, per_cent: int) -> F.Column:
+    """Shingles that sets of sizes a and b must share."""
+    return F.ceil((F.col(a) + F.col(b)) * per_cent / (100 + per_cent))
+
+
+def _enough(n: F.Column, a: str, b: str, per_cent: int) -> F.Column:
     """Whether n common prefix shingles suffice for sets of sizes a and b."""
-    share = F.ceil((F.col(a) + F.col(b)) * per_cent / (100 + per_cent))
-    return F.col("n") > share - F.ceil(F.greatest(a, b) * per_cent / 100)
+    return n > _overlap(a, b, per_cent) - F.ceil(F.greatest(a, b) * per_cent / 100)
 
 
 def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -138,14 +142,14 @@ def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFra
         solid.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("_row").alias("row"), F.first("gk").alias("gk"), F.first("size").alias("size")), "classes"
     )
     groups = solid.select("gk", "prefix").groupBy("gk").agg(F.first("prefix").alias("prefix"))
-    postings = groups.select(F.explode("prefix").alias("token"), "gk")
+    postings = groups.select(F.posexplode("prefix").alias("pos", "token"), "gk")
     shared = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     lists = materialise(postings.join(shared, "token"), "lists")
 
     heads = classes.groupBy("gk").agg(F.min(F.struct("cls", "row")).alias("h"), F.first("size").alias("size")).select("gk", "size", F.col("h.cls").alias("a"), F.col("h.row").alias("ra"))
     ranked = lists.join(lists.groupBy("gk").agg((-F.count("*")).alias("fewer")), "gk").join(heads.select("gk", "size"), "gk")
     pivots = ranked.groupBy("token").agg(F.min(F.struct("fewer", "gk", "size")).alias("p")).select("token", F.col("p.gk").alias("pk"), F.col("p.size").alias("psize"))
-    stars = ranked.join(pivots, "token").where((F.col("gk") != F.col("pk")) & _fits("size", "psize", per_cent)).groupBy("pk", "gk", "psize", "size").agg(F.count("*").alias("n")).where(_enough("psize", "size", per_cent)).select("pk", "gk")
+    stars = ranked.join(pivots, "token").where((F.col("gk") != F.col("pk")) & _fits("size", "psize", per_cent)).groupBy("pk", "gk", "psize", "size").agg(F.count("*").alias("n")).where(_enough(F.col("n"), "psize", "size", per_cent)).select("pk", "gk")
     one = classes.select("gk", F.col("cls").alias("b"), F.col("row").alias("rb"))
     star_pairs = heads.select(F.col("gk").alias("pk"), "a", "ra").join(stars, "pk").join(one, "gk").select("a", "ra", "b", "rb")
     inner_pairs = heads.select("gk", "a", "ra").join(one, "gk").where("a <> b").select("a", "ra", "b", "rb")
@@ -156,11 +160,17 @@ def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFra
     named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "row", "gk", "size", F.coalesce("root", "cls").alias("root"))
     spread = lists.join(named, "gk")
     split = spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    mixed = materialise(spread.join(split, "token"), "open")
-    x = mixed.select("token", F.col("cls").alias("a"), F.col("row").alias("ra"), F.col("root").alias("xr"), F.col("size").alias("xs"))
-    y = mixed.select("token", F.col("cls").alias("b"), F.col("row").alias("rb"), F.col("root").alias("yr"), F.col("size").alias("ys"))
-    more = x.join(y, "token").where((F.col("xr") < F.col("yr")) & _fits("xs", "ys", per_cent))
-    more = more.groupBy("a", "ra", "b", "rb", "xs", "ys").agg(F.count("*").alias("n")).where(_enough("xs", "ys", per_cent)).select("a", "ra", "b", "rb")
+    opened = materialise(spread.join(split, "token"), "open")
+    mixed = opened.join(opened.groupBy("cls").agg(F.count("*").alias("k")), "cls")  # no pair shares more than it has here
+    side = lambda p, c: mixed.select("token", F.col("cls").alias(c), F.col("row").alias(f"r{c}"), *(F.col(n).alias(f"{p}_{n}") for n in ("root", "size", "k", "pos", "gk")))
+    pairs = side("x", "a").join(side("y", "b"), "token").where(
+        (F.col("x_root") < F.col("y_root")) & _fits("x_size", "y_size", per_cent) & _enough(F.least("x_k", "y_k"), "x_size", "y_size", per_cent)
+        # The first shared shingle of a linked pair leaves room for all they share, on both sides.
+        & (F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= _overlap("x_size", "y_size", per_cent))
+    ).drop("token", "x_pos", "y_pos", "x_root", "y_root", "x_k", "y_k").distinct()
+    fronts = groups.join(opened.select("gk").distinct(), "gk", "left_semi")
+    pairs = pairs.join(fronts.select(F.col("gk").alias("x_gk"), F.col("prefix").alias("xp")), "x_gk").join(fronts.select(F.col("gk").alias("y_gk"), F.col("prefix").alias("yp")), "y_gk")
+    more = pairs.where(_enough(F.size(F.array_intersect("xp", "yp")), "x_size", "y_size", per_cent)).select("a", "ra", "b", "rb")
     done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(more.join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
