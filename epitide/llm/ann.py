@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from epitide.llm.common import tidy
 from epitide.llm.learning import Adam
 from epitide.sources.scratch import materialise
 
@@ -147,7 +148,7 @@ def fit(rows: DataFrame, dim: int, count: int) -> dict[str, np.ndarray]:
 
     if parts == 1:
         return {}
-    got = sample.repartition(1).mapInArrow(run, "net binary").first()  # one row of fixed size
+    got = sample.repartition(1).mapInArrow(tidy(run), "net binary").first()  # one row of fixed size
     return dict(np.load(io.BytesIO(got["net"])))
 
 
@@ -173,7 +174,7 @@ def routed(rows: DataFrame, dim: int, net: dict[str, np.ndarray], several: bool)
                 at, part = np.arange(len(p)), p.argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int")
+    return rows.select("vec_id", "v").mapInArrow(tidy(run), "vec_id long, v array<double>, part int")
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:

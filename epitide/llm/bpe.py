@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epitide.llm.common import tidy
+
 #: Pieces whose ids a worker keeps between blocks; beyond it the oldest half is replayed anew when met again.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,6 +131,10 @@ class Vocabulary:
             out.append(ids)
         return out
 
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes of ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
     def encode_block(self, texts: list[str], pattern: regex.Pattern, kept: dict[str, bytes]) -> list[bytes]:
         pieces = [pattern.findall(t) for t in texts]
         fresh: dict[str, None] = {}
@@ -150,27 +156,30 @@ class Vocabulary:
         return [b"".join(map(get, p)) for p in pieces]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
-    """Every row with its ids added as `into`; a column of that name is replaced. Other columns stay as they are."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Every row with its ids added as `into` and, if named, the bytes these ids decode to as `decoded`; columns of
+    those names are replaced. Other columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: fixed size
-    others = [c for c in docs.columns if c != into]
-    schema = docs.select(*others, F.lit(None).cast("binary").alias(into)).schema
+    new = [into, decoded] if decoded else [into]
+    others = [c for c in docs.columns if c not in new]
+    schema = docs.select(*others, *(F.lit(None).cast("binary").alias(c) for c in new)).schema
 
     def run(batches):
         vocabulary, splitter, kept = Vocabulary(shared.value), regex.compile(pattern), {}
         for batch in batches:
             names = batch.schema.names
             col = batch.column(names.index(column)).cast(pa.large_string())
-            for first in range(0, max(1, batch.num_rows), 1000):  # bounds the piece lists
-                part = batch.slice(first, 1000)
-                texts = [t or "" for t in col.slice(first, 1000).to_pylist()]
+            for first in range(0, max(1, batch.num_rows), 500):  # bounds the piece lists
+                part = batch.slice(first, 500)
+                texts = [t or "" for t in col.slice(first, 500).to_pylist()]
                 if len(kept) > KEPT_PIECES:
                     for x in list(kept)[: len(kept) // 2]:
                         del kept[x]
-                ids = pa.array(vocabulary.encode_block(texts, splitter, kept), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [ids], names=[*names, into])
+                ids = vocabulary.encode_block(texts, splitter, kept)
+                made = [ids, [vocabulary.decode(x) for x in ids]] if decoded else [ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *(pa.array(x, pa.binary()) for x in made)], names=[*names, *new])
 
-    return docs.select(*others).mapInArrow(run, schema)
+    return docs.select(*others).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -180,19 +189,18 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], column: str = "ids", into:
     schema = rows.select(*others, F.lit(None).cast("binary").alias(into)).schema
 
     def run(batches):
-        token = {i: b for b, i in shared.value.items()}.__getitem__
+        vocabulary = Vocabulary(shared.value)
         for batch in batches:
             names = batch.schema.names
-            ids = batch.column(names.index(column)).to_pylist()
-            out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(out, pa.binary())], names=[*names, into])
+            out = [vocabulary.decode(x) for x in batch.column(names.index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.binary())], names=[*names, into])
 
-    return rows.select(*others).mapInArrow(run, schema)
+    return rows.select(*others).mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    rows = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
+    rows = encode(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded")
     return rows.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

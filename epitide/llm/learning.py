@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import held_out
+from epitide.llm.common import held_out, tidy
 from epitide.sources.scratch import materialise
 
 
@@ -41,7 +41,7 @@ def fit(docs: DataFrame, chosen: DataFrame, train: Callable[[list[str], np.ndarr
         np.savez(out, **train(texts, mark))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    got = rows.mapInArrow(run, "model binary").first()  # one row of fixed size; none without rows
+    got = rows.mapInArrow(tidy(run), "model binary").first()  # one row of fixed size; none without rows
     return dict(np.load(io.BytesIO(got["model"]))) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
@@ -57,7 +57,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], apply: Callable[[pa.Arr
             values = apply(batch.column(names.index("text")), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.clip(values, 0.0, 1.0), pa.float64())], names=[*names, "score"])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return docs.select(*own).mapInArrow(tidy(run), schema)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import MAX_LONG, Ranges, mix, text_chunks
+from epitide.llm.common import MAX_LONG, Ranges, mix, text_chunks, tidy
 from epitide.sources.scratch import materialise
 
 GRAM = 40
@@ -174,7 +174,7 @@ def _anchors(docs: DataFrame, length: int, hashes_only: bool) -> DataFrame:
                         names=["h", "x", "_id", "_row", "lo", "hi"],
                     )
 
-    return docs.mapInArrow(run, "h long" if hashes_only else "h long, x long, _id long, _row long, lo int, hi int")
+    return docs.mapInArrow(tidy(run), "h long" if hashes_only else "h long, x long, _id long, _row long, lo int, hi int")
 
 
 def _pick(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +211,7 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
                     rows["lo"].append(s["lo"]), rows["body"].append(raw[s["lo"] : s["hi"] + length])
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("h", pa.int64()), ("m", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("lo", pa.int32()), ("body", pa.binary())]))
 
-    bodies = materialise(texts.mapInArrow(cut, "h long, m long, _id long, _row long, lo int, body binary"), "bodies")
+    bodies = materialise(texts.mapInArrow(tidy(cut), "h long, m long, _id long, _row long, lo int, body binary"), "bodies")
     sized = bodies.where(F.col("m") <= ANCHOR_CONTEXTS)
     shards = max(1, -(-sized.count() // SHARD_CONTEXTS))
 
@@ -241,7 +241,7 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)).cast(pa.int64()) for v in out], names=["w", "w2", "_id", "_row", "lo"])
 
-    hot = bodies.where(F.col("m") > ANCHOR_CONTEXTS).select("_id", "_row", "lo", "body").mapInArrow(windows, "w long, w2 long, _id long, _row long, lo long")
+    hot = bodies.where(F.col("m") > ANCHOR_CONTEXTS).select("_id", "_row", "lo", "body").mapInArrow(tidy(windows), "w long, w2 long, _id long, _row long, lo long")
     earliest = hot.groupBy("w", "w2").agg(F.min(F.struct("_id", "_row", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "w2", F.col("f._row").alias("r"), F.col("f.lo").alias("l"))
     aggregated = hot.join(earliest, ["w", "w2"]).where("_row <> r or lo <> l").select("_row", F.col("lo").cast("int").alias("lo"), F.col("lo").cast("int").alias("hi"))
     return copies.union(sorted_out).union(aggregated)
@@ -272,7 +272,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc", "kept", "n_removed", "n_spans"])
 
     whole = rows.join(keys, "_row", "left_anti").select("doc", F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return touched.mapInArrow(cut, schema).union(whole).select("doc.*", "kept", "n_removed", "n_spans")
+    return touched.mapInArrow(tidy(cut), schema).union(whole).select("doc.*", "kept", "n_removed", "n_spans")
 
 
 def whole_characters(kept: Column) -> Column:

@@ -12,6 +12,8 @@ every score is 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +43,8 @@ def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.tile(row, len(found)), np.concatenate(found)
 
 
-def _presences(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _parts(texts: pa.Array, table: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows and hashes, each pair once; with a table, only hashes whose slot is set."""
-    rows, hashes = [], []
     for first, data, at in text_chunks(texts):
         row, h = _features(data, at)
         if table is not None:
@@ -52,8 +53,20 @@ def _presences(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.nda
         by = np.lexsort((h, row))
         row, h = row[by], h[by]
         new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-        rows.append(row[new] + first), hashes.append(h[new])
-    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        yield row[new] + first, h[new]
+
+
+def _presences(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = list(_parts(texts, table))
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _gain(pos: np.ndarray, un: np.ndarray, n_pos: int, n_un: int) -> np.ndarray:
+    """Log-likelihood ratio of a surplus in positives; 0 where there is none."""
+    rate = (pos + un) / (n_pos + n_un)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (pos * np.log(pos / (n_pos * rate)) + np.where(un > 0, un * np.log(un / (n_un * rate)), 0))
+    return np.where(pos > n_pos * rate, gain, 0)
 
 
 def train(texts: pa.Array, mark: np.ndarray, prior: float) -> dict[str, np.ndarray]:
@@ -61,14 +74,20 @@ def train(texts: pa.Array, mark: np.ndarray, prior: float) -> dict[str, np.ndarr
     n_pos, n_un = int((mark == 1).sum()), int((mark == 0).sum())
     if not n_pos:
         return {"hashes": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.array([-np.inf])}
-    row, h = _presences(texts)
+    slots = 1 << TABLE_BITS
+    in_pos, in_un = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+    for row, h in _parts(texts):  # counts by slot, of fixed size, tell which features need be held at all
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        toxic = mark[row] == 1
+        in_pos += np.bincount(slot[toxic], minlength=slots).astype(np.int32)
+        in_un += np.bincount(slot[~toxic], minlength=slots).astype(np.int32)
+    table = (in_pos >= 2) & (_gain(in_pos, in_un, n_pos, n_un) > SURPLUS / 2)
+    row, h = _presences(texts, table)
     kinds, which = np.unique(h, return_inverse=True)
     pos = np.bincount(which, mark[row] == 1, len(kinds))
     un = np.bincount(which, mark[row] == 0, len(kinds))
-    rate = (pos + un) / (n_pos + n_un)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (pos * np.log(pos / (n_pos * rate)) + np.where(un > 0, un * np.log(un / (n_un * rate)), 0))
-    able = np.flatnonzero((pos > n_pos * rate) & (gain > SURPLUS))
+    gain = _gain(pos, un, n_pos, n_un)
+    able = np.flatnonzero(gain > SURPLUS)
     able = np.sort(able[np.argsort(-gain[able], kind="stable")[:FEATURES]])
     place = np.full(len(kinds), -1)
     place[able] = np.arange(len(able))
