@@ -35,7 +35,7 @@ NEIGHBOURS, SLACK, SWEEPS = 10, 1.15, 8
 HIDDEN, ROUNDS, BATCH = 128, 30, 256
 #: A query visits the most probable parts until they hold this probability, at least MIN_PARTS of them.
 MASS, MIN_PARTS = 0.96, 3
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 8_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
