@@ -36,10 +36,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv adbox adslot sidebar side nav navbar navigation menu topbar header masthead footer banner breadcrumb breadcrumbs cookie "
     "cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay promo promotion share "
-    "sharing social related recommended sponsor sponsored widget pagination pager disqus comment comments respond replies reply toolbar skip".split()
+    "sharing social related recommended sponsor sponsored widget pagination pager disqus comment comments respond responses replies reply toolbar skip announcement".split()
 )
 STEMS = ("advert", "sponsor", "comment", "cookie", "newsletter", "sidebar", "breadcrumb", "promo")
 KEEPERS = frozenset("article post entry main content story".split())
+# A class such as "with-sidebar" tells of the layout, not of the element.
+LAYOUT = frozenset("with no has without".split())
 # These mark an article's own heading when they stand with a word of KEEPERS.
 HEADINGS = frozenset(("header", "masthead"))
 
@@ -72,12 +74,13 @@ def left_out(name: str, rest: str) -> bool:
             if value.strip().lower() in ROLES:
                 return True
         elif key in ("class", "id"):
-            words = {w.lower() for w in SPLIT.split(value) if w}
-            hit = {w for w in words if w in WORDS or w.startswith(STEMS)}
-            if words & KEEPERS:
-                hit -= HEADINGS
-            if hit:
-                return True
+            for one in value.split():
+                words = {w.lower() for w in SPLIT.split(one) if w}
+                hit = {w for w in words if w in WORDS or w.startswith(STEMS)}
+                if words & KEEPERS:
+                    hit -= HEADINGS
+                if hit and not words & LAYOUT:
+                    return True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False

@@ -177,7 +177,7 @@ def _anchors(docs: DataFrame, length: int, hashes_only: bool) -> DataFrame:
     return docs.mapInArrow(tidy(run), "h long" if hashes_only else "h long, x long, _id long, _row long, lo int, hi int")
 
 
-def _pick(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pick(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`rows` (one for each _row), ready to be joined, and a filter of that size to be applied to the scan."""
     rows = materialise(rows, "rows")
     few = rows.count() <= BROADCAST_ROWS
@@ -198,7 +198,7 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
     crowd = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     several = distinct.join(crowd, "h")
     spans = several.groupBy("_row").agg(F.first("_id").alias("_id"), F.collect_list(F.struct("lo", "hi", "h", "m")).alias("spans"))
-    spans, keys = _pick(docs, spans)
+    spans, keys = _pick(spans)
     texts = docs.select("_row", "text").join(keys, "_row", "left_semi").join(spans, "_row")
 
     def cut(batches):
@@ -252,7 +252,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     own = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
     rows = docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges, keys = _pick(docs, covered(ids, length).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    ranges, keys = _pick(covered(ids, length).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     touched = rows.join(keys, "_row", "left_semi").join(ranges, "_row").select("doc", "text", F.sort_array("ranges").alias("ranges"))
     schema = touched.select("doc", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema
 

@@ -178,6 +178,7 @@ PAGES = [
     (f"<table><tr><td>{LONG}<td>b<tr><td>c</table>", f"{LONG} b\nc"),
     (f'<p title="a > b">{LONG}</p></div></span><p>x <a href="unclosed', f"{LONG}\nx"),
     (f"<article><header><h1>Dropped</h1></header><p>{LONG}</p></article>", LONG),
+    (f"<div class='main no-sidebar'><h2 class='post-header'>Kept</h2><p>{LONG}</p><div class='wide content-ad'>{LONG}</div></div>", f"Kept\n{LONG}"),
 ]
 
 
