@@ -7,6 +7,8 @@ adaptive execution splits hot keys.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epitide.functions import calendar, text
@@ -62,15 +64,19 @@ def asof_backward(
 
 
 def roll_up(covariates: DataFrame, by: list[str], date: str, cols: list[str]) -> DataFrame:
-    """Covariates at all three frequencies in one aggregate: day, week to Saturday, year to 31 Dec."""
-    kinds = F.explode(F.array(*(F.lit(k) for k in ("daily", "weekly", "annual"))))
-    return (
-        covariates.select(*by, date, *cols, kinds.alias("frequency"))
-        .withColumn("join_date", calendar.period_end(date, "frequency"))
-        .groupBy(*by, "frequency", "join_date")
-        .agg(*(F.avg(c).alias(c) for c in cols))
-        .withColumn("weather_match_level", match_level("frequency"))
-    )
+    """Means of covariates at all three frequencies: day, week to Saturday, year to 31 Dec.
+
+    Rows collapse to sums and counts per day first; weeks and years are summed from those days.
+    """
+    day = covariates.groupBy(*by, date).agg(*(F.sum(c).alias(f"_s_{c}") for c in cols), *(F.count(c).alias(f"_n_{c}") for c in cols))
+    frames = []
+    for kind in ("daily", "weekly", "annual"):
+        rows = day.withColumn("frequency", F.lit(kind)).withColumn("join_date", calendar.period_end(date, "frequency"))
+        if kind != "daily":
+            rows = rows.groupBy(*by, "frequency", "join_date").agg(*(F.sum(f"_{x}_{c}").alias(f"_{x}_{c}") for c in cols for x in "sn"))
+        means = (F.try_divide(F.col(f"_s_{c}"), F.nullif(F.col(f"_n_{c}"), F.lit(0))).alias(c) for c in cols)
+        frames.append(rows.select(*by, "frequency", "join_date", *means))
+    return reduce(DataFrame.union, frames).withColumn("weather_match_level", match_level("frequency"))
 
 
 def match_level(frequency: str) -> Column:
