@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitide.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
-from epitide.llm.common import table
+from epitide.llm.common import small_batches, table
 from epitide.sources.scratch import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,11 +25,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; documents without words stay."""
+    small_batches(spark)
     return ngram_join.representatives(docs.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 100 bytes that start earlier; a character that lost a byte goes whole."""
+    small_batches(spark)
     rows = suffix_dedup.dedup(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
@@ -37,11 +39,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mixture(docs.select(*COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of the mix."""
+    small_batches(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(docs, ranks, public_tokenizers.PATTERN)
 

@@ -17,11 +17,24 @@ from pyspark.sql import functions as F
 
 #: Fixed constants of the splitmix64 generator.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 MAX_LONG = (1 << 63) - 1
 
 
+#: Rows and bytes that Spark hands to Python at once; whole texts would otherwise make batches of tens of megabytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of batches for whole texts, unless the session was launched with sizes of its own."""
+    launched = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not launched.contains(key):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
