@@ -10,9 +10,11 @@
    a group's classes with its first class, are expanded to classes and verified on whole texts. Their number follows
    the lists' length. Pairs need fitting sizes and enough common prefix shingles: of the k shingles two sets of sizes
    n >= m must share, at most ceil(t n) - 1 stand behind the prefix of either, so the first k - ceil(t n) + 1 stand in both.
-5. Only lists whose classes are not one component by then are opened: pairs from different components that were not
-   tried yet are verified by the same rules. A pair inside a component needs no check, any other pair that could link
-   has been verified, so no link between components is lost.
+5. Only lists whose classes are not one component by then are opened: pairs of different groups and components that
+   were not tried yet are verified by the same rules. Groups whose classes are not one component are joined inside:
+   their sets have one size n and must share k shingles, so the n - k + 1 that are rarest in the group hold one of
+   those. A pair inside a component needs no check, any other pair that could link has been verified, so no link
+   between components is lost.
 
 Rows without words have an empty set, no links and their own id as component. Repeated rows are one class. A null
 doc_id is linked like any other; its component is the smallest id of the component that is not null, else null.
@@ -100,9 +102,7 @@ def prefixes(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, per_cent: int) -> DataFrame:
     """The pairs (a, b: classes; ra, rb: a row of each) that link, by their whole texts."""
-    need = materialise(pairs.select(F.col("ra").alias("_row")).union(pairs.select(F.col("rb").alias("_row"))).distinct(), "rows")
-    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    texts = materialise(docs.select("_row", "text").join(need, "_row", "left_semi"), "texts")
+    texts = materialise(_chosen(docs, pairs.select(F.col("ra").alias("_row")).union(pairs.select(F.col("rb").alias("_row")))), "texts")
 
     def run(batches):
         for batch in batches:
@@ -134,6 +134,35 @@ def _enough(n: F.Column, a: str, b: str, per_cent: int) -> F.Column:
     return n > _overlap(a, b, per_cent) - F.ceil(F.greatest(a, b) * per_cent / 100)
 
 
+def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """_row, text of the rows whose numbers stand in `rows`."""
+    need = materialise(rows.distinct(), "rows")
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    return docs.select("_row", "text").join(need, "_row", "left_semi")
+
+
+def group_pairs(named: DataFrame, docs: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """a, ra, b, rb: the pairs of classes of one group (`named`: cls, row, gk, size, root) and different roots that share
+    one of the shingles which are rarest in their group. All pairs that link are among them."""
+    several = named.groupBy("gk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gk")
+    inside = materialise(named.join(several, "gk", "left_semi").select("cls", "row", "gk", "size", "root"), "inside")
+
+    def run(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "tokens"])
+
+    texts = _chosen(docs, inside.select(F.col("row").alias("_row")))
+    grams = inside.join(texts.mapInArrow(tidy(run), "row long, tokens array<long>"), "row").select("cls", "row", "gk", "size", "root", F.explode("tokens").alias("token"))
+    grams = materialise(grams, "grams")
+    counts = grams.groupBy("gk", "token").agg(F.count("*").alias("n"))
+    rare = grams.join(counts, ["gk", "token"]).groupBy("cls", "row", "gk", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    rare = rare.select("cls", "row", "gk", "root", F.explode(F.slice("own", F.lit(1), (F.col("size") - _overlap("size", "size", per_cent) + 1).cast("int"))).alias("t"))
+    rare = materialise(rare.where("t.n > 1").select("cls", "row", "gk", "root", F.col("t.token").alias("token")), "rare")
+    other = rare.select(F.col("cls").alias("b"), F.col("row").alias("rb"), "gk", F.col("root").alias("other"), "token")
+    return rare.withColumnsRenamed({"cls": "a", "row": "ra"}).join(other, ["gk", "token"]).where("root < other").select("a", "ra", "b", "rb").distinct()
+
+
 def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFrame, DataFrame]:
     """_row, doc_id, cls, size of each row of `docs` (_row, doc_id, text), and cls, root, component_id of each class."""
     members = materialise(prefixes(docs, words, per_cent), "prefixes")
@@ -161,16 +190,16 @@ def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFra
     spread = lists.join(named, "gk")
     split = spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     opened = materialise(spread.join(split, "token"), "open")
-    mixed = opened.join(opened.groupBy("cls").agg(F.count("*").alias("k")), "cls")  # no pair shares more than it has here
+    mixed = opened.join(opened.groupBy("cls").agg(F.count("*").alias("k")), "cls")  # no pair of two groups shares more than it has here
     side = lambda p, c: mixed.select("token", F.col("cls").alias(c), F.col("row").alias(f"r{c}"), *(F.col(n).alias(f"{p}_{n}") for n in ("root", "size", "k", "pos", "gk")))
     pairs = side("x", "a").join(side("y", "b"), "token").where(
-        (F.col("x_root") < F.col("y_root")) & _fits("x_size", "y_size", per_cent) & _enough(F.least("x_k", "y_k"), "x_size", "y_size", per_cent)
+        (F.col("x_root") < F.col("y_root")) & (F.col("x_gk") != F.col("y_gk")) & _fits("x_size", "y_size", per_cent) & _enough(F.least("x_k", "y_k"), "x_size", "y_size", per_cent)
         # The first shared shingle of a linked pair leaves room for all they share, on both sides.
         & (F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= _overlap("x_size", "y_size", per_cent))
     ).drop("token", "x_pos", "y_pos", "x_root", "y_root", "x_k", "y_k").distinct()
     fronts = groups.join(opened.select("gk").distinct(), "gk", "left_semi")
     pairs = pairs.join(fronts.select(F.col("gk").alias("x_gk"), F.col("prefix").alias("xp")), "x_gk").join(fronts.select(F.col("gk").alias("y_gk"), F.col("prefix").alias("yp")), "y_gk")
-    more = pairs.where(_enough(F.size(F.array_intersect("xp", "yp")), "x_size", "y_size", per_cent)).select("a", "ra", "b", "rb")
+    more = pairs.where(_enough(F.size(F.array_intersect("xp", "yp")), "x_size", "y_size", per_cent)).select("a", "ra", "b", "rb").union(group_pairs(named, docs, words, per_cent))
     done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(more.join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():

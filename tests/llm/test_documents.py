@@ -141,6 +141,19 @@ def test_links_that_the_first_pivots_miss(spark, tmp_path):
     assert sorted((tuple(r) for r in ngram_join.join_components(spark.read.parquet(str(tmp_path / "d"))).collect()), key=str) == want
 
 
+def test_links_inside_a_group_without_its_first_class(spark, tmp_path, monkeypatch):
+    """Families of short texts: B and C are alike, A (often the first class of a group of all three) is not like them.
+    All slots are of one level, as in a large corpus, where a shingle of three texts is not common."""
+    monkeypatch.setattr(ngram_join, "common_slots", lambda docs, words: np.zeros(1 << ngram_join.SLOT_BITS, np.uint8))
+    rows = []
+    for i in range(80):
+        common = " ".join(f"f{i}_{k}" for k in range(12))
+        rows += [(10 * i + j, f"{common} {end}") for j, end in enumerate(("x y", "p q", "p r"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    want, _ = brute_components(rows)
+    assert sorted((tuple(r) for r in ngram_join.join_components(spark.read.parquet(str(tmp_path / "d"))).collect()), key=str) == want
+
+
 def test_join_of_no_rows(empty):
     assert ngram_join.join_components(empty).collect() == [] and ngram_join.representatives(empty).collect() == []
 
