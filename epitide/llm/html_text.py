@@ -170,6 +170,27 @@ def flat(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def enclosing(node: Node) -> Node | None:
+    """The nearest article or main element around a node."""
+    node = node.parent
+    while node is not None and node.name not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def holds_left_out(node: Node) -> bool:
+    """Whether text stands in what is left out, at or below a node."""
+    stack = [node]
+    while stack:
+        here = stack.pop()
+        for child in here.children:
+            if not isinstance(child, str):
+                stack.append(child)
+            elif here.out and child.strip():
+                return True
+    return False
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -184,7 +205,7 @@ def main_text(page: str | None) -> str:
         points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - min(1.0, links / len(text)))
         node, share = (owner.parent if owner.name in ("p", "pre", "li", "td", "dd", "dt", "tr", "blockquote") and owner.parent else owner), 1.0
         step = 1
-        while node is not None and step < 6:
+        while node is not None:
             node.points += points / step
             scored[id(node)] = node
             node, step = node.parent, step + 1
@@ -193,28 +214,40 @@ def main_text(page: str | None) -> str:
     if not scored:
         return "\n".join(text for _, text, _ in whole)
     top = max(scored.values(), key=lambda x: x.points)
-    keep = {id(top)}
-    if top.parent is not None:
-        heading = None
-        for sibling in (c for c in top.parent.children if isinstance(c, Node) and not c.out):
-            if sibling is top:
+    keep, loose, at = {id(top)}, set(), top
+    around = top if top.name in ("article", "main") else enclosing(top)
+    inside = around is not top and around is not None
+    while at.parent is not None:
+        heading, clean = None, True
+        for sibling in (c for c in at.parent.children if isinstance(c, Node)):
+            if sibling is at:
                 if heading is not None:
                     keep.add(id(heading))
                 continue
+            clean = clean and not holds_left_out(sibling)
+            if sibling.out:
+                continue
             if sibling.name == "h1":
                 heading = sibling
             own: list[list] = []
             blocks(sibling, own)
             text = " ".join(flat(p) for _, p, _ in own)
             density = sum(x[2] for x in own) / max(1, len(text))
-            if sibling.points >= max(10.0, 0.2 * top.points) or sibling.name == "p" and (len(text) > 80 and density < 0.25 or text and density == 0 and text[-1] in ".!?"):
+            if text and density < 0.25 or sibling.points >= max(10.0, 0.2 * top.points):
                 keep.add(id(sibling))
+            elif text:
+                clean = False
+        if not clean and not inside:
+            break
+        at = at.parent
+        loose.add(id(at))
+        inside = inside and at is not around
     out = []
     for owner, text, _ in whole:
         node = owner
         while node is not None and id(node) not in keep:
             node = node.parent
-        if node is not None:
+        if node is not None or id(owner) in loose:
             out.append(text)
     return "\n".join(out)
 

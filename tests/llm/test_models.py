@@ -190,6 +190,22 @@ def test_page_texts(spark):
     assert html_text.texts(df.where("false")).collect() == []
 
 
+TEN = f"<p>{LONG}</p>" * 10
+MENU = "<nav><a href=/>Home</a></nav>"
+SECTIONED = [  # the parts of an article, and what stands around it
+    (f"<body>{MENU}<article><section>{TEN}</section><h2>Note</h2><section><p>Short one</p></section><ul><li>x<li>y</ul></article></body>", [LONG] * 10 + ["Note", "Short one", "x", "y"]),
+    (f"<body>{MENU}<div><div>{TEN}</div><h3>Note</h3><div><p>Short one</p></div></div><footer>me</footer></body>", [LONG] * 10 + ["Note", "Short one"]),
+    (f"<article><section>{TEN}</section><aside>{LONG}</aside><ul><li><a href=/a>More of it</a></ul><section>End</section></article>", [LONG] * 10 + ["End"]),
+    (f"<body>{MENU}<div><div>{TEN}</div><div class=ad>{LONG}</div><div>End</div></div></body>", [LONG] * 10 + ["End"]),
+    (f"<body>{MENU}" + "".join("<div>" * 7 + f"<p>{i} {LONG}</p>" + "</div>" * 7 for i in range(6)) + "</body>", [f"{i} {LONG}" for i in range(6)]),
+]
+
+
+@pytest.mark.parametrize("page, want", SECTIONED)
+def test_sectioned_articles_are_whole(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_hostile_pages_end():
     for page in ("<" * 20_000, "<div>" * 5_000 + "x", '<a href="' * 3_000, "<p " + "a='" * 5_000, "<!--" * 5_000, "&" * 20_000, "</p>" * 9_000):
         html_text.main_text(page)
