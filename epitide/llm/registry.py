@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
-    "op3_suffix_dedup": q.op3_suffix_dedup,
     "op8_ngram_join": q.OP8_SQL,
 }

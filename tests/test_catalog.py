@@ -50,6 +50,10 @@ def test_rows_only_query_runs(spark, tables, name):
     assert QUERIES[name](spark, tables).count() > 0
 
 
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in ORACLES.values()) and set(ORACLES) <= set(QUERIES)
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
