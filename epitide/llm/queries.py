@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import ann, bpe, fingerprint, html_text, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from epitide.llm import ann, bpe, fingerprint, html_text, lexical, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from epitide.llm.common import table
 
 
@@ -76,3 +76,34 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
+OP11_SQL = r"""
+with docs as (
+  select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents
+), sizes as (select r, doc_id, cast(len(t) as bigint) as n from docs where len(t) > 0
+), whole as (select count(*) as N_docs, cast(sum(n) as bigint) as L_terms from sizes
+), norms as (select r, doc_id, 25 + (75 * n * N_docs) // L_terms as m from sizes, whole
+), tfs as (select r, term, count(*) as tf from (select r, unnest(t) as term from docs) group by r, term
+), weights as (
+  select term, cast(floor(1000 * ln(cast(2 * N_docs + 2 as double) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from tfs group by term), whole
+), items as (
+  select item_id, row_number() over () as i,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from benchmark
+), asked as (select i, item_id, term, count(*) as c from (select i, item_id, unnest(t) as term from items) group by i, item_id, term
+), scored as (
+  select i, item_id, norms.r, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join tfs using (term) join weights using (term) join norms on tfs.r = norms.r
+  group by i, item_id, norms.r, doc_id
+), ranked as (
+  select *, cast(row_number() over (partition by i order by score desc, doc_id nulls last) as integer) as rank from scored where score > 0
+) select item_id, rank, doc_id, score from ranked where rank <= 10
+"""

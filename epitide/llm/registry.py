@@ -20,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": q.op8_ngram_join,
     "op9_html_text": q.op9_html_text,
     "op10_toxicity": q.op10_toxicity,
+    "op11_lexical_search": q.op11_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op8_ngram_join": q.OP8_SQL,
+    "op11_lexical_search": q.OP11_SQL,
 }
