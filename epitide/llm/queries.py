@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import ann, bpe, fingerprint, html_text, lexical, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from epitide.llm import alignment, ann, bpe, fingerprint, html_text, lexical, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from epitide.llm.common import table
 
 
@@ -107,3 +107,8 @@ with docs as (
   select *, cast(row_number() over (partition by i order by score desc, doc_id nulls last) as integer) as rank from scored where score > 0
 ) select item_id, rank, doc_id, score from ranked where rank <= 10
 """
+
+
+def op12_token_alignment(spark: SparkSession, folder: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    ranks, (model, pieces) = alignment.read_byte_level(public_tokenizers.path(a)), alignment.read_pieces(public_tokenizers.path(b))
+    return alignment.align(table(spark, folder, "documents"), (ranks, public_tokenizers.PATTERN, model, pieces))

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": q.op9_html_text,
     "op10_toxicity": q.op10_toxicity,
     "op11_lexical_search": q.op11_lexical_search,
+    "op12_token_alignment": q.op12_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
