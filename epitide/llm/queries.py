@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import alignment, ann, bpe, fingerprint, html_text, lexical, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from epitide.llm import alignment, ann, bpe, fingerprint, html_text, lexical, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filter
 from epitide.llm.common import table
 
 
@@ -112,3 +112,7 @@ with docs as (
 def op12_token_alignment(spark: SparkSession, folder: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
     ranks, (model, pieces) = alignment.read_byte_level(public_tokenizers.path(a)), alignment.read_pieces(public_tokenizers.path(b))
     return alignment.align(table(spark, folder, "documents"), (ranks, public_tokenizers.PATTERN, model, pieces))
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.spans(table(spark, folder, "documents"))

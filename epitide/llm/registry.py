@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": q.op10_toxicity,
     "op11_lexical_search": q.op11_lexical_search,
     "op12_token_alignment": q.op12_token_alignment,
+    "op13_personal_data": q.op13_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
