@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from epitide import schema
@@ -70,8 +71,8 @@ def training_rows(v):
     return v.spark.read.parquet(v.kept("training", GOLD_INPUTS, write))
 
 
-def trained(v):
-    """Training rows and the fitted trees, one model for all questions of an application."""
+def trained_path(v):
+    """Training rows and the folder of the fitted trees, one model for all questions of an application."""
     rows = training_rows(v)
 
     def write(path):
@@ -79,18 +80,31 @@ def trained(v):
         train = rows.where("split = 'train'")
         sinks.save_model(forecasting.fit_gbt(train, forecasting.usable_numeric(train, NUMERIC)), path)
 
-    return rows, sinks.load_model(v.kept("trees", GOLD_INPUTS, write))
+    return rows, v.kept("trees", GOLD_INPUTS, write)
 
 
-@Q.add("mlt05_feature_stages")
-def _(v):
-    from pyspark.ml import Pipeline
+def trained(v):
+    rows, path = trained_path(v)
+    return rows, sinks.load_model(path)
+
 
+# Feature columns the given tables can fill; the others are empty and left out of the models.
+IMPUTED = [c for c in NUMERIC if c not in ("density_per_km2", "urban_population_ratio")]
+_LABELLED = "select * from v_features where disease = 'COVID-19' and target_t_plus_7 is not null and lag_1 is not null and lag_7 is not null"
+_TRAINING = f"({split_sql(_LABELLED, '*')})"
+
+
+@Q.add("mlt05_feature_stages", f"""select t.location_code, disease, date, coalesce(i.idx, (select count(distinct location_code) from {_TRAINING} where split = 'train'))::double as location_idx,
+    {", ".join(f"round(coalesce(t.{c}::double, m.{c}), 4) + 0.0 as {c}_imp" for c in IMPUTED)} from {_TRAINING} t left join (select location_code, row_number() over (order by count(*) desc, location_code) - 1 as idx from {_TRAINING} where split = 'train' group by 1) i on i.location_code = t.location_code
+    cross join (select {", ".join(f"median({c}::double) as {c}" for c in IMPUTED)} from {_TRAINING} where split = 'train') m""")
+def _(v):
+    """Frequency-ordered index of the location and exact train medians, for every feature column at once."""
     rows = training_rows(v)
     train = rows.where("split = 'train'")
-    model = Pipeline(stages=forecasting.feature_stages(forecasting.usable_numeric(train, NUMERIC))).fit(train)
-    out = model.transform(rows)
-    return out.select(*SERIES, "date", "location_idx", "lag_1_imp", "temperature_mean_imp")
+    medians = forecasting.train_medians(train, forecasting.usable_numeric(train, NUMERIC))
+    out = Pipeline(stages=forecasting.feature_stages(medians)).fit(train).transform(rows)
+    empty = F.lit(None).cast("double")
+    return out.select(*SERIES, "date", "location_idx", *((F.round(f"{c}_imp", 4) if c in medians else empty).alias(f"{c}_imp") for c in IMPUTED))
 
 
 @Q.add("mlt06_gradient_boosted_trees")
@@ -100,6 +114,23 @@ def _(v):
     return test.select(*SERIES, "date", F.col("target_t_plus_7").alias("actual_t_plus_7"), F.round("prediction_gbt", 4).alias("prediction_gbt"), "rolling_mean_7")
 
 
+def by_model_and_nodes(v):
+    """Test rows with the forecast of the reloaded model and that of its node relation."""
+    rows, path = trained_path(v)
+    assembled = sinks.load_model(path).transform(rows.where("split = 'test'"))
+    assembled = assembled.withColumn("prediction_gbt", measures.inverse_log_target("prediction_log"))
+    return forecasting.predict_with_nodes(assembled, forecasting.tree_nodes(v.spark, path))
+
+
+SAME = "abs(prediction_gbt - prediction_nodes) <= 1e-6 * greatest(abs(prediction_gbt), 1)"
+
+
+@Q.add("mlt06_tree_nodes", f"select location_code, disease, date, target_t_plus_7 as actual_t_plus_7, round(rolling_mean_7, 4) as rolling_mean_7, true as same_by_nodes from {_TRAINING} where split = 'test'")
+def _(v):
+    """The forecast of the fitted model against the walk over its nodes, row by row."""
+    return by_model_and_nodes(v).select(*SERIES, "date", F.col("target_t_plus_7").alias("actual_t_plus_7"), F.round("rolling_mean_7", 4).alias("rolling_mean_7"), F.expr(SAME).alias("same_by_nodes"))
+
+
 @Q.add("mlt07_model_evaluation")
 def _(v):
     rows, model = trained(v)
@@ -107,6 +138,25 @@ def _(v):
     return forecasting.evaluate(test, {"gbt": "prediction_gbt", "moving_average": "rolling_mean_7"}, "moving_average")
 
 
+_BASELINE = metrics_sql(f"select 'moving_average' as model, target_t_plus_7 as a, rolling_mean_7 as p from {_TRAINING} where split = 'test'", "model")
+
+
+@Q.add("mlt07_node_evaluation", f"select *, true as same_gbt_metrics, mae as baseline_mae, false as beats_baseline, true as gbt_flag_consistent from ({_BASELINE})")
+def _(v):
+    """Metrics of the baseline, and whether model and node relation are evaluated alike and flagged by their MAE."""
+    scored = by_model_and_nodes(v)
+    out = forecasting.evaluate(scored, {"gbt": "prediction_gbt", "nodes": "prediction_nodes", "moving_average": "rolling_mean_7"}, "moving_average")
+    def of(model, column):
+        return F.max(F.when(F.col("model") == model, F.col(column)))
+
+    gaps = [F.abs(of("gbt", c) - of("nodes", c)) for c in ("mae", "rmse", "r2")]
+    checks = out.agg(
+        (gaps[0] + gaps[1] + gaps[2] < 1e-4).alias("same_gbt_metrics"),
+        (of("gbt", "beats_baseline") == (of("nodes", "mae") < of("nodes", "baseline_mae"))).alias("gbt_flag_consistent"),
+    )
+    return aggregates.attach(out.where("model = 'moving_average'"), checks)
+
+
 @Q.add("snk07_model_persistence")
 def _(v):
     rows, model = trained(v)
@@ -115,6 +165,24 @@ def _(v):
     return forecasting.gbt_predict(sinks.load_model(path), rows.where("split = 'test'")).select(*SERIES, "date", "prediction_gbt")
 
 
+@Q.add("snk07_nodes_after_reload", "select tree, true as same_nodes, true as is_binary_tree from (select unnest(generate_series(0, 59)) as tree)")
+def _(v):
+    """Node relations of a model and of its copy that was saved, loaded and saved again, tree by tree."""
+    _, path = trained_path(v)
+    again = scratch.shared_dir(v.spark, "model")
+    sinks.save_model(sinks.load_model(path), again)
+
+    def trees(folder):
+        nodes = forecasting.tree_nodes(v.spark, folder)
+        digest = F.xxhash64("node", "weight", "feature", "threshold", "categories", "left", "right", "value").cast("decimal(38,0)")
+        return nodes.groupBy("tree").agg(F.count("*").alias("n"), F.count_if(F.col("left") < 0).alias("leaves"), F.sum(digest).alias("digest"))
+
+    a, b = trees(path), trees(again).select("tree", F.col("digest").alias("copy"), F.col("n").alias("copy_n"))
+    return a.join(b, "tree", "full").select(
+        F.col("tree").cast("long"), (F.col("digest").eqNullSafe(F.col("copy")) & F.col("n").eqNullSafe(F.col("copy_n"))).alias("same_nodes"), (F.col("n") == 2 * F.col("leaves") - 1).alias("is_binary_tree")
+    )
+
+
 @Q.add("mlt08_winning_prediction", f"""select f.location_code, f.disease, f.date, b.best_model, round(case when b.best_model = 'naive_last_value' then prediction_naive_last_value else prediction_moving_average end, 4) as prediction
     from v_scored f left join (select disease, arg_min(model, (mae, model)) as best_model from ({COMPARISON_SQL}) group by 1) b on b.disease = f.disease""")
 def _(v):

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from epitide.sources.scratch import materialise
+
 
 def wide_to_long(df: DataFrame, ids: list[str], columns: list[str], key: str, value: str, pattern: str | None = None, dtype: str = "int") -> DataFrame:
     """Value columns to rows; the key can be a number parsed from the column name."""
@@ -76,8 +78,9 @@ def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int |
     """Several rankings of the same rows, missing values counted as 0; with n, the first n of each.
 
     Rows are tagged once per ranking in one pass. With n, the rank filter becomes a group limit inside each task, so at
-    most n rows per ranking and task are shuffled. Without, rows are sorted by range; a row's position is its place in
-    its range plus the rows of the ranking in the ranges before, so no task holds a whole ranking.
+    most n rows per ranking and task are shuffled. Without, rows are sorted by range once and written with the number of
+    their range and their place in it; the written ranges are counted, and a position is the place plus the rows of the
+    ranking in the ranges before. Counts and rows so come from the same ranges, however these were cut.
     """
     scores = [
         F.struct(F.lit(name).alias("ranking"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("_score"))
@@ -87,14 +90,19 @@ def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int |
     order = [F.desc("_score"), *(F.col(t) for t in ties)]
     if n is not None:
         w = Window.partitionBy("ranking").orderBy(*order)
-        return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("_score")
-    ranged = tagged.repartitionByRange("ranking", *order).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("ranking", "_range").agg(F.count("*").alias("_n"))
+        rows = tagged.withColumn("position", F.row_number().over(w).cast("long"))
+        return rows.where(F.col("position") <= n).drop("_score")
+    ranged = tagged.repartitionByRange("ranking", *order).sortWithinPartitions("ranking", *order)
+    # The lower 33 bits count the rows of a partition in their order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialise(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}), "ranges")
+    counts = rows.groupBy("ranking", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy("ranking").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("ranking", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("ranking", "_range").orderBy(*order)
-    rows = ranged.withColumn("_place", F.row_number().over(inside)).join(offsets, ["ranking", "_range"])
-    return rows.withColumn("position", (F.col("_place") + F.col("_before")).cast("int")).drop("_score", "_range", "_place", "_n", "_before")
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = counts.select("ranking", "_range", shift.alias("_shift"))
+    return rows.join(offsets, ["ranking", "_range"]).withColumn("position", F.col("_place") + F.col("_shift")).drop(
+        "_score", "_range", "_place", "_shift"
+    )
 
 
 def series_documents(df: DataFrame, by: list[str], header: list[str], points: list[str], date: str) -> DataFrame:

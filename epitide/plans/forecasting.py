@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epitide import schema
 from epitide.functions import measures
@@ -88,14 +89,19 @@ def select_best(features: DataFrame, metrics: DataFrame, models: list[str]) -> D
     return rows.withColumn("prediction_t_plus_7", F.coalesce(picked, F.col("prediction_moving_average")))
 
 
-def feature_stages(numeric: list[str]) -> list:
-    """Index and encode the location, impute medians (fitted on train only), assemble."""
-    imputed = [f"{c}_imp" for c in numeric]
+def train_medians(train: DataFrame, numeric: list[str]) -> dict[str, float]:
+    """Exact median of each column over the train rows; one number per column."""
+    return {r["column_name"]: r["median"] for r in aggregates.exact_medians(train, numeric).collect()}
+
+
+def feature_stages(medians: dict[str, float]) -> list:
+    """Index and encode the location, put the train medians in place of missing values, assemble."""
+    filled = ", ".join(f"coalesce(nanvl({c}, null), {m!r}D) AS {c}_imp" for c, m in medians.items())
     return [
         StringIndexer(inputCol="location_code", outputCol="location_idx", handleInvalid="keep"),
         OneHotEncoder(inputCols=["location_idx"], outputCols=["location_vec"], handleInvalid="keep"),
-        Imputer(inputCols=numeric, outputCols=imputed, strategy="median"),
-        VectorAssembler(inputCols=[*imputed, "location_vec"], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[*(f"{c}_imp" for c in medians), "location_vec"], outputCol="features"),
     ]
 
 
@@ -118,7 +124,7 @@ def fit_gbt(train: DataFrame, numeric: list[str], trees: int = 60, depth: int =
         featuresCol="features", labelCol="target_log", predictionCol="prediction_log",
         maxIter=trees, maxDepth=depth, seed=seed,
     )
-    return Pipeline(stages=[*feature_stages(numeric), gbt]).fit(train)
+    return Pipeline(stages=[*feature_stages(train_medians(train, numeric)), gbt]).fit(train)
 
 
 def gbt_predict(model: PipelineModel, df: DataFrame, out: str = "prediction_gbt") -> DataFrame:
@@ -126,6 +132,48 @@ def gbt_predict(model: PipelineModel, df: DataFrame, out: str = "prediction_gbt"
     return scored.drop("features", "location_vec", "location_idx", "prediction_log")
 
 
+def tree_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a saved ensemble as rows: tree, weight, node, feature, threshold or categories, left, right, value.
+
+    A leaf has no children (-1). A node goes left on a value up to its threshold, or on one of its categories.
+    """
+    stage = f"{path}/stages/*GBTRegressor*"
+    # Saved without column names: tree, description, weight; and tree, node.
+    weights = spark.read.parquet(f"{stage}/treesMetadata").toDF("tree", "_about", "weight").drop("_about")
+    split = F.col("nodeData.split")
+    nodes = spark.read.parquet(f"{stage}/data").toDF("tree", "nodeData").select(
+        "tree", F.col("nodeData.id").alias("node"), F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"), F.col("nodeData.prediction").alias("value"), split.featureIndex.alias("feature"),
+        F.when(split.numCategories < 0, F.get(split.leftCategoriesOrThreshold, F.lit(0))).alias("threshold"),
+        F.when(split.numCategories >= 0, split.leftCategoriesOrThreshold).alias("categories"),
+    )
+    return nodes.join(weights, "tree")
+
+
+def predict_with_nodes(assembled: DataFrame, nodes: DataFrame, depth: int = 5, out: str = "prediction_nodes") -> DataFrame:
+    """The forecast of each row (with its assembled `features`) by walking the node relation with column expressions.
+
+    The relation has at most 2 ** (depth + 1) nodes per tree, whatever the data, and comes to the rows as one value.
+    """
+    fields = ("feature", "threshold", "categories", "left", "right", "value")
+    trees = nodes.groupBy("tree", "weight").agg(F.array_sort(F.collect_list(F.struct("node", *fields))).alias("nodes"))
+    whole = trees.agg(F.array_sort(F.collect_list(F.struct("tree", "weight", "nodes"))).alias("_trees"))
+    rows = aggregates.attach(assembled.withColumn("_x", vector_to_array("features")), whole)
+
+    def step(tree: Column, at: Column) -> Column:
+        node = tree["nodes"][at]
+        x = F.get("_x", node["feature"])
+        goes_left = F.when(node["categories"].isNull(), x <= node["threshold"]).otherwise(F.array_contains(node["categories"], x))
+        return F.when(node["left"] < 0, at).when(goes_left, node["left"]).otherwise(node["right"])
+
+    def leaf(tree: Column) -> Column:
+        at = F.lit(0)
+        return tree["nodes"][F.aggregate(F.sequence(F.lit(1), F.lit(depth)), at, lambda a, _: step(tree, a))]["value"]
+
+    total = F.aggregate("_trees", F.lit(0.0), lambda a, t: a + t["weight"] * leaf(t))
+    return rows.withColumn(out, measures.inverse_log_target(total)).drop("_trees", "_x")
+
+
 def evaluate(scored: DataFrame, models: dict[str, str], baseline: str) -> DataFrame:
     """Metrics per model and whether each beats the baseline."""
     pairs = [F.struct(F.lit(name).alias("model"), F.col(c).alias("prediction")) for name, c in models.items()]

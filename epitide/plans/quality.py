@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from epitide import schema
 from epitide.functions import text
 from epitide.operators import aggregates, joins, reshape
+from epitide.sources import scratch
 
 
 def epidemic_report(silver: DataFrame) -> DataFrame:
@@ -143,13 +144,13 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
     relative = F.abs(F.col(f"{value}_a") - F.col(f"{value}_b")) / F.greatest(
         F.col(f"{value}_a"), F.col(f"{value}_b"), F.lit(1.0)
     )
-    # Everything is read off the value counts, so the join of the two sources runs once.
-    counts = aggregates.value_counts(pairs.select(relative.alias("r")), "r")
+    # Everything is read off the written value counts, so the join of the two sources runs once.
+    counts = scratch.materialise(aggregates.value_counts(pairs.select(relative.alias("r")), "r"), "counts")
     share = F.sum(F.when(F.col("v") <= tolerance, F.col("c")).otherwise(0)) / F.sum("c")
     summary = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("overlap_rows"), F.round(share, 6).alias("within_5_percent_share")
     )
-    median = aggregates.exact_median(counts, 0.0, 1.0).select(F.round("median", 6).alias("median_relative_difference"))
+    median = aggregates.exact_medians(counts, ["v"], "c").select(F.round("median", 6).alias("median_relative_difference"))
     return aggregates.attach(summary, median)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from epitide.functions import measures
 from epitide.operators import aggregates, joins, reshape, windows
 from epitide.plans import quality
 
@@ -227,10 +228,68 @@ def test_exact_median_brute_force(spark, n):
     rng = random.Random(n)
     values = [rng.choice([0.0, 0.0, 1.0, rng.random()]) for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = aggregates.exact_median(aggregates.value_counts(df, "v"), 0.0, 1.0, 50).first()["median"]
+    got = aggregates.exact_medians(aggregates.value_counts(df, "v"), ["v"], "c").first()["median"]
     assert got == pytest.approx(statistics.median(values))
 
 
+def test_ordered_bits_are_the_pattern_of_the_double(spark):
+    import struct
+
+    rng = random.Random(5)
+    values = [0.0, 1.0, 2.0, 3.0, 0.1, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1 - 2**-53, 1 + 2**-52]
+    values += [2.0**k for k in range(-1074, 1024, 7)] + [2.0**k * (1 - 2**-53) for k in range(-1000, 1000, 11)]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2000)]
+    values = [abs(v) for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, up, down in df.select("v", measures.ordered_bits("v"), measures.ordered_bits(-F.col("v"))).collect():
+        assert up == struct.unpack("<q", struct.pack("<d", v))[0] == -down
+
+
+def test_exact_medians_of_several_columns(spark):
+    """Nine tenths of the distinct values of a column lie within a ten-thousandth of its range."""
+    rng = random.Random(9)
+    n = 4001
+    columns = {
+        "hot": [0.5 + rng.random() * 1e-5 if i % 10 else rng.random() for i in range(n)],
+        "wide": [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(n)],
+        "even": [float(rng.randint(-3, 3)) if i else None for i in range(n)],
+        "nan": [float("nan") if i % 2 else float(i) for i in range(n)],
+        "same": [7.25] * n, "empty": [None] * n, "negative": [-float(i) for i in range(n)],
+    }
+    schema = ", ".join(f"`{c}` double" for c in columns)
+    df = spark.createDataFrame(list(zip(*columns.values())), schema)
+    got = {r["column_name"]: r["median"] for r in aggregates.exact_medians(df, list(columns)).collect()}
+    for c, values in columns.items():
+        known = [v for v in values if v is not None and v == v]
+        assert got[c] == (statistics.median(known) if known else None), c
+
+
+def test_median_plan_ranks_no_values(spark):
+    """Windows of a round run over counted buckets, behind the aggregate."""
+    import inspect
+
+    source = inspect.getsource(aggregates.exact_medians)
+    assert source.count("Window.") == 1 and "orderBy(\"bucket\")" in source and "collect_list" not in source
+
+
+def test_positions_over_several_ranges(spark):
+    """600 000 wide rows: every row with its right position, whatever the number of ranges."""
+    df = spark.range(600_000).select(
+        F.format_string("k%06d", "id").alias("k"), ((F.col("id") * 7919) % 600_000).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, 5.0).alias("y"), F.repeat(F.lit("w"), 256).alias("wide"),
+    )
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "4m")
+    try:
+        rows = reshape.rankings(df, {"x": "x", "y": "y"}, ["k"])
+        assert rows.select("wide").inputFiles() and len(rows.inputFiles()) > 2
+        right = F.when(F.col("ranking") == "x", F.lit(600_000) - F.col("x")).when(F.col("y") == 5.0, F.substring("k", 2, 6).cast("long") / 3 + 1).otherwise(
+            200_001 + F.substring("k", 2, 6).cast("long") - F.ceil(F.substring("k", 2, 6).cast("long") / 3))
+        got = rows.groupBy("ranking").agg(F.count("*"), F.min("position"), F.max("position"), F.count_distinct("position"), F.count_if(F.col("position") != right)).collect()
+        assert sorted(tuple(r) for r in got) == [("x", 600_000, 1, 600_000, 600_000, 0), ("y", 600_000, 1, 600_000, 600_000, 0)]
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_provenance_forms_agree(spark):
     rows = [("k1", "f1", "t1", "s1", 1), ("k1", "f2", "t1", "s1", 3), ("k1", "f2", "t2", "s2", 2), ("k2", "f1", "t1", "s1", 5)]
     df = spark.createDataFrame(rows, "k string, f string, t string, s string, v int")
