@@ -88,8 +88,8 @@ def _(v):
 
 @Q.add("joi11_many_to_one", "select doc_id, c as copies, v as variants from documents d join (select text as t, count(*) as c, count(distinct lang) as v from documents group by 1) on t = text")
 def _(v):
-    docs = v.table("documents").select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "source")
-    counts = aggregates.provenance(docs.withColumn("topic", F.col("lang")), "digest", "source", "topic", "lang").select(
+    docs = v.table("documents").select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+    counts = aggregates.variant_counts(docs, "digest", "lang").select(
         "digest", F.col("duplicate_source_count").alias("copies"), F.col("duplicate_content_variant_count").alias("variants")
     )
     return joins.many_to_one(docs, counts, "digest", ["copies", "variants"]).select("doc_id", "copies", "variants")

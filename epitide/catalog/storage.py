@@ -232,8 +232,8 @@ def _(v):
 def _(v):
     from epitide.operators import aggregates, windows
 
-    docs = v.table("documents").select("text", "lang", "source", F.col("lang").alias("topic"), F.sha2("text", 256).alias("digest"))
-    origin = aggregates.provenance(docs, "digest", "source", "topic", "lang").where("duplicate_source_count > 1")
+    docs = v.table("documents").select("text", "lang", "source", F.sha2("text", 256).alias("digest"))
+    origin = aggregates.variant_counts(docs, "digest", "lang").where("duplicate_source_count > 1")
     unique = windows.keep_latest(docs.select("digest", "text", "source"), ["digest"], [F.col("source")])
     rows = unique.join(origin, "digest").drop("digest").withColumnsRenamed({"source": "indicator_code", "text": "value"})
-    return sinks.duplicate_audit(rows).drop("duplicate_collector_topics", "duplicate_source_files")
+    return sinks.duplicate_audit(rows)
