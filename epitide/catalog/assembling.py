@@ -53,7 +53,8 @@ def _(v):
 
 
 def population_wide(v):
-    years = (1996, 1998, 2000)
+    """The population file: one column for each year there is, as a header names them."""
+    years = sorted(r["year"] for r in v.population.select("year").distinct().collect())  # calendar years
     return v.population.groupBy("location_code").agg(
         *(F.max(F.when(F.col("year") == y, F.col("population"))).cast("long").alias(f"{y} Population") for y in years)
     ).select(
@@ -62,7 +63,7 @@ def population_wide(v):
     )
 
 
-@Q.add("pip03_population_silver", "select location_code, 'Land ' || location_code as location, year, population, cast(12.5 as double) as density_per_km2, cast(1.01 as double) as growth_rate from v_population where year in (1996, 1998, 2000)")
+@Q.add("pip03_population_silver", "select location_code, 'Land ' || location_code as location, year, population, cast(12.5 as double) as density_per_km2, cast(1.01 as double) as growth_rate from v_population")
 def _(v):
     return cleaning.population_silver(population_wide(v))
 
@@ -317,9 +318,10 @@ def _(v):
 FEATURE_OUT = ["new_cases_smoothed", "lag_1", "lag_14", "rolling_mean_3", "rolling_mean_14", "rolling_std_7", "rolling_std_14", "growth_rate_1", "growth_rate_7", "cases_per_million", "deaths_per_million", "temperature_mean", "precipitation_sum", "population", "target_t_plus_7"]
 
 
-@Q.add("pip14_multi_frequency_features", f"""select location_code, disease, date, {", ".join(f"round({c}, 4) as {c}" for c in FEATURE_OUT)}, has_weather, weather_match_level, month, day_of_week, is_weekend, location, latitude from v_features""")
+@Q.add("pip14_multi_frequency_features", f"""select location_code, disease, date, {", ".join(f"round({c}, 4) as {c}" for c in FEATURE_OUT)}, has_weather, weather_match_level, month, day_of_week, is_weekend, location, latitude,
+    case frequency when 'daily' then '7日移动平均' when 'weekly' then '4周移动平均' else '3年移动平均' end as rolling_label, case frequency when 'daily' then '未来7日' when 'weekly' then '下一周' else '下一年' end as forecast_horizon_label from v_features""")
 def _(v):
-    return v.features.select(*SERIES, "date", *(F.round(c, 4).alias(c) for c in FEATURE_OUT), "has_weather", "weather_match_level", "month", "day_of_week", "is_weekend", "location", "latitude")
+    return v.features.select(*SERIES, "date", *(F.round(c, 4).alias(c) for c in FEATURE_OUT), "has_weather", "weather_match_level", "month", "day_of_week", "is_weekend", "location", "latitude", "rolling_label", "forecast_horizon_label")
 
 
 @Q.add("pip14_same_year_population", """select location_code, disease, date, p.population from (select location_code, disease, date, year(date) as y from v_obs) o left join v_population p using (location_code) where p.year = y union all select location_code, disease, date, null from v_obs o where not exists (select 1 from v_population p where p.location_code = o.location_code and p.year = year(o.date))""")

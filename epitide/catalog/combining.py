@@ -204,12 +204,10 @@ def _(v):
 
 # -- reshape ---------------------------------------------------------------------
 
-YEARS = (1996, 1998, 2000)
-
-
-@Q.add("rsh01_year_columns_to_long", "select location_code, year, population from v_population where year in (1996, 1998, 2000)")
+@Q.add("rsh01_year_columns_to_long", "select location_code, year, population from v_population")
 def _(v):
-    wide = v.population.groupBy("location_code").agg(*(F.max(F.when(F.col("year") == y, F.col("population"))).alias(f"{y} Population") for y in YEARS))
+    years = sorted(r["year"] for r in v.population.select("year").distinct().collect())  # the header: calendar years
+    wide = v.population.groupBy("location_code").agg(*(F.max(F.when(F.col("year") == y, F.col("population"))).alias(f"{y} Population") for y in years))
     columns = reshape.columns_matching(wide, r"\d{4} Population")
     return reshape.wide_to_long(wide, ["location_code"], columns, "year", "population", r"(\d{4})").where("population IS NOT NULL")
 
@@ -242,11 +240,11 @@ def _(v):
     return docs.select(*SERIES, F.to_json("points").alias("points"))
 
 
-@Q.add("rsh06_availability_map", """select disease, location_code, min(date) as full_start, max(date) as full_end, max(case when abs(value) > 1e-9 then date end) as last_nonzero_date from v_features group by 1, 2""")
+@Q.add("rsh06_availability_map", """select disease, (row_number() over (partition by disease order by location_code) - 1) // 10 as page, location_code, full_start, full_end, full_start as default_start, full_end as default_end, last_nonzero_date
+    from (select disease, location_code, min(date) as full_start, max(date) as full_end, max(case when abs(value) > 1e-9 then date end) as last_nonzero_date from v_features group by 1, 2)""")
 def _(v):
-    """The map of each disease, one row per entry."""
-    maps = serving.options(v.scored, ["naive_last_value", "moving_average"])
-    return maps.select("disease", F.explode("location_date_ranges").alias("location_code", "range")).select("disease", "location_code", "range.*")
+    """The pages of each disease, one row per entry."""
+    return serving.option_pages(v.scored, 10).select("disease", "page", F.inline("entries"))
 
 
 @Q.add("rsh07_explode_links", """select page_id, h as link from (select page_id, unnest(case when len(l) = 0 then [null] else l end) as h from (select page_id, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>', 1) as l from pages))""")

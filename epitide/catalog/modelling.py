@@ -241,10 +241,13 @@ def _(v):
 
 # -- dashboard questions -----------------------------------------------------------
 
-@Q.add("qry01_overview", """select min(date) as start_date, max(date) as end_date, count(distinct location_code) as regions, count(distinct disease) as diseases, count(*) as valid_records, 1.0::double as data_completeness,
-    (select sum(total_cases) from v_latest where disease = 'COVID-19') as current_total_cases, null::double as current_total_deaths, (select sum(value) from v_latest where disease = 'COVID-19') as current_new_cases from v_scored""")
+@Q.add("qry01_overview", f"""select min(date) as start_date, max(date) as end_date, count(distinct location_code) as regions, count(distinct disease) as diseases, count(*) as valid_records, round(1 - ({" + ".join(f"avg(case when {c} is null then 1.0 else 0.0 end)" for c in schema.REQUIRED_OBSERVATION)}) / {len(schema.REQUIRED_OBSERVATION)}, 4)::double as data_completeness,
+    (select sum(total_cases) from v_latest where disease = 'COVID-19') as current_total_cases, (select sum(total_deaths) from v_latest where disease = 'COVID-19') as current_total_deaths, (select sum(value) from v_latest where disease = 'COVID-19') as current_new_cases,
+    (select count(*) from v_risk where disease = 'COVID-19') as risk_comparison_regions, (select count(*) >= 2 and bool_or(comparable) from v_risk where disease = 'COVID-19') as risk_comparable,
+    (select case when count(*) >= 2 and bool_or(comparable) then count(case when risk_level = '高风险' then 1 end) end from v_risk where disease = 'COVID-19') as high_risk_regions,
+    (select arg_min(model, (mae, model)) from ({COMPARISON_SQL}) where disease = 'COVID-19') as best_model, (select min(mae) from ({COMPARISON_SQL}) where disease = 'COVID-19') as best_model_mae from v_scored""")
 def _(v):
-    return serving.overview(v.scored, "COVID-19")
+    return serving.overview(v.scored, "COVID-19", v.risk, forecasting.baseline_comparison(v.gold))
 
 
 @Q.add("qry02_overview_selected", f"""select p.location_code, p.disease, min(p.date) as start_date, max(p.date) as latest_date, arg_max(value, p.date) as current_new_cases, max(case when value <> 0 then p.date end) as last_nonzero_date, 0::bigint as trailing_zero_periods, false as reporting_stale,
@@ -306,17 +309,23 @@ def _(v):
     return forecasting.baseline_comparison(v.gold.where("disease = 'COVID-19'"))
 
 
-@Q.add("qry09_options", """select disease, unnest(['naive_last_value', 'moving_average']) as model, count(distinct location_code) as entries, min(date) as start, max(date) as end_date from v_features group by 1""")
+@Q.add("qry09_options", f"""select f.disease, unnest(['naive_last_value', 'moving_average']) as model, f.entries, f.start, f.end_date, f.start as default_start, f.end_date as default_end, coalesce(b.best_model, 'naive_last_value') as default_model
+    from (select disease, count(distinct location_code) as entries, min(date) as start, max(date) as end_date from v_features group by 1) f left join (select disease, arg_min(model, (mae, model)) as best_model from ({COMPARISON_SQL}) group by 1) b on b.disease = f.disease""")
 def _(v):
-    """The options of each disease, one row per model; the entries of its map are counted."""
-    out = serving.options(v.scored, MODELS)
-    return out.select("disease", F.explode("models").alias("model"), F.size("location_date_ranges").cast("long").alias("entries"), "start", F.col("end").alias("end_date"))
+    """The options of each disease, one row per model."""
+    out = serving.options(v.scored, MODELS, forecasting.baseline_comparison(v.gold))
+    return out.select("disease", F.explode("models").alias("model"), F.col("location_count").alias("entries"), "start", F.col("end").alias("end_date"), "default_start", "default_end", "default_model")
 
 
-@Q.add("qry09_option_rows", "select disease, count(distinct location_code) as location_count, min(date) as start, max(date) as end_date, min(frequency) as frequency, min(metric) as metric from v_features group by 1")
+@Q.add("qry09_option_rows", "select disease, count(distinct location_code) as location_count, min(date) as start, max(date) as end_date, min(frequency) as frequency, min(metric) as metric, case min(frequency) when 'daily' then 'daily' when 'weekly' then 'weekly' else 'annual' end as metric_label from v_features group by 1")
 def _(v):
     out = serving.options(v.obs, MODELS)
-    return out.select("disease", "location_count", "start", F.col("end").alias("end_date"), "frequency", "metric")
+    return out.select("disease", "location_count", "start", F.col("end").alias("end_date"), "frequency", "metric", "metric_label")
+
+
+@Q.add("qry09_option_pages", """select disease, page, count(*) as entry_count, min(location_code) as first_location_code, max(location_code) as last_location_code from (select disease, location_code, (row_number() over (partition by disease order by location_code) - 1) // 10 as page from (select distinct disease, location_code from v_features)) group by 1, 2""")
+def _(v):
+    return serving.option_pages(v.scored, 10).drop("entries")
 
 
 @Q.add("qry10_disease_share", "select disease, count(*) as record_count, count(distinct location_code) as location_count, min(date) as start_date, max(date) as end_date from v_obs group by 1")
@@ -324,14 +333,18 @@ def _(v):
     return serving.disease_share(v.obs)
 
 
-@Q.add("qry11_data_quality", "select source, frequency, count(*) as rows from v_obs group by 1, 2")
+@Q.add("qry11_data_quality", """select source, frequency, count(*) as rows, min(date) as start_date, max(date) as end_date, count(case when neg then 1 end) as negative_correction_count, count(case when has_weather then 1 end) as weather_matched_count, count(case when not has_weather then 1 end) as weather_unmatched_count,
+    count(*) - count(population) as population_unmatched_count, round(avg(case when target_t_plus_7 is null then 1.0 else 0.0 end), 6)::double as missing_target, cast(count(*) - count(distinct (location_code, disease, date)) as bigint) as duplicate_count from v_features group by 1, 2""")
 def _(v):
-    return quality.rows_by(v.obs, ["source", "frequency"])
+    """The served report, by source: records, corrections, matched covariates, missing targets, duplicates."""
+    return quality.serving_report_by(v.gold, ["source", "frequency"])
 
 
-@Q.add("qry12_source_status", "select status, count(*) as sources from (values ('ok'), ('ok'), ('ok'), ('ok'), ('ok'), ('ok'), ('info'), ('info'), ('warn')) t(status) where (select count(*) from pages) > 0 group by 1")
+@Q.add("qry12_source_status", f"""{reporting.STATUS_SQL} union all select 'gradient-boosted trees' as name, 'model' as rule, count(*) as rows, null::bigint as raw_rows, 0::bigint as primary_rows,
+    case when least(count(case when split = 'train' then 1 end), count(case when split = 'validation' then 1 end), count(case when split = 'test' then 1 end)) > 0 then 'ok' else 'info' end as status from {_TRAINING}""")
 def _(v):
-    return quality.source_status(reporting.status_parts(v)).groupBy("status").agg(F.count("*").alias("sources"))
+    """One row for each source and for the learned model."""
+    return quality.source_status(reporting.status_parts(v)).unionByName(quality.model_status(training_rows(v), "gradient-boosted trees"))
 
 
 @Q.add("qry13_indicator_summary", f"""select indicator_code, min(indicator_name) as indicator_name, string_agg(distinct usage_class, ' | ') as usage_class, count(*) as rows, count(numeric_value_clean) as numeric_rows, count(case when is_selected_country then 1 end) as selected_country_rows,
@@ -349,6 +362,12 @@ def _(v):
     return out.select("disease", "model", "mae", "feature_rows", "target_rows")
 
 
+@Q.add("qry14_model_inputs", f"""select 'naive_last_value' as model, 'baseline' as kind, count(distinct disease) as diseases, count(*) as input_rows, 0::bigint as train_rows, 0::bigint as validation_rows, 0::bigint as test_rows, min(date) as date_start, max(date) as date_end, false as uses_weather from v_features
+    union all select 'moving_average', 'baseline', count(distinct disease), count(*), 0, 0, 0, min(date), max(date), false from v_features union all select 'gbt', 'learned', count(distinct disease), count(*), count(case when split = 'train' then 1 end), count(case when split = 'validation' then 1 end), count(case when split = 'test' then 1 end), min(date), max(date), true from {_TRAINING}""")
+def _(v):
+    return quality.model_inputs(v.gold, MODELS, training_rows(v), "gbt")
+
+
 @Q.add("qry15_series_filter", "select location_code, disease, date, value from v_obs where location_code = 'NAE' and lower(disease) = 'influenza' and date >= '1997-03-01' and date <= '1999-03-01'")
 def _(v):
     return serving.filter_series(v.obs, " nae ", "INFLUENZA", "1997-03-01", "1999-03-01").select(*SERIES, "date", "value")

@@ -9,12 +9,12 @@ from epitide.catalog.assembling import EPIDEMIC_SQL, VALIDATION_SQL, WEATHER_SIL
 from epitide.catalog.registry import Registry
 from epitide.catalog.summarising import LEVELS_SQL
 from epitide.functions import text
-from epitide.operators import aggregates, reshape
-from epitide.plans import cleaning, features as gold, quality
+from epitide.operators import aggregates
+from epitide.plans import cleaning, features as gold, quality, serving
 from epitide.schema import REQUIRED_OBSERVATION, SOURCE_STATUS_ITEMS
 
 Q = Registry()
-SILVER_POPULATION = "select location_code, year, population from v_population where year in (1996, 1998, 2000)"
+SILVER_POPULATION = "select location_code, year, population from v_population"
 
 
 def epidemic(v):
@@ -61,12 +61,19 @@ def _(v):
     return quality.layer_gate(epidemic(v), population(v), weather(v))
 
 
-@Q.add("qlt05_dataset_overlap", f"""select (select count(distinct country) from ({LEVELS_SQL})) as country_count, (select count(*) from v_mapping where mapped_code in (select location_code from v_population)) as mapped_population_count,
-    (select count(*) from v_mapping where mapped_code is null) as unmapped_count, count(*) as common_locations, max(d) as max_common_days, cast(0 as bigint) as date_parse_errors, cast(0 as bigint) as weather_duplicate_keys, cast(0 as bigint) as population_duplicate_codes,
-    round(cast((select count(*) from v_mapping where mapped_code in (select location_code from v_population)) as double) / (select count(distinct country) from ({LEVELS_SQL})), 6) as mapping_success_rate, count(*) >= 3 as enough_locations, max(d) >= 300 as enough_common_days, true as dates_parse, true as keys_unique, count(*) >= 3 and max(d) >= 300 as can_enter_cleaning
-    from (select w.location_code, count(*) as d from v_weather w where w.location_code in (select mapped_code from v_mapping where mapped_code in (select location_code from v_population)) and w.date in (select date from v_totals) group by 1)""")
+_NAMED = f"(select distinct country, mapped_code from ({LEVELS_SQL}) left join v_mapping on name = country)"
+_POPULATED = "(select distinct location_code from v_population)"
+
+
+@Q.add("qlt05_dataset_overlap", f"""select *, round(cast(mapped_population_count as double) / country_count, 6) as mapping_success_rate, common_locations >= 3 as enough_locations, max_common_days >= 300 as enough_common_days, weather_without_population = 0 as weather_population_mapped, case_duplicate_keys > 0 as reports_need_deduplication,
+    date_parse_errors = 0 as dates_parse, weather_duplicate_keys = 0 and population_duplicate_codes = 0 as keys_unique, common_locations >= 3 and max_common_days >= 300 and weather_without_population = 0 and date_parse_errors = 0 and weather_duplicate_keys = 0 and population_duplicate_codes = 0 as can_enter_cleaning from (select
+    (select count(*) from {_NAMED}) as country_count, (select count(*) from {_NAMED} where mapped_code in {_POPULATED}) as mapped_population_count, (select count(*) from {_NAMED} where mapped_code is null) as unmapped_count,
+    count(*) as common_locations, max(d) as max_common_days, (select count(distinct location_code) from v_weather where location_code in (select mapped_code from {_NAMED}) and location_code not in {_POPULATED}) as weather_without_population,
+    (select count(*) from v_reports where try_strptime(ObservationDate, '%m/%d/%Y') is null) + (select count(*) from v_weather where date is null) as date_parse_errors, (select count(*) from (select location_code, date from v_weather group by 1, 2 having count(*) > 1)) as weather_duplicate_keys,
+    (select count(*) from (select location_code from {_POPULATED} group by 1 having count(*) > 1)) as population_duplicate_codes, (select count(*) from (select trim(country_region), ObservationDate, trim(province_raw) from v_reports group by all having count(*) > 1)) as case_duplicate_keys
+    from (select w.location_code, count(*) as d from v_weather w where w.location_code in (select mapped_code from {_NAMED} where mapped_code in {_POPULATED}) and w.date in (select date from v_totals) group by 1))""")
 def _(v):
-    cases = v.reports.select(F.trim("country_region").alias("name"), text.parse_date("ObservationDate", "M/d/yyyy").alias("date"))
+    cases = v.reports.select(F.trim("country_region").alias("name"), text.parse_date("ObservationDate", "M/d/yyyy").alias("date"), F.trim("province_raw").alias("province"))
     codes = v.population.select("location_code").distinct()
     return quality.overlap_report(cases, codes, v.weather, v.mapping)
 
@@ -113,21 +120,32 @@ def _(v):
 
 
 def status_parts(v):
-    counts = reshape.union_all([
-        df.agg(F.count("*").alias("rows")).withColumn("part", F.lit(part))
-        for part, df in (
-            ("owid", v.totals_daily), ("kaggle_covid", v.reports), ("tuberculosis", v.annual_obs), ("respiratory", v.weekly_obs), ("weather", v.weather),
-            ("population", v.population), ("china_cdc", v.table("pages")), ("who", v.records), ("historical_weather", v.hourly.where("1 = 0")),
-        )
-    ])
-    rules = F.create_map(*(F.lit(x) for name, part, rule in SOURCE_STATUS_ITEMS for x in (part, rule)))
+    """The ledger of the given tables: every source is counted, with its raw rows and the rows of its curated series."""
+    catalog = assembling.silver_catalog(v)
+    primary = cleaning.primary_observations(catalog, v.catalog).where("date IS NOT NULL")
+    hours = v.hourly.select("date", "l_linenumber")
+    tables = {
+        "owid": (v.totals_daily, v.table("orders"), None), "kaggle_covid": (epidemic(v), v.reports, None), "tuberculosis": (v.annual_obs, None, None),
+        "respiratory": (v.weekly_obs, None, None), "weather": (v.weather, v.table("lineitem"), None), "population": (population(v), None, None),
+        "china_cdc": (v.table("pages").select("url").distinct(), v.table("pages"), None), "who": (catalog, v.table("events"), primary),
+        "historical_weather": (hours.select("date").distinct(), hours, None),
+    }
     names = F.create_map(*(F.lit(x) for name, part, rule in SOURCE_STATUS_ITEMS for x in (part, name)))
-    return counts.select(names[F.col("part")].alias("name"), rules[F.col("part")].alias("rule"), "rows", F.lit(0).cast("long").alias("primary_rows"))
+    rules = F.create_map(*(F.lit(x) for name, part, rule in SOURCE_STATUS_ITEMS for x in (part, rule)))
+    return quality.ledger(tables).select(names[F.col("part")].alias("name"), rules[F.col("part")].alias("rule"), "rows", "raw_rows", "primary_rows")
 
 
-@Q.add("qlt10_source_status", "select name, rule, rows, 0::bigint as primary_rows, case rule when 'index' then 'info' when 'catalog' then 'info' when 'archive' then 'warn' else 'ok' end as status from (" + " union all ".join(
-    f"select '{name}' as name, '{rule}' as rule, (select count(*) from {source}) as rows"
-    for (name, part, rule), source in zip(SOURCE_STATUS_ITEMS, ("v_totals", "v_reports", "(select * from v_obs where frequency = 'annual')", "(select * from v_obs where frequency = 'weekly')", "v_weather", "v_population", "pages", "v_records", "(select 1 where false)"))) + ")")
+#: Cleaned, raw and curated rows of each source, in the order of SOURCE_STATUS_ITEMS.
+_COUNTED = (
+    ("v_totals", "orders", None), (f"({EPIDEMIC_SQL})", "v_reports", None), ("(select * from v_obs where frequency = 'annual')", None, None), ("(select * from v_obs where frequency = 'weekly')", None, None), ("v_weather", "lineitem", None),
+    (f"({SILVER_POPULATION})", None, None), ("(select distinct url from pages)", "pages", None), (f"({assembling.CATALOG_SQL})", "events", f"(select * from ({assembling.PRIMARY_SQL}) where year is not null)"), ("(select distinct date from v_hourly)", "v_hourly", None),
+)
+STATUS_SQL = "select *, case rule when 'index' then case when rows > 0 then 'info' else 'warn' end when 'catalog' then case when rows > 0 and primary_rows > 0 then 'ok' when rows > 0 then 'info' else 'not_configured' end when 'archive' then case when rows > 0 then 'ok' else 'warn' end else 'ok' end as status from (" + " union all ".join(
+    f"select '{name}' as name, '{rule}' as rule, (select count(*) from {rows}) as rows, {f'(select count(*) from {raw})' if raw else 'null::bigint'} as raw_rows, {f'(select count(*) from {primary})' if primary else '0::bigint'} as primary_rows"
+    for (name, part, rule), (rows, raw, primary) in zip(SOURCE_STATUS_ITEMS, _COUNTED)) + ")"
+
+
+@Q.add("qlt10_source_status", STATUS_SQL)
 def _(v):
     return quality.source_status(status_parts(v))
 
@@ -167,6 +185,13 @@ def _(v):
     return quality.catalog_report(rows, cleaning.primary_observations(rows, v.catalog), cleaning.auxiliary_indicators(rows), assembling.YEAR_NOW)
 
 
-@Q.add("qlt15_invariants", "select * from (values ('unique observation keys', (select count(*) = count(distinct (location_code, disease, date)) from v_features)), ('non-empty features', (select count(*) > 0 from v_features)), ('unique weather days', (select count(*) = count(distinct (location_code, date)) from v_weather)), ('more daily than annual rows', (select (select count(*) from v_weather) > (select count(*) from v_population)))) t(check_name, passed)")
+_DAYS_OF_HOURS = "(select distinct date from v_hourly)"
+
+
+@Q.add("qlt15_invariants", f"""select * from (values ('unique observation keys', (select count(*) = count(distinct (location_code, disease, date)) from v_features)), ('non-empty features', (select count(*) > 0 from v_features)), ('unique weather days', (select count(*) = count(distinct (location_code, date)) from v_weather)),
+    ('more daily than annual rows', (select count(*) > count(distinct year(date)) from {_DAYS_OF_HOURS})), ('default range is the full range', (select bool_and(a <= b) from (select min(date) as a, max(date) as b from v_features group by location_code, disease)))) t(check_name, passed)""")
 def _(v):
-    return quality.invariants(v.gold, v.weather, v.population)
+    """Daily against annual rows of the hourly matrix; every served series starts with its full range."""
+    daily = v.hourly.select("date").distinct()
+    annual = daily.select(F.year("date").alias("year")).distinct()
+    return quality.invariants(v.gold, v.weather, daily, annual, serving.option_pages(v.scored, 10))

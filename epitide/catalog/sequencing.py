@@ -39,12 +39,7 @@ def _(v):
 @Q.add("win04_wide_matrix_difference", """select location_code, date, case when change < 0 then 0 else change end as change from (select location_code, date, coalesce(total - lag(total) over (partition by location_code order by date), total) as change
     from (select location_code, date, sum(value) as total from v_series group by 1, 2))""")
 def _(v):
-    rows = v.series_daily
-    days = [str(r["date"]) for r in rows.select("date").distinct().orderBy("date").collect()]  # the columns of the matrix
-    wide = rows.groupBy("location_code", "disease").agg(*(F.max(F.when(F.col("date") == F.lit(d).cast("date"), F.col("value"))).alias(d) for d in days))
-    summed = aggregates.sum_columns(wide, ["location_code"], days)
-    long = reshape.wide_to_long(summed, ["location_code"], days, "date", "total").where("total IS NOT NULL").withColumn("date", F.to_date("date"))
-    out = windows.diff_cumulative(long, ["location_code"], "date", {"total": "change"})
+    out = windows.dense_difference(v.series_daily, ["location_code"], "date", "value")
     return out.select("location_code", "date", measures.clip_zero("change").alias("change"))
 
 

@@ -220,6 +220,7 @@ class Views:
             self.totals_daily, location=F.lit(None), disease="COVID-19", frequency="daily", period_days=1, metric="new_cases",
             metric_label="daily", value=F.col("day_total"), new_deaths=F.col("n"), year=F.year("date"), source="orders",
             quality_flag="ok", is_negative_case_correction=F.col("n") > 3, total_cases=F.col("day_total"),
+            total_deaths=F.col("n") * 2,
         )
 
     @cached_property
@@ -335,10 +336,10 @@ VIEW_SQL = {
         from (select *, '{"Id":' || event_id || ',"Dim1Type":"' || case when event_type = 'click' then 'SEX' else 'AGEGROUP' end || '","Dim1":"V' || ks ||
         '","ParentLocationCode":"' || event_type || '","NumericValue":' || ks || '}' as f from v_records0)""",
     "v_wide": f"select location_code, date, {_TYPES} from v_series group by 1, 2",
-    "v_obs": """select location_code, 'COVID-19' as disease, date, 'daily' as frequency, 'new_cases' as metric, day_total as value, cast(n as double) as new_deaths, day_total as total_cases, n > 3 as neg, 'orders' as source from v_totals
-        union all select location_code, disease, date, 'daily', 'new_cases', value, null, null, false, 'events' from v_series
-        union all select location_code, 'Influenza', cast(date + cast((6 - dayofweek(date)) as int) as date), 'weekly', 'hospital_admissions', cast(count(*) as double), null, cast(sum(amount) as double), false, 'orders' from v_orders where o_orderstatus = 'F' group by 1, 3
-        union all select location_code, 'Tuberculosis', make_date(year(date), 12, 31), 'annual', 'incidence_per_100k', cast(count(*) as double), null, cast(sum(amount) as double), false, 'orders' from v_orders group by 1, 3""",
+    "v_obs": """select location_code, 'COVID-19' as disease, date, 'daily' as frequency, 'new_cases' as metric, day_total as value, cast(n as double) as new_deaths, day_total as total_cases, cast(n * 2 as double) as total_deaths, n > 3 as neg, 'orders' as source from v_totals
+        union all select location_code, disease, date, 'daily', 'new_cases', value, null, null, null, false, 'events' from v_series
+        union all select location_code, 'Influenza', cast(date + cast((6 - dayofweek(date)) as int) as date), 'weekly', 'hospital_admissions', cast(count(*) as double), null, cast(sum(amount) as double), null, false, 'orders' from v_orders where o_orderstatus = 'F' group by 1, 3
+        union all select location_code, 'Tuberculosis', make_date(year(date), 12, 31), 'annual', 'incidence_per_100k', cast(count(*) as double), null, cast(sum(amount) as double), null, false, 'orders' from v_orders group by 1, 3""",
     "v_rolled": f"""select *, avg(value) over ({W} rows 2 preceding) as rolling_mean_3,
         {_kinds(f'avg(value) over ({W} rows {{n}} preceding)')} as rolling_mean_7,
         {_kinds(f'avg(value) over ({W} rows {{w}} preceding)')} as rolling_mean_14,

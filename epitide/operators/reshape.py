@@ -74,13 +74,29 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """Every row with its position (from 1) inside its group in the given order, however large the group.
+
+    Rows are sorted by range once and written with the number of their range and their place in it; the written ranges
+    are counted, and a position is the place plus the rows of the group in the ranges before. Counts and rows so come
+    from the same ranges, however these were cut.
+    """
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    # The lower 33 bits count the rows of a partition in their order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialise(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}), "ranges")
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = counts.select(*by, "_range", shift.alias("_shift"))
+    return rows.join(offsets, [*by, "_range"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_range", "_place", "_shift")
+
+
 def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int | None = None) -> DataFrame:
     """Several rankings of the same rows, missing values counted as 0; with n, the first n of each.
 
     Rows are tagged once per ranking in one pass. With n, the rank filter becomes a group limit inside each task, so at
-    most n rows per ranking and task are shuffled. Without, rows are sorted by range once and written with the number of
-    their range and their place in it; the written ranges are counted, and a position is the place plus the rows of the
-    ranking in the ranges before. Counts and rows so come from the same ranges, however these were cut.
+    most n rows per ranking and task are shuffled. Without, positions come from written ranges.
     """
     scores = [
         F.struct(F.lit(name).alias("ranking"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("_score"))
@@ -92,17 +108,18 @@ def rankings(df: DataFrame, measures: dict[str, str], ties: list[str], n: int |
         w = Window.partitionBy("ranking").orderBy(*order)
         rows = tagged.withColumn("position", F.row_number().over(w).cast("long"))
         return rows.where(F.col("position") <= n).drop("_score")
-    ranged = tagged.repartitionByRange("ranking", *order).sortWithinPartitions("ranking", *order)
-    # The lower 33 bits count the rows of a partition in their order.
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = materialise(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}), "ranges")
-    counts = rows.groupBy("ranking", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    before = Window.partitionBy("ranking").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
-    offsets = counts.select("ranking", "_range", shift.alias("_shift"))
-    return rows.join(offsets, ["ranking", "_range"]).withColumn("position", F.col("_place") + F.col("_shift")).drop(
-        "_score", "_range", "_place", "_shift"
+    return positions(tagged, ["ranking"], order).drop("_score")
+
+
+def pages(df: DataFrame, by: list[str], key: str, columns: list[str], size: int) -> DataFrame:
+    """Documents of at most `size` entries: per group numbered pages (from 0) in the order of the key, with the first and
+    last key of each. No row holds a whole group."""
+    placed = positions(df, by, [F.col(key)])
+    entry = F.struct(key, *columns)
+    out = placed.groupBy(*by, ((F.col("position") - 1) / size).cast("long").alias("page")).agg(
+        F.count("*").alias("entry_count"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
+    return out.withColumns({f"first_{key}": F.element_at("entries", 1)[key], f"last_{key}": F.element_at("entries", -1)[key]})
 
 
 def series_documents(df: DataFrame, by: list[str], header: list[str], points: list[str], date: str) -> DataFrame:

@@ -45,6 +45,19 @@ def diff_cumulative(
     return df.withColumns({out: change(total) for total, out in cols.items()})
 
 
+def dense_difference(df: DataFrame, by: list[str], date: str, value: str, out: str = "change") -> DataFrame:
+    """Running totals of a date matrix to per-date values: rows of one date are summed, the first date keeps its total.
+
+    A group's totals become one array ordered by date, bounded by the calendar; the array is set against itself shifted
+    by one and exploded once. The dates are data and never columns, so the plan does not grow with the calendar.
+    """
+    totals = df.where(F.col(value).isNotNull()).groupBy(*by, date).agg(F.sum(value).alias("_total"))
+    series = totals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(date, "_total"))).alias("_t"))
+    before = F.concat(F.array(F.lit(0).cast("double")), F.transform("_t", lambda x: x["_total"].cast("double")))
+    step = F.zip_with("_t", F.slice(before, 1, F.size("_t")), lambda x, p: F.struct(x[date].alias(date), (x["_total"] - p).alias(out)))
+    return series.select(*by, F.inline(step))
+
+
 def published_or_difference(df: DataFrame, by: list[str], date: str, published: str, total: str, out: str) -> DataFrame:
     """Published value where there is one, else the difference of the running total."""
     w = series_window(by, date)

@@ -34,6 +34,14 @@ def _population(obs: DataFrame, population: DataFrame, mode: str) -> DataFrame:
     })
 
 
+def frequency_label(kind: str) -> Column:
+    """Shown name of the rolling window or of the horizon of a row's frequency."""
+    out = F.lit(None).cast("string")
+    for frequency, labels in schema.FREQUENCY_LABELS.items():
+        out = F.when(F.col("frequency") == frequency, labels[kind]).otherwise(out)
+    return out
+
+
 def build_features(
     obs: DataFrame, weather: DataFrame, population: DataFrame, catalog: DataFrame,
     historical: DataFrame | None = None, population_mode: str = "asof", weather_source: str = "daily weather",
@@ -57,6 +65,8 @@ def build_features(
         "cases_per_million": measures.per_million("value", "population", "metric"),
         "deaths_per_million": measures.per_million("new_deaths", "population"),
         **calendar.calendar_features("date"),
+        "rolling_label": frequency_label("rolling_label"),
+        "forecast_horizon_label": frequency_label("forecast_horizon_label"),
         "model_eligible": (F.col("frequency") == "daily") & (F.col("disease") == "COVID-19"),
     })
 

@@ -68,14 +68,19 @@ def layer_gate(epidemic: DataFrame, population: DataFrame, weather: DataFrame) -
     )
 
 
+#: Bits of the sources that know a location.
+IN_CASES, IN_POPULATION, IN_WEATHER = 1, 2, 4
+
+
 def overlap_report(
     cases: DataFrame, population: DataFrame, weather: DataFrame, mapping: DataFrame,
     min_locations: int = 3, min_days: int = 300,
 ) -> DataFrame:
     """Do the three sources overlap enough? One row with the counts and the gates.
 
-    cases: name, date (null when unparseable); population: location_code; weather: location_code, date;
-    mapping: name, mapped_code.
+    cases: name, date (null when unparseable), province; population: location_code; weather: location_code, date;
+    mapping: name, mapped_code. Evidence is one row per location: a bit for each source that knows it, and a bitmap of
+    its weather dates, which is set against the bitmap of the report dates.
     """
     names = cases.select("name").distinct().join(mapping.select("name", "mapped_code"), "name", "left")
     pop = population.groupBy("location_code").agg(F.count("*").alias("_pop_rows"))
@@ -85,29 +90,47 @@ def overlap_report(
         F.count_if(F.col("_pop_rows").isNotNull()).alias("mapped_population_count"),
         F.count_if(F.col("mapped_code").isNull()).alias("unmapped_count"),
     )
-    codes = mapped.where("_pop_rows IS NOT NULL").select(F.col("mapped_code").alias("location_code")).distinct()
+    seen = [
+        (IN_CASES, mapped.select(F.col("mapped_code").alias("location_code"))), (IN_POPULATION, population.select("location_code")),
+        (IN_WEATHER, weather.select("location_code")),
+    ]
+    bits = reshape.union_all([df.where("location_code IS NOT NULL").select("location_code", F.lit(bit).alias("_bit")) for bit, df in seen])
+    masks = bits.groupBy("location_code").agg(F.bit_or("_bit").alias("_mask"))
+    both = F.col("_mask").bitwiseAND(IN_CASES | IN_WEATHER) == (IN_CASES | IN_WEATHER)
+    lacking = F.col("_mask").bitwiseAND(IN_POPULATION) == 0
     # Case dates count for every location: the reports share one calendar.
-    dates = cases.where("date IS NOT NULL").select("date").distinct()
-    shared = weather.select("location_code", "date").distinct().join(codes, "location_code", "left_semi").join(dates, "date", "left_semi")
-    per_code = shared.groupBy("location_code").agg(F.count("*").alias("_days"))
-    days = per_code.agg(F.count("*").alias("common_locations"), F.coalesce(F.max("_days"), F.lit(0)).alias("max_common_days"))
+    day = F.unix_date("date").cast("long") + 1
+    place, bucket = F.bitmap_bit_position(day), F.bitmap_bucket_number(day)
+    of_cases = cases.where("date IS NOT NULL").groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_case"))
+    of_weather = weather.where("date IS NOT NULL").groupBy("location_code", bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_weather"))
+    pairs = of_weather.join(of_cases, "_bucket").select("location_code", "_bucket", F.explode(F.array("_weather", "_case")).alias("_map"))
+    common = pairs.groupBy("location_code", "_bucket").agg(F.bitmap_count(F.bitmap_and_agg("_map")).alias("_days"))
+    per_code = common.groupBy("location_code").agg(F.sum("_days").alias("_days"))
+    evidence = masks.join(per_code, "location_code", "left").withColumn("_days", F.when(both & ~lacking, F.coalesce("_days", F.lit(0))))
+    days = evidence.agg(
+        F.count_if(F.col("_days") > 0).alias("common_locations"), F.coalesce(F.max("_days"), F.lit(0)).alias("max_common_days"),
+        F.count_if(both & lacking).alias("weather_without_population"),
+    )
+    repeated = aggregates.duplicate_summary(cases, ["name", "date", "province"]).select(F.col("duplicated_keys").alias("case_duplicate_keys"))
     errors = reshape.union_all([
         cases.select(F.col("date").isNull().cast("long").alias("_e")), weather.select(F.col("date").isNull().cast("long").alias("_e"))
     ]).agg(F.coalesce(F.sum("_e"), F.lit(0)).alias("date_parse_errors"))
     doubled = aggregates.duplicate_summary(weather, ["location_code", "date"]).select(F.col("duplicated_keys").alias("weather_duplicate_keys"))
     doubled_pop = pop.agg(F.count_if(F.col("_pop_rows") > 1).alias("population_duplicate_codes"))
     out = name_counts
-    for part in (days, errors, doubled, doubled_pop):
+    for part in (days, errors, doubled, doubled_pop, repeated):
         out = aggregates.attach(out, part)
     return out.withColumns({
         "mapping_success_rate": F.round(F.coalesce(F.try_divide(F.col("mapped_population_count"), F.col("country_count")), F.lit(0.0)), 6),
         "enough_locations": F.col("common_locations") >= min_locations,
         "enough_common_days": F.col("max_common_days") >= min_days,
+        "weather_population_mapped": F.col("weather_without_population") == 0,
+        "reports_need_deduplication": F.col("case_duplicate_keys") > 0,
         "dates_parse": F.col("date_parse_errors") == 0,
         "keys_unique": (F.col("weather_duplicate_keys") == 0) & (F.col("population_duplicate_codes") == 0),
     }).withColumn(
         "can_enter_cleaning",
-        F.col("enough_locations") & F.col("enough_common_days") & F.col("dates_parse") & F.col("keys_unique"),
+        F.col("enough_locations") & F.col("enough_common_days") & F.col("weather_population_mapped") & F.col("dates_parse") & F.col("keys_unique"),
     )
 
 
@@ -175,10 +198,51 @@ def serving_report(features: DataFrame) -> DataFrame:
     return aggregates.attach(main, doubled)
 
 
+def serving_report_by(features: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of the served report per group. Rows collapse by key first, so duplicates cost no second pass."""
+    per_key = features.groupBy(*by, "location_code", "disease", "date").agg(
+        F.count("*").alias("_n"), F.count_if(F.coalesce("is_negative_case_correction", F.lit(False))).alias("_neg"), F.count_if("has_weather").alias("_weather"),
+        F.count("population").alias("_population"), F.count("target_t_plus_7").alias("_target"),
+    )
+    rows = F.sum("_n")
+    return per_key.groupBy(*by).agg(
+        rows.alias("rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.sum("_neg").alias("negative_correction_count"),
+        F.sum("_weather").alias("weather_matched_count"), (rows - F.sum("_weather")).alias("weather_unmatched_count"), (rows - F.sum("_population")).alias("population_unmatched_count"),
+        F.round(1 - F.sum("_target") / rows, 6).alias("missing_target"), (rows - F.count("*")).alias("duplicate_count"),
+    )
+
+
+def ledger(tables: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]]) -> DataFrame:
+    """Counts of each source as rows: part, rows (cleaned), raw_rows (as read), primary_rows (of its curated series).
+
+    Each table is counted from its files; a part without raw or primary table has none of them (null, 0).
+    """
+    parts = [
+        (part, name, df.agg(F.count("*").alias("n")))
+        for part, three in tables.items() for name, df in zip(("rows", "raw_rows", "primary_rows"), three) if df is not None
+    ]
+    long = reshape.union_all([df.select(F.lit(part).alias("part"), F.lit(name).alias("name"), "n") for part, name, df in parts])
+
+    def of(name):
+        return F.max(F.when(F.col("name") == name, F.col("n")))
+
+    return long.groupBy("part").agg(of("rows").alias("rows"), of("raw_rows").alias("raw_rows"), F.coalesce(of("primary_rows"), F.lit(0)).alias("primary_rows"))
+
+
+def model_status(rows: DataFrame, name: str) -> DataFrame:
+    """Status of a learned model from its rows with a split: ok if every part has rows, else info."""
+    parts = [F.count_if(F.col("split") == p) for p in ("train", "validation", "test")]
+    status = F.when(F.least(*parts) > 0, "ok").otherwise("info")
+    return rows.agg(
+        F.lit(name).alias("name"), F.lit("model").alias("rule"), F.count("*").alias("rows"), F.lit(None).cast("long").alias("raw_rows"),
+        F.lit(0).cast("long").alias("primary_rows"), status.alias("status"),
+    )
+
+
 def source_status(parts: DataFrame) -> DataFrame:
     """ok / info / warn / not_configured per source.
 
-    parts: name, rule, rows, primary_rows (rows of the curated series).
+    parts: name, rule, rows, raw_rows, primary_rows (rows of the curated series).
     """
     filled = F.col("rows") > 0
     status = (
@@ -207,6 +271,18 @@ def model_coverage(features: DataFrame) -> DataFrame:
     )
 
 
+def model_inputs(features: DataFrame, baselines: list[str], training: DataFrame, learned: str) -> DataFrame:
+    """What each model reads: kind, diseases, rows by part of the split, range, and whether weather is an input."""
+    def one(rows: DataFrame, name: str, kind: str, parts: bool) -> DataFrame:
+        split = {f"{p}_rows": (F.count_if(F.col("split") == p) if parts else F.lit(0).cast("long")) for p in ("train", "validation", "test")}
+        return rows.agg(
+            F.count_distinct("disease").alias("diseases"), F.count("*").alias("input_rows"), *(c.alias(n) for n, c in split.items()),
+            F.min("date").alias("date_start"), F.max("date").alias("date_end"),
+        ).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), "*", F.lit(parts).alias("uses_weather"))
+
+    return reshape.union_all([*(one(features, m, "baseline", False) for m in baselines), one(training, learned, "learned", True)])
+
+
 def model_rows(coverage: DataFrame, metrics: DataFrame) -> DataFrame:
     """Coverage joined with the models evaluated for each disease."""
     return metrics.select("disease", "model", "mae").join(coverage, "disease", "left")
@@ -261,17 +337,26 @@ def catalog_report(catalog: DataFrame, primary: DataFrame, auxiliary: DataFrame,
     return reshape.union_all(parts)
 
 
-def invariants(features: DataFrame, daily: DataFrame, annual: DataFrame) -> DataFrame:
-    """Checks every build must pass, as (check_name, passed) rows."""
+def invariants(features: DataFrame, weather: DataFrame, daily: DataFrame, annual: DataFrame, pages: DataFrame) -> DataFrame:
+    """Checks every build must pass, as (check_name, passed) rows.
+
+    `daily` and `annual` are the tables derived from hours; `pages` are the served option pages with their ranges.
+    """
     unique = aggregates.duplicate_summary(features, ["location_code", "disease", "date"])
+    full = F.col("default_start").eqNullSafe(F.col("full_start")) & F.col("default_end").eqNullSafe(F.col("full_end"))
+    series = features.groupBy("location_code", "disease").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    served = series.join(pages.select("disease", F.inline("entries")), ["location_code", "disease"], "full").select(
+        (F.col("default_start").eqNullSafe(F.col("_from")) & F.col("default_end").eqNullSafe(F.col("_to")) & full).alias("ok")
+    )
     checks = [
         unique.select(F.lit("unique observation keys").alias("check_name"), (F.col("surplus_rows") == 0).alias("passed")),
         unique.select(F.lit("non-empty features").alias("check_name"), (F.col("total_rows") > 0).alias("passed")),
-        aggregates.duplicate_summary(daily, ["location_code", "date"]).select(
+        aggregates.duplicate_summary(weather, ["location_code", "date"]).select(
             F.lit("unique weather days").alias("check_name"), (F.col("surplus_rows") == 0).alias("passed")
         ),
         daily.select(F.lit(1).alias("d"), F.lit(0).alias("a")).unionByName(
             annual.select(F.lit(0).alias("d"), F.lit(1).alias("a"))
         ).agg((F.sum("d") > F.sum("a")).alias("passed")).select(F.lit("more daily than annual rows").alias("check_name"), "passed"),
+        served.agg(F.bool_and("ok").alias("passed")).select(F.lit("default range is the full range").alias("check_name"), "passed"),
     ]
     return reshape.union_all(checks)

@@ -88,8 +88,23 @@ def model_prediction(df: DataFrame, model: str) -> tuple[Column, Column, Column]
     return F.col(name), lower, upper
 
 
-def overview(features: DataFrame, main_disease: str) -> DataFrame:
-    """Totals over all series plus a snapshot of each location's latest row of the main disease."""
+def _risk_summary(risk_rows: DataFrame) -> DataFrame:
+    """Per disease: regions compared, whether they are comparable, and the high-risk ones if so."""
+    per_disease = risk_rows.groupBy("disease").agg(
+        F.count("*").alias("risk_comparison_regions"),
+        F.bool_or("risk_comparable").alias("_any"),
+        F.count_if(F.col("risk_level") == schema.RISK_TOP).alias("_high"),
+    )
+    comparable = (F.col("risk_comparison_regions") >= 2) & F.col("_any")
+    return per_disease.select(
+        "disease", "risk_comparison_regions", comparable.alias("risk_comparable"),
+        F.when(comparable, F.col("_high")).alias("high_risk_regions"),
+    )
+
+
+def overview(features: DataFrame, main_disease: str, risk_rows: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Totals over all series plus a snapshot of each location's latest row of the main disease, its risk summary and its
+    best model."""
     latest = aggregates.latest_per_series(
         features.where(F.col("disease") == main_disease), ["location_code"], "date", ["total_cases", "total_deaths", "value"]
     )
@@ -106,7 +121,18 @@ def overview(features: DataFrame, main_disease: str) -> DataFrame:
         F.count("*").alias("valid_records"),
         aggregates.completeness(features, list(schema.REQUIRED_OBSERVATION)).alias("data_completeness"),
     )
-    return aggregates.attach(totals, snapshot)
+    out = aggregates.attach(totals, snapshot)
+    if risk_rows is not None:
+        main = _risk_summary(risk_rows.where(F.col("disease") == main_disease)).drop("disease")
+        one = main.agg(  # no row where the disease has none
+            F.coalesce(F.max("risk_comparison_regions"), F.lit(0)).alias("risk_comparison_regions"),
+            F.coalesce(F.bool_or("risk_comparable"), F.lit(False)).alias("risk_comparable"), F.max("high_risk_regions").alias("high_risk_regions"),
+        )
+        out = aggregates.attach(out, one)
+    if metrics is not None:
+        best = aggregates.best_model(metrics.where(F.col("disease") == main_disease), ["disease"])
+        out = aggregates.attach(out, best.agg(F.max("best_model").alias("best_model"), F.max("best_mae").alias("best_model_mae")))
+    return out
 
 
 def overview_selected(
@@ -122,17 +148,7 @@ def overview_selected(
         F.col("_l.rolling_mean_7").alias("current_rolling_value"), F.col("_l.total_cases").alias("current_total_cases"),
     )
     run = windows.trailing_run(points, SERIES, "date", "value", "frequency").drop("latest_date")
-    per_disease = risk_rows.groupBy("disease").agg(
-        F.count("*").alias("risk_comparison_regions"),
-        F.bool_or("risk_comparable").alias("_any"),
-        F.count_if(F.col("risk_level") == schema.RISK_TOP).alias("_high"),
-    )
-    comparable = (F.col("risk_comparison_regions") >= 2) & F.col("_any")
-    per_disease = per_disease.select(
-        "disease", "risk_comparison_regions", comparable.alias("risk_comparable"),
-        F.when(comparable, F.col("_high")).alias("high_risk_regions"),
-    )
-    return latest.join(run, SERIES).join(per_disease, "disease", "left").join(best, "disease", "left")
+    return latest.join(run, SERIES).join(_risk_summary(risk_rows), "disease", "left").join(best, "disease", "left")
 
 
 def trend(
@@ -227,23 +243,38 @@ def rankings(features: DataFrame, disease: str | None = None, n: int | None = No
     return reshape.rankings(rows, RANKINGS, SERIES, n)
 
 
-def options(features: DataFrame, models: list[str]) -> DataFrame:
-    """Per disease: locations with their ranges as a map, overall range, models.
+def options(features: DataFrame, models: list[str], metrics: DataFrame | None = None) -> DataFrame:
+    """Per disease: number of locations, range, labels, models and the default model (the best one, else the first).
 
-    One row per series enters the nesting, never the observations.
+    The locations of a disease come in pages, see `option_pages`.
     """
-    per_series = features.groupBy("disease", "location_code").agg(
+    per_series = _series_ranges(features)
+    out = per_series.groupBy("disease").agg(
+        F.count("*").alias("location_count"), F.min("full_start").alias("start"), F.max("full_end").alias("end"),
+        *(F.min(c).alias(c) for c in ("frequency", "metric", "metric_label")),
+    ).withColumns({"default_start": F.col("start"), "default_end": F.col("end"), "models": F.array(*(F.lit(m) for m in models))})
+    first = F.lit(models[0])
+    if metrics is None:
+        return out.withColumn("default_model", first)
+    best = aggregates.best_model(metrics, ["disease"]).select("disease", "best_model")
+    known = F.when(F.array_contains("models", F.col("best_model")), F.col("best_model"))
+    return out.join(best, "disease", "left").withColumn("default_model", F.coalesce(known, first)).drop("best_model")
+
+
+def option_pages(features: DataFrame, size: int = 500) -> DataFrame:
+    """The locations of each disease with their ranges, in numbered pages of at most `size` locations."""
+    rows = _series_ranges(features).withColumns({"default_start": F.col("full_start"), "default_end": F.col("full_end")})
+    columns = ["full_start", "full_end", "default_start", "default_end", "last_nonzero_date"]
+    return reshape.pages(rows, ["disease"], "location_code", columns, size)
+
+
+def _series_ranges(features: DataFrame) -> DataFrame:
+    """One row per series, never the observations."""
+    return features.groupBy("disease", "location_code").agg(
         F.min("date").alias("full_start"), F.max("date").alias("full_end"),
         F.max(F.when(F.abs("value") > 1e-9, F.col("date"))).alias("last_nonzero_date"),
-        F.min("frequency").alias("frequency"), F.min("metric").alias("metric"),
+        *(F.min(c).alias(c) for c in ("frequency", "metric", "metric_label")),
     )
-    entry = F.struct("location_code", F.struct("full_start", "full_end", "last_nonzero_date").alias("range"))
-    return per_series.groupBy("disease").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("location_date_ranges"),
-        F.count("*").alias("location_count"),
-        F.min("full_start").alias("start"), F.max("full_end").alias("end"),
-        F.min("frequency").alias("frequency"), F.min("metric").alias("metric"),
-    ).withColumn("models", F.array(*(F.lit(m) for m in models)))
 
 
 def disease_share(features: DataFrame) -> DataFrame:
