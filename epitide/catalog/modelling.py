@@ -191,15 +191,39 @@ def _(v):
 
 
 W = "partition by location_code, disease order by date"
+DAILY_CALENDAR = "cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date)"
+WEEKLY_CALENDAR = "cast(unnest(generate_series(min(date), max(date), interval 7 day)) as date)"
+ANNUAL_CALENDAR = "make_date(cast(unnest(generate_series(year(min(date)), year(max(date)))) as int), 12, 31)"
+
+
+def regular_sql(source: str, calendar: str, gap: int) -> str:
+    """Series on their calendar; up to `gap` missing periods in a row are interpolated by days."""
+    known, ahead = "rows between unbounded preceding and current row", "rows between current row and unbounded following"
+    return f"""select *, x is null and pos - p0 <= {gap} and d1 is not null as is_imputed, coalesce(x, case when pos - p0 <= {gap} and d1 is not null then y0 + (y1 - y0) * ((date - d0) / (d1 - d0)) end) as filled from (select *,
+    last_value(case when x is not null then pos end ignore nulls) over ({W} {known}) as p0, last_value(case when x is not null then date end ignore nulls) over ({W} {known}) as d0, first_value(case when x is not null then date end ignore nulls) over ({W} {ahead}) as d1,
+    last_value(x ignore nulls) over ({W} {known}) as y0, first_value(x ignore nulls) over ({W} {ahead}) as y1
+    from (select k.location_code, k.disease, k.date, s.value as x, row_number() over (partition by k.location_code, k.disease order by k.date) as pos from (select location_code, disease, {calendar} as date from {source} group by 1, 2) k
+    left join {source} s on s.location_code = k.location_code and s.disease = k.disease and s.date = k.date))"""
+
+
+def sequence_sql(regular: str, length: int, horizon: int, average: int) -> str:
+    frame = f"{W} rows {length - 1} preceding"
+    return f"""select *, case when target is null then 'forecast_only' when date <= lo + cast(floor(days * 0.7) as int) then 'train' when date <= lo + cast(floor(days * 0.85) as int) then 'validation' else 'test' end as split from (select *, min(case when target is not null then date end) over () as lo,
+    greatest(max(case when target is not null then date end) over () - min(case when target is not null then date end) over (), 1) as days from (select *, count(filled) over ({frame}) as c, lag(filled, {length - 1}) over ({W}) as first_value, sum(filled) over ({frame}) as window_sum,
+    sum(ln(1 + filled)) over ({frame}) as log_sum, sum(ln(1 + filled) * ln(1 + filled)) over ({frame}) as log_square, lead(x, {horizon}) over ({W}) as target, avg(filled) over ({W} rows {average - 1} preceding) as moving_average from ({regular})) where c = {length} and x is not null)"""
+
+
 # Daily event series on their calendar; single missing days are interpolated.
-REGULAR_SQL = """select *, x is null and pos - p0 <= 1 and p1 is not null as is_imputed, coalesce(x, case when pos - p0 <= 1 and p1 is not null then y0 + (y1 - y0) * ((pos - p0) / (p1 - p0)) end) as filled from (select *,
-    last_value(case when x is not null then pos end ignore nulls) over (partition by location_code, disease order by date rows between unbounded preceding and current row) as p0, first_value(case when x is not null then pos end ignore nulls) over (partition by location_code, disease order by date rows between current row and unbounded following) as p1,
-    last_value(x ignore nulls) over (partition by location_code, disease order by date rows between unbounded preceding and current row) as y0, first_value(x ignore nulls) over (partition by location_code, disease order by date rows between current row and unbounded following) as y1
-    from (select k.location_code, k.disease, k.date, s.value as x, row_number() over (partition by k.location_code, k.disease order by k.date) as pos from (select location_code, disease, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date from v_series group by 1, 2) k
-    left join v_series s on s.location_code = k.location_code and s.disease = k.disease and s.date = k.date))"""
-SEQUENCE_SQL = f"""select *, case when target is null then 'forecast_only' when date <= lo + cast(floor(days * 0.7) as int) then 'train' when date <= lo + cast(floor(days * 0.85) as int) then 'validation' else 'test' end as split from (select *, min(case when target is not null then date end) over () as lo,
-    greatest(max(case when target is not null then date end) over () - min(case when target is not null then date end) over (), 1) as days from (select *, count(filled) over ({W} rows 5 preceding) as c, lag(filled, 5) over ({W}) as first_value, sum(filled) over ({W} rows 5 preceding) as window_sum,
-    sum(ln(1 + filled)) over ({W} rows 5 preceding) as log_sum, sum(ln(1 + filled) * ln(1 + filled)) over ({W} rows 5 preceding) as log_square, lead(x, 2) over ({W}) as target, avg(filled) over ({W} rows 6 preceding) as moving_average from ({REGULAR_SQL})) where c = 6 and x is not null)"""
+REGULAR_SQL = regular_sql("v_series", DAILY_CALENDAR, 1)
+SEQUENCE_SQL = sequence_sql(REGULAR_SQL, 6, 2, 7)
+SEQUENCE_OUT = "location_code, disease, date, first_value, round(window_sum, 4) as window_sum, target, x as current_value, round(moving_average, 4) as moving_average, split"
+
+
+def sequence_columns(rows):
+    return rows.select(
+        *SERIES, "date", F.element_at("input_window", 1).alias("first_value"), F.round(F.aggregate("input_window", F.lit(0.0), lambda a, x: a + x), 4).alias("window_sum"), "target", "current_value",
+        F.round("moving_average", 4).alias("moving_average"), "split",
+    )
 
 
 def sequences(v):
@@ -207,12 +231,44 @@ def sequences(v):
     return forecasting.sequence_set(rows, 6, "daily", horizon=2, max_gap=1, value="value")
 
 
-@Q.add("mlt09_sequence_training_set", f"select location_code, disease, date, first_value, round(window_sum, 4) as window_sum, target, x as current_value, round(moving_average, 4) as moving_average, split from ({SEQUENCE_SQL})")
+@Q.add("mlt09_sequence_training_set", f"select {SEQUENCE_OUT} from ({SEQUENCE_SQL})")
 def _(v):
-    return sequences(v).select(
-        *SERIES, "date", F.element_at("input_window", 1).alias("first_value"), F.round(F.aggregate("input_window", F.lit(0.0), lambda a, x: a + x), 4).alias("window_sum"), "target", "current_value",
-        F.round("moving_average", 4).alias("moving_average"), "split",
-    )
+    return sequence_columns(sequences(v))
+
+
+WEEKLY_SQL = sequence_sql(regular_sql("(select * from v_obs where frequency = 'weekly')", WEEKLY_CALENDAR, schema.MAX_GAP["weekly"]), 8, schema.HORIZON_STEPS["weekly"], schema.ROLLING_WINDOW["weekly"])
+ANNUAL_SQL = sequence_sql(regular_sql("(select * from v_obs where frequency = 'annual')", ANNUAL_CALENDAR, schema.MAX_GAP["annual"]), 3, schema.HORIZON_STEPS["annual"], schema.ROLLING_WINDOW["annual"])
+
+
+@Q.add("mlt09_weekly_sequences", f"select {SEQUENCE_OUT} from ({WEEKLY_SQL})")
+def _(v):
+    return sequence_columns(forecasting.sequence_set(v.weekly_obs, 8, "weekly", value="value"))
+
+
+@Q.add("mlt09_annual_sequences", f"select {SEQUENCE_OUT} from ({ANNUAL_SQL})")
+def _(v):
+    return sequence_columns(forecasting.sequence_set(v.annual_obs, 3, "annual", value="value"))
+
+
+def standardised_sql(sequence: str, length: int) -> str:
+    scaler = f"(select sum(log_sum) / ({length} * count(*)) as m, sqrt(greatest(sum(log_square) / ({length} * count(*)) - pow(sum(log_sum) / ({length} * count(*)), 2), 0)) as s from ({sequence}) where split = 'train')"
+    return f"select location_code, disease, date, round((log_sum - {length} * m) / coalesce(nullif(s, 0), 1), 4) as input_scaled_sum, round((ln(1 + target) - m) / coalesce(nullif(s, 0), 1), 4) as target_scaled, split from ({sequence}) cross join {scaler}"
+
+
+def standardised_columns(rows):
+    total = F.aggregate("input_scaled", F.lit(0.0), lambda a, x: a + x)
+    return forecasting.standardise(rows).select(*SERIES, "date", F.round(total, 4).alias("input_scaled_sum"), F.round("target_scaled", 4).alias("target_scaled"), "split")
+
+
+@Q.add("mlt09_standardised", standardised_sql(SEQUENCE_SQL, 6))
+def _(v):
+    """Windows and targets on the log scale, by mean and deviation of the train windows."""
+    return standardised_columns(sequences(v))
+
+
+@Q.add("mlt09_weekly_standardised", standardised_sql(WEEKLY_SQL, 8))
+def _(v):
+    return standardised_columns(forecasting.sequence_set(v.weekly_obs, 8, "weekly", value="value"))
 
 
 @Q.add("mlt09_train_only_scaler", f"select round(sum(log_sum) / (6 * count(*)), 4) as mean, round(sqrt(sum(log_square) / (6 * count(*)) - pow(sum(log_sum) / (6 * count(*)), 2)), 4) as std from ({SEQUENCE_SQL}) where split = 'train'")
