@@ -130,9 +130,7 @@ def status_parts(v):
         "china_cdc": (v.table("pages").select("url").distinct(), v.table("pages"), None), "who": (catalog, v.table("events"), primary),
         "historical_weather": (hours.select("date").distinct(), hours, None),
     }
-    names = F.create_map(*(F.lit(x) for name, part, rule in SOURCE_STATUS_ITEMS for x in (part, name)))
-    rules = F.create_map(*(F.lit(x) for name, part, rule in SOURCE_STATUS_ITEMS for x in (part, rule)))
-    return quality.ledger(tables).select(names[F.col("part")].alias("name"), rules[F.col("part")].alias("rule"), "rows", "raw_rows", "primary_rows")
+    return quality.named_sources(quality.ledger(tables))
 
 
 #: Cleaned, raw and curated rows of each source, in the order of SOURCE_STATUS_ITEMS.

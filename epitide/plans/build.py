@@ -24,6 +24,14 @@ PUBLISHED_COLUMNS = {
 }
 
 
+@dataclass
+class AnnualFile:
+    """A file of one annual indicator; its value is the sum of the given columns, by default of all value columns."""
+
+    path: str
+    columns: list[str] | None = None
+
+
 @dataclass
 class RawFiles:
     """Where the raw files are; a source that is None is skipped. Years after current_year are flagged; a date bound of
@@ -45,6 +53,8 @@ class RawFiles:
     hourly_cities: dict[str, list[str]] = field(default_factory=dict)
     start: str | None = None
     end: str | None = None
+    annual: AnnualFile | None = None
+    annual_extra: dict[str, AnnualFile] = field(default_factory=dict)
 
 
 def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]:
@@ -67,14 +77,24 @@ def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]
         mapping = readers.name_mapping(readers.read_csv(spark, raw.mapping, schema.NAME_MAPPING_SCHEMA))
         rows = readers.read_csv(spark, raw.reports, schema.CASE_REPORT_SCHEMA, REPORT_RENAMES)
         save("epidemic", cleaning.cumulative_reports(rows, mapping), ["year", "location_code"])
-        save("validation", cleaning.validation_series(rows, mapping))
+        validation = save("validation", cleaning.validation_series(rows, mapping))
     if raw.published:
         rows, rejected = readers.read_tolerant(spark, [raw.published], PUBLISHED_COLUMNS, ["country", "date", "code"])
         if rejected:
             raise ValueError(f"required columns are missing in {rejected}")
-        observations.append(save("published", cleaning.published_series(rows, codes, raw.start, raw.end)))
+        published = save("published", cleaning.published_series(rows, codes, raw.start, raw.end))
+        observations.append(published)
+        if raw.reports and raw.mapping:  # two sources of one measure: compared, never summed
+            save("reconciliation", quality.reconcile(published, validation, ["location_code", "date"], "total_cases"))
+    if raw.annual:
+        values = readers.read_annual_values(spark, raw.annual.path, raw.annual.columns).join(codes, "location_code", "left_semi")
+        extra = {name: readers.read_annual_values(spark, f.path, f.columns) for name, f in raw.annual_extra.items()}
+        observations.append(save("annual", cleaning.annual_indicators(values.withColumnRenamed("v", "value"), extra)))
     if raw.hospital:
-        observations.append(save("hospital", cleaning.weekly_hospital(readers.read_text_csv(spark, raw.hospital))))
+        hospital = readers.read_text_csv(spark, raw.hospital)
+        observations.append(save("hospital", cleaning.weekly_hospital(hospital)))
+        if cleaning.share_columns(hospital):
+            save("hospital_shares", cleaning.percent_columns(hospital).select("Week Ending Date", "Geographic aggregation", *cleaning.share_columns(hospital)))
     if raw.weather_root:
         weather = cleaning.weather_silver(readers.read_glob(spark, raw.weather_root, schema.WEATHER_SCHEMA))
         save("weather", weather.join(codes, "location_code", "left_semi"), ["year", "location_code"])
@@ -108,9 +128,23 @@ def build_silver(spark: SparkSession, raw: RawFiles, out: str) -> dict[str, str]
         save("hourly_annual", cleaning.hourly_weather(matrices, "at", raw.hourly_cities, "annual"))
     if observations:
         save("observations", cleaning.canonical(observations))
+    tables = {part: (name, primary) for part, name, primary in LEDGER_TABLES if name in written}
+    if tables:
+        counted = {
+            part: (readers.read_table(spark, written[name]), None, readers.read_table(spark, written[primary]) if primary in written else None)
+            for part, (name, primary) in tables.items()
+        }
+        save("ledger", quality.ledger(counted))
     return written
 
 
+#: Source of the ledger, its silver table, and the table of its curated series.
+LEDGER_TABLES = (
+    ("owid", "published", None), ("kaggle_covid", "epidemic", None), ("tuberculosis", "annual", None), ("respiratory", "hospital", None), ("weather", "weather", None),
+    ("population", "population", None), ("china_cdc", "report_pages", None), ("who", "indicators", "primary"), ("historical_weather", "hourly_daily", None),
+)
+
+
 def build_gold(spark: SparkSession, silver: dict[str, str], out: str, population_mode: str = "asof") -> str:
     """Features of all observations, partitioned by year and location."""
     empty_weather = T.StructType([T.StructField("location_code", T.StringType()), T.StructField("date", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in schema.WEATHER_VALUES)])
@@ -181,7 +215,7 @@ def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], o
         "date", *SERIES, "frequency", "metric", "temperature_mean", "relative_humidity_mean", "precipitation_sum", "new_cases_smoothed", "weather_match_level", "weather_source"
     )
     documents = {
-        "overview": serving.overview(scored, main_disease),
+        "overview": serving.overview(scored, main_disease, risk_rows, metrics.where("skipped_because IS NULL")),
         "series": risk.series_summaries(scored),
         "trend": serving.trend_documents(scored, None),
         "risk_map": risk_rows,
@@ -190,7 +224,9 @@ def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], o
         "model_metrics": metrics,
         "best_models": aggregates.best_model(metrics.where("skipped_because IS NULL"), ["disease"]),
         "data_quality": quality.serving_report(scored),
-        "options": serving.options(scored, models),
+        "options": serving.options(scored, models, metrics.where("skipped_because IS NULL")),
+        "option_pages": serving.option_pages(scored),
+        "data_quality_by_source": quality.serving_report_by(scored, ["source", "frequency"]),
         "weather_rows": matched,
         "weather_correlation": serving.weather_correlation(scored),
         "disease_share": serving.disease_share(scored),
@@ -198,6 +234,8 @@ def build_serving(spark: SparkSession, gold_path: str, silver: dict[str, str], o
         "feature_join": gold.join_report(scored),
         "statistics": aggregates.statistics(scored, list(schema.YEARLY_KEYS), schema.YEARLY_STATISTICS),
     }
+    if "ledger" in silver:
+        documents["source_status"] = quality.source_status(quality.named_sources(readers.read_table(spark, silver["ledger"])))
     if "indicators" in silver:
         documents["indicator_summary"] = aggregates.indicator_summary(readers.read_table(spark, silver["indicators"]))
     written = {}

@@ -187,10 +187,13 @@ def weekly_hospital(raw: DataFrame, country: str = "USA", location: str = "Unite
     return core
 
 
+def share_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("Percent ")]
+
+
 def percent_columns(df: DataFrame) -> DataFrame:
     """Occupancy shares of the hospital table as percent."""
-    columns = [c for c in df.columns if c.startswith("Percent ")]
-    return df.withColumns({c: measures.to_percent(F.col(c).try_cast("double")) for c in columns})
+    return df.withColumns({c: measures.to_percent(F.col(c).try_cast("double")) for c in share_columns(df)})
 
 
 def yearly_population(

@@ -215,7 +215,8 @@ def serving_report_by(features: DataFrame, by: list[str]) -> DataFrame:
 def ledger(tables: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]]) -> DataFrame:
     """Counts of each source as rows: part, rows (cleaned), raw_rows (as read), primary_rows (of its curated series).
 
-    Each table is counted from its files; a part without raw or primary table has none of them (null, 0).
+    Tables are counted from their files, which Parquet answers from its footers; an accumulator filled while writing would
+    count a repeated task twice. A part without raw or primary table has none of them (null, 0).
     """
     parts = [
         (part, name, df.agg(F.count("*").alias("n")))
@@ -229,6 +230,12 @@ def ledger(tables: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None
     return long.groupBy("part").agg(of("rows").alias("rows"), of("raw_rows").alias("raw_rows"), F.coalesce(of("primary_rows"), F.lit(0)).alias("primary_rows"))
 
 
+def named_sources(counted: DataFrame) -> DataFrame:
+    """The ledger by name and status rule, one row for each known source; rows are null where it was not configured."""
+    known = counted.sparkSession.createDataFrame(schema.SOURCE_STATUS_ITEMS, "name string, part string, rule string")
+    return known.join(counted, "part", "left").select("name", "rule", "rows", "raw_rows", F.coalesce("primary_rows", F.lit(0)).alias("primary_rows"))
+
+
 def model_status(rows: DataFrame, name: str) -> DataFrame:
     """Status of a learned model from its rows with a split: ok if every part has rows, else info."""
     parts = [F.count_if(F.col("split") == p) for p in ("train", "validation", "test")]
@@ -252,6 +259,7 @@ def source_status(parts: DataFrame) -> DataFrame:
             F.when(filled & (F.col("primary_rows") > 0), "ok").when(filled, "info").otherwise("not_configured"),
         )
         .when(F.col("rule") == "archive", F.when(filled, "ok").otherwise("warn"))
+        .when(F.col("rows").isNull(), "not_configured")
         .otherwise("ok")
     )
     return parts.withColumn("status", status)

@@ -55,6 +55,20 @@ def read_csv(spark: SparkSession, path: str | list[str], layout: T.StructType, r
     return df.withColumnsRenamed(renames or {})
 
 
+def read_annual_values(spark: SparkSession, path: str, columns: list[str] | None = None, code: str = "Code", year: str = "Year") -> DataFrame:
+    """An annual file to location_code, location, year, v: the sum of the given value columns, by default of all behind
+    the first three; missing if all of them are. Repeated keys keep their largest value."""
+    rows = read_text_csv(spark, path)
+    columns = columns or rows.columns[3:]
+    numbers = [text.parse_number(F.col(f"`{c}`")) for c in columns]
+    total = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0.0)) for n in numbers))
+    value = F.when(F.coalesce(*numbers).isNotNull(), total)
+    typed = rows.select(
+        F.upper(F.trim(code)).alias("location_code"), F.trim(F.col(f"`{rows.columns[0]}`")).alias("location"), text.parse_number(year).cast("int").alias("year"), value.alias("v"),
+    )
+    return keep_latest(typed.where("location_code <> '' AND year IS NOT NULL"), ["location_code", "year"], [F.col("v").desc_nulls_last(), F.col("location")])
+
+
 def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with every column as text; the files share one header."""
     return spark.read.options(**CSV).csv(path)

@@ -344,3 +344,56 @@ def test_rankings_count_missing_as_zero(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", None, 2.0), ("c", 3.0, -1.0)], "k string, x double, y double")
     rows = reshape.rankings(df, {"x": "x", "y": "y"}, ["k"], 2).orderBy("ranking", "position").collect()
     assert [(r["ranking"], r["k"]) for r in rows] == [("x", "c"), ("x", "a"), ("y", "b"), ("y", "a")]
+
+
+def test_pages_are_bounded_and_whole(spark):
+    """A group of 50 000 keys comes in pages of 1 000, in key order, over several ranges."""
+    df = spark.range(50_000).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), F.format_string("k%06d", (F.col("id") * 7919) % 50_000).alias("k"), F.col("id").alias("v"))
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "64k")
+    try:
+        got = reshape.pages(df, ["g"], "k", ["v"], 1000).orderBy("g", "page").collect()
+    finally:
+        spark.conf.unset(setting)
+    assert [(r["g"], r["page"], r["entry_count"]) for r in got] == [("a", i, 1000) for i in range(45)] + [("b", i, 1000) for i in range(5)]
+    for g in "ab":
+        keys = [e["k"] for r in got if r["g"] == g for e in r["entries"]]
+        assert keys == sorted(keys) and len(set(keys)) == len(keys)
+        assert all((r["first_k"], r["last_k"]) == (r["entries"][0]["k"], r["entries"][-1]["k"]) for r in got if r["g"] == g)
+
+
+def test_dense_difference(spark):
+    rows = [("A", date(2020, 1, d), v) for d, v in ((3, 10.0), (1, 4.0), (2, None), (5, 7.0), (3, 1.0))] + [("B", date(2020, 1, 9), 2.0), ("C", date(2020, 1, 1), None)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    got = sorted(tuple(r) for r in windows.dense_difference(df, ["k"], "date", "v").collect())
+    assert got == [("A", date(2020, 1, 1), 4.0), ("A", date(2020, 1, 3), 7.0), ("A", date(2020, 1, 5), -4.0), ("B", date(2020, 1, 9), 2.0)]
+
+
+def test_overlap_evidence(spark):
+    """Dates beyond one bitmap, a weather location without population, a repeated report."""
+    day = lambda i: date(2050, 1, 1) + timedelta(days=i)
+    cases = spark.createDataFrame([(n, day(i), None) for n in ("a", "b", "c", "d") for i in range(0, 8000, 20)] + [("a", day(0), None), ("e", None, "p")], "name string, date date, province string")
+    mapping = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "name string, mapped_code string")
+    population = spark.createDataFrame([("A",), ("B",), ("C",), ("Z",)], "location_code string")
+    weather = spark.createDataFrame([(c, day(i)) for c in "ABCX" for i in range(0, 8000, 5)] + [("B", day(1))], "location_code string, date date")
+    row = quality.overlap_report(cases, population, weather, mapping, min_days=400).first()
+    assert (row["common_locations"], row["max_common_days"], row["case_duplicate_keys"], row["date_parse_errors"]) == (3, 400, 1, 1)
+    assert row["weather_population_mapped"] and row["reports_need_deduplication"] and not row["can_enter_cleaning"]
+    lacking = quality.overlap_report(cases, population, weather.unionByName(spark.createDataFrame([("D", day(0))], "location_code string, date date")), mapping).first()
+    assert not lacking["weather_population_mapped"] and lacking["weather_without_population"] == 1
+
+
+def test_report_by_source_counts_duplicates(spark):
+    rows = [("s", "daily", "A", "x", date(2020, 1, 1), True, True, 1.0, None)] * 2 + [("s", "daily", "B", "x", date(2020, 1, 2), None, False, None, 2.0)]
+    df = spark.createDataFrame(rows, "source string, frequency string, location_code string, disease string, date date, is_negative_case_correction boolean, has_weather boolean, population double, target_t_plus_7 double")
+    r = quality.serving_report_by(df, ["source", "frequency"]).first()
+    assert (r["rows"], r["duplicate_count"], r["negative_correction_count"], r["weather_matched_count"], r["population_unmatched_count"], r["missing_target"]) == (3, 1, 2, 2, 1, 0.666667)
+
+
+def test_winner_is_fetched_late_and_whole(spark):
+    """The highest first term wins, ties go by the other terms, and a group of copies keeps one row."""
+    rows = [("k", f"f{i % 3}", "t", f"s{i % 2}", i % 5, i) for i in range(1000)] + [("one", "f9", "u", "s", None, 7)] * 3
+    df = spark.createDataFrame(rows, "k string, f string, t string, s string, at int, v int")
+    got = {r["k"]: r for r in aggregates.latest_with_provenance(df, "k", "f", "t", "s", [F.col("at"), F.col("v")], ["at", "v", "f"]).collect()}
+    assert (got["k"]["at"], got["k"]["v"], got["k"]["duplicate_source_count"], got["k"]["duplicate_source_files"], got["k"]["duplicate_content_variant_count"]) == (4, 999, 1000, "f0 | f1 | f2", 2)
+    assert (got["one"]["duplicate_source_count"], got["one"]["duplicate_source_files"], got["one"]["duplicate_collector_topics"], got["one"]["duplicate_content_conflict"]) == (3, "f9", "u", False)
