@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epitide.sources.scratch import materialise
+
 #: Fixed constants of the splitmix64 generator.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 CHUNK_BYTES = 1 << 19
@@ -43,6 +46,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Rows of one file, and files whose numbers are broadcast.
+FILE_BITS, BROADCAST_FILES = 33, 50_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with _row, a number that a row keeps in every job: the place of its file among the file names and its place
+    in that file. Numbers of the scan would follow the file splits, which change when executors come or go.
+
+    `docs` is a read of Parquet files from which columns and rows may have been chosen; anything else is written first.
+    The file names are numbered once and written, one row for each file.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        placed = docs.select("*", *place)
+    except AnalysisException:  # not a read of files
+        placed = materialise(docs, "documents").select("*", *place)
+    number = F.row_number().over(Window.orderBy("_file")).cast("long")
+    files = materialise(placed.select("_file").distinct().withColumn("_number", number), "files")
+    files = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    row = F.shiftleft("_number", FILE_BITS) + F.col("_at")
+    return placed.join(files, "_file").withColumn("_row", row).drop("_file", "_at", "_number")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on a uint64 array."""
     x = x ^ (x >> np.uint64(30))

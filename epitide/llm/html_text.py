@@ -3,18 +3,22 @@
 A page is read into a tree of elements. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out, by tag, role or a word of their class or id. Every paragraph then passes points to its
 ancestors: one, one for each comma and one for each 100 characters (three at most), less the share of its text that
-stands in links; the parent takes all, the grandparent half, the next a third, and so on. The container with most points
+stands in links; the parent takes all, the grandparent half, the next a third, and so on, and whatever is NEAR or more
+levels above takes the same small share, which is carried up once. The container with most points
 is the article; siblings that look like text too (many points, or text with few links) are kept with it, and a heading
 of the first level just before it. All blocks of what is kept are joined in page order.
 
 A null page or one without text gives an empty text; broken markup is read as browsers do where it matters here: open
-paragraphs end at the next block, end tags without a start are ignored, what is open at the end is closed.
+paragraphs end at the next block, end tags without a start are ignored, what is open at the end is closed. A tag is
+split into names and values first, so a value never counts as a name. Work is linear in the page, however deep it is.
+White space of any kind, also beyond ASCII, becomes one space.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,13 +36,14 @@ LEFT_OUT = frozenset(
     "option input dialog menu audio video map noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
-# Words of a class or id that mark what surrounds an article; a stem matches words that begin with it.
+# Whole words of a class or id that mark what surrounds an article, with their forms.
 WORDS = frozenset(
     "ad ads adv adbox adslot sidebar side nav navbar navigation menu topbar header masthead footer banner breadcrumb breadcrumbs cookie "
     "cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay promo promotion share "
-    "sharing social related recommended sponsor sponsored widget pagination pager disqus comment comments respond responses replies reply toolbar skip announcement".split()
+    "sharing social related recommended sponsor sponsored widget pagination pager disqus comment comments respond responses replies reply toolbar skip announcement "
+    "advert adverts advertisement advertisements advertising advertorial sponsors sponsoring sponsorship commentlist commentform commentlisting commenting "
+    "cookiebar cookiebanner cookieconsent newsletters sidebars promos promotions promotional".split()
 )
-STEMS = ("advert", "sponsor", "comment", "cookie", "newsletter", "sidebar", "breadcrumb", "promo")
 KEEPERS = frozenset("article post entry main content story".split())
 # A class such as "with-sidebar" tells of the layout, not of the element.
 LAYOUT = frozenset("with no has without".split())
@@ -49,18 +54,27 @@ TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)""", re.S,
 )
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"?|'[^']*'?""")
+JUDGED = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_PARAGRAPH = BLOCK - {"body", "html"}
-SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+# Elements that end open ones of their kind, up to the list or table around them.
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+FAMILY = {n: i for i, names in enumerate(("li ul ol menu dir", "dt dd dl", "tr td th table")) for n in names.split()}
+#: Levels to which points go one by one.
+NEAR = 64
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "out", "points")
+    __slots__ = ("name", "parent", "children", "out", "points", "far", "kin")
 
     def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.children, self.out, self.points = name, parent, [], out, 0.0
+        self.name, self.parent, self.children, self.out, self.points, self.far = name, parent, [], out, 0.0, 0.0
+        # The nearest element of each family, itself included.
+        self.kin = parent.kin if parent else (None, None, None)
+        if name in FAMILY:
+            self.kin = tuple(self if i == FAMILY[name] else k for i, k in enumerate(self.kin))
 
 
 def left_out(name: str, rest: str) -> bool:
@@ -68,15 +82,19 @@ def left_out(name: str, rest: str) -> bool:
         return True
     if not rest or name in ("html", "body", "article", "main"):
         return False
+    seen = set()
     for m in ATTRIBUTE.finditer(rest):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if key not in JUDGED or key in seen:  # the first of equal names counts
+            continue
+        seen.add(key)
         if key == "role":
             if value.strip().lower() in ROLES:
                 return True
         elif key in ("class", "id"):
             for one in value.split():
                 words = {w.lower() for w in SPLIT.split(one) if w}
-                hit = {w for w in words if w in WORDS or w.startswith(STEMS)}
+                hit = words & WORDS
                 if words & KEEPERS:
                     hit -= HEADINGS
                 if hit and not words & LAYOUT:
@@ -86,10 +104,20 @@ def left_out(name: str, rest: str) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree; children are nodes and texts. Text of raw elements is dropped."""
+def parse(page: str) -> list[Node]:
+    """The elements in page order, the root first; children are nodes and texts. Text of raw elements is dropped."""
     root = at = Node("#root", None, False)
+    order, opened = [root], Counter()
     pos, n = 0, len(page)
+
+    def close(node: Node) -> Node:
+        """Ends all open elements up to this one; its parent is open then."""
+        here = at
+        while here is not node.parent:
+            opened[here.name] -= 1
+            here = here.parent
+        return here
+
     while pos < n:
         m = TAG.search(page, pos)
         text = page[pos : m.start() if m else n]
@@ -103,28 +131,25 @@ def parse(page: str) -> Node:
             continue
         name, rest = name.lower(), m["rest"] or m["rest2"] or ""
         if m["end"] or m["end2"]:
-            node = at
-            while node.parent and node.name != name:
-                node = node.parent
-            if node.parent:
-                at = node.parent
+            if opened[name]:
+                node = at
+                while node.name != name:
+                    node = node.parent
+                at = close(node)
             continue
-        if name in CLOSES_PARAGRAPH:
+        if name in CLOSES_PARAGRAPH and opened["p"]:  # a block ends the paragraph, so an open one is the nearest block
             node = at
             while node.parent and node.name not in BLOCK:
                 node = node.parent
             if node.name == "p":
-                at = node.parent
+                at = close(node)
         if name in SAME:
-            ends, walls = SAME[name]
-            node = at
-            while node.parent and node.name not in walls:
-                if node.name in ends:
-                    at = node.parent
-                    if name != "tr" or node.name == "tr":
-                        break
-                node = node.parent
+            while (node := at.kin[FAMILY[name]]) is not None and node.name in SAME[name]:
+                at = close(node)
+                if name != "tr" or node.name == "tr":
+                    break
         node = Node(name, at, at.out or left_out(name, rest))
+        order.append(node)
         at.children.append(node)
         if name in VOID or rest.endswith("/"):
             continue
@@ -133,7 +158,8 @@ def parse(page: str) -> Node:
             pos = end.end() if end else n
             continue
         at = node
-    return root
+        opened[name] += 1
+    return order
 
 
 def blocks(node: Node, into: list[list]) -> None:
@@ -194,9 +220,9 @@ def holds_left_out(node: Node) -> bool:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
+    order = parse(page)
     found: list[list] = []
-    blocks(root, found)
+    blocks(order[0], found)
     whole = [(owner, text, links) for owner, parts, links in found if (text := flat(parts))]
     scored: dict[int, Node] = {}
     for owner, text, links in whole:
@@ -205,10 +231,18 @@ def main_text(page: str | None) -> str:
         points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - min(1.0, links / len(text)))
         node, share = (owner.parent if owner.name in ("p", "pre", "li", "td", "dd", "dt", "tr", "blockquote") and owner.parent else owner), 1.0
         step = 1
-        while node is not None:
+        while node is not None and step < NEAR:
             node.points += points / step
             scored[id(node)] = node
             node, step = node.parent, step + 1
+        if node is not None:
+            node.far += points
+    for node in reversed(order):  # an element stands behind its parent
+        if node.far:
+            node.points += node.far / NEAR
+            scored[id(node)] = node
+            if node.parent is not None:
+                node.parent.far += node.far
     for node in scored.values():
         node.points *= {"article": 1.5, "main": 1.3, "body": 0.9, "html": 0.5, "#root": 0.4}.get(node.name, 1.0)
     if not scored:
@@ -242,14 +276,11 @@ def main_text(page: str | None) -> str:
         at = at.parent
         loose.add(id(at))
         inside = inside and at is not around
-    out = []
-    for owner, text, _ in whole:
-        node = owner
-        while node is not None and id(node) not in keep:
-            node = node.parent
-        if node is not None or id(owner) in loose:
-            out.append(text)
-    return "\n".join(out)
+    kept = set()
+    for node in order:
+        if id(node) in keep or node.parent is not None and id(node.parent) in kept:
+            kept.add(id(node))
+    return "\n".join(text for owner, text, _ in whole if id(owner) in kept or id(owner) in loose)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from epitide.llm.common import numbered
 from epitide.sources.scratch import materialise
 
 WEIGHTS, TOTAL, LIMIT = (5, 2, 1), 1.5, 2
@@ -69,11 +70,15 @@ def sainte_lague(sizes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """_row (of the scan), doc_id, size, source_size, target, taken for each row of `docs` (doc_id, text, source)."""
+    """_row (a stable number), doc_id, size, source_size, target, taken for each row of `docs` (doc_id, text, source)."""
+    return _mixed(numbered(docs.select("doc_id", "text", "source")))
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = docs.select(
         "doc_id", key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", F.lit(SEED)).alias("place"), F.xxhash64("text").alias("tie"),
+        "_row", F.xxhash64("doc_id", F.lit(SEED)).alias("place"), F.xxhash64("text").alias("tie"),
     )
     sized = materialise(sized, "sizes")
     sources = [(r["key"], r["words"], r["docs"]) for r in sized.groupBy("key").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()]
@@ -127,8 +132,9 @@ def mixture(docs: DataFrame) -> DataFrame:
             out.append(t[:end])
         return pd.Series(out)
 
-    taken = materialise(mixed(docs).where("taken > 0").select("_row", "size", "taken"), "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")).join(taken, "_row")
+    placed = numbered(docs)
+    taken = materialise(_mixed(placed).where("taken > 0").select("_row", "size", "taken"), "taken")
+    rows = placed.select(F.struct(*docs.columns).alias("doc"), "_row").join(taken, "_row")
     whole = rows.where("taken >= size").select("doc", F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))))
     part = rows.where("taken % size > 0").select(F.col("doc").withField("text", head("doc.text", F.expr("taken % size"))).alias("doc"))
     out = whole.select("doc").union(part)

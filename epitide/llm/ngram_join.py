@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import MAX_LONG, mix, tidy
+from epitide.llm.common import MAX_LONG, mix, numbered, tidy
 from epitide.llm.components import components
 from epitide.llm.shingles import shingle_sets
 from epitide.sources.scratch import materialise
@@ -210,26 +210,22 @@ def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFra
     return members, materialise(named.join(least, "root").select("cls", "root", "component_id"), "components")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with the numbers of the scan; `docs` should be read from files or be otherwise stable between reads."""
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-
-
 def join_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
-    members, named = linked(_numbered(docs), words, per_cent)
+    members, named = linked(numbered(docs.select("doc_id", "text")), words, per_cent)
     return members.select("doc_id", "size", "cls").join(named.select("cls", "component_id"), "cls", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def representatives(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of `docs` that are the first of their component, by doc_id (null last) and then the order of the scan;
+    """The rows of `docs` that are the first of their component, by doc_id (null last) and then their place in the files;
     rows without words stay."""
-    members, named = linked(_numbered(docs), words, per_cent)
+    placed = numbered(docs)
+    members, named = linked(placed.select("doc_id", "text", "_row"), words, per_cent)
     solid = members.where("size > 0").join(named.select("cls", "root"), "cls")
     first = solid.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("id"), "_row")).alias("f")).select("f._row")
     gone = materialise(members.where("size > 0").select("_row").join(first, "_row", "left_anti"), "rows")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row"))
+    rows = placed.select(F.struct(*docs.columns).alias("doc"), "_row")
     return rows.join(gone, "_row", "left_anti").select("doc.*")

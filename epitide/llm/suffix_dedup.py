@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import MAX_LONG, Ranges, mix, text_chunks, tidy
+from epitide.llm.common import MAX_LONG, Ranges, mix, numbered, text_chunks, tidy
 from epitide.sources.scratch import materialise
 
 GRAM = 40
@@ -250,8 +250,9 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """All columns of `docs`, and kept (binary: the remaining bytes), n_removed, n_spans (maximal removed runs)."""
     own = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
-    rows = docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = numbered(docs)
+    rows = placed.select(F.struct(*own).alias("doc"), "_row", F.coalesce("text", F.lit("")).alias("text"))
+    ids = placed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), "_row", F.coalesce("text", F.lit("")).alias("text"))
     ranges, keys = _pick(covered(ids, length).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     touched = rows.join(keys, "_row", "left_semi").join(ranges, "_row").select("doc", "text", F.sort_array("ranges").alias("ranges"))
     schema = touched.select("doc", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema

@@ -240,3 +240,30 @@ def test_pipeline_stages(labelled, spark):
         docs, kept[name] = after, after.count()
     assert kept["encoding"] == kept["mixing"] > 0
     assert corpus_pipeline.run(spark, root).count() == kept["encoding"]
+
+
+def test_attribute_values_are_no_names():
+    assert html_text.main_text('<p title="a hidden gem">LOST?</p>') == "LOST?"
+    page = '<p>Before <a href="/story?id=related">the related story LINK</a> after, and more, and more text.</p><img alt="role=navigation"><p>x, y, z?class=nav</p>'
+    assert html_text.main_text(page).split("\n") == ["Before the related story LINK after, and more, and more text.", "x, y, z?class=nav"]
+    assert html_text.main_text('<div class="a" class="nav"><p>The first of equal names, counts.</p></div>') == "The first of equal names, counts."
+    assert html_text.main_text("<p>Text, text, text.</p><p hidden>no</p><p aria-hidden=true>no</p><div role='navigation'>no</div>") == "Text, text, text."
+
+
+def test_classes_are_whole_words():
+    text = "One, two, three. " * 30
+    for name in ("commentary", "promontory", "promoted-story", "cookieless"):
+        assert html_text.main_text(f'<div class="{name}"><p>{text}</p><p>{text}</p></div>') == "\n".join([text.strip()] * 2)
+    for name in ("comments", "comment-list", "promo", "cookieBanner", "advertisement"):
+        assert html_text.main_text(f'<p>{text}</p><div class="{name}"><p>no</p></div>') == text.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x " * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<hr>" * 50_000, "<li><ul>" + "<b>" * 50_000 + "<li></li>" * 50_000, "<p>" + "<b>" * 50_000 + "x" + "</p>" * 50_000,
+])
+def test_deep_pages_end(page):
+    import time
+
+    begin = time.time()
+    html_text.main_text(page)
+    assert time.time() - begin < 60
