@@ -11,7 +11,8 @@
    the lists' length. Pairs need fitting sizes and enough common prefix shingles: of the k shingles two sets of sizes
    n >= m must share, at most ceil(t n) - 1 stand behind the prefix of either, so the first k - ceil(t n) + 1 stand in both.
 5. Only lists whose classes are not one component by then are opened: pairs of different groups and components that
-   were not tried yet are verified by the same rules. Groups whose classes are not one component are joined inside:
+   were not tried yet are verified by the same rules; a list is joined by buckets of size, the smaller set by fewer of its
+   shingles, and long lists are dealt over several tasks. Groups whose classes are not one component are joined inside:
    their sets have one size n and must share k shingles, so the n - k + 1 that are rarest in the group hold one of
    those. A pair inside a component needs no check, any other pair that could link has been verified, so no link
    between components is lost.
@@ -39,6 +40,8 @@ from epitide.sources.scratch import materialise
 SLOT_BITS, PARTS = 22, 64
 #: Up to so many row numbers (8 bytes each) are broadcast to pick texts from the scan; beyond it texts are shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows of a list that one task joins with the other side.
+LIST_ROWS = 4_096
 
 
 def common_slots(docs: DataFrame, words: int) -> np.ndarray:
@@ -134,6 +137,21 @@ def _enough(n: F.Column, a: str, b: str, per_cent: int) -> F.Column:
     return n > _overlap(a, b, per_cent) - F.ceil(F.greatest(a, b) * per_cent / 100)
 
 
+def _level(size: str, per_cent: int) -> F.Column:
+    """A bucket of sizes; sets that link stand in the same or in neighbouring ones. A little wider than the likeness, so that
+    rounding cannot put them two apart."""
+    return F.floor(F.log(F.col(size)) / math.log(100 / per_cent * (1 + 1e-9)))
+
+
+def _salted(a: DataFrame, b: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Join of `a` and `b` on `key`, long lists dealt over several tasks: a row of `a` goes to one salt of its list, a row of `b`
+    to all. Rows of equal keys hold the same `count`, the number of rows of `a` in the list."""
+    salts = F.ceil(F.col(count) / LIST_ROWS).cast("int")
+    one = a.withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop(count)
+    each = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(count)
+    return one.join(each, [*key, "_salt"]).drop("_salt")
+
+
 def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """_row, text of the rows whose numbers stand in `rows`."""
     need = materialise(rows.distinct(), "rows")
@@ -158,9 +176,10 @@ def group_pairs(named: DataFrame, docs: DataFrame, words: int, per_cent: int) ->
     counts = grams.groupBy("gk", "token").agg(F.count("*").alias("n"))
     rare = grams.join(counts, ["gk", "token"]).groupBy("cls", "row", "gk", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
     rare = rare.select("cls", "row", "gk", "root", F.explode(F.slice("own", F.lit(1), (F.col("size") - _overlap("size", "size", per_cent) + 1).cast("int"))).alias("t"))
-    rare = materialise(rare.where("t.n > 1").select("cls", "row", "gk", "root", F.col("t.token").alias("token")), "rare")
-    other = rare.select(F.col("cls").alias("b"), F.col("row").alias("rb"), "gk", F.col("root").alias("other"), "token")
-    return rare.withColumnsRenamed({"cls": "a", "row": "ra"}).join(other, ["gk", "token"]).where("root < other").select("a", "ra", "b", "rb").distinct()
+    rare = materialise(rare.where("t.n > 1").select("cls", "row", "gk", "root", F.col("t.token").alias("token"), F.col("t.n").alias("n")), "rare")
+    other = rare.select(F.col("cls").alias("b"), F.col("row").alias("rb"), "gk", F.col("root").alias("other"), "token", "n")
+    both = _salted(rare.withColumnsRenamed({"cls": "a", "row": "ra"}), other, ["gk", "token"], "n")
+    return both.where("root < other").select("a", "ra", "b", "rb").distinct()
 
 
 def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -192,11 +211,17 @@ def linked(docs: DataFrame, words: int = 5, per_cent: int = 80) -> tuple[DataFra
     opened = materialise(spread.join(split, "token"), "open")
     mixed = opened.join(opened.groupBy("cls").agg(F.count("*").alias("k")), "cls")  # no pair of two groups shares more than it has here
     side = lambda p, c: mixed.select("token", F.col("cls").alias(c), F.col("row").alias(f"r{c}"), *(F.col(n).alias(f"{p}_{n}") for n in ("root", "size", "k", "pos", "gk")))
-    pairs = side("x", "a").join(side("y", "b"), "token").where(
-        (F.col("x_root") < F.col("y_root")) & (F.col("x_gk") != F.col("y_gk")) & _fits("x_size", "y_size", per_cent) & _enough(F.least("x_k", "y_k"), "x_size", "y_size", per_cent)
+    # x is the smaller set. It must share at least what two sets of its size must, so its list ends earlier.
+    small = materialise(side("x", "a").where(F.col("x_size") - F.col("x_pos") >= _overlap("x_size", "x_size", per_cent)).withColumn("level", _level("x_size", per_cent)), "small")
+    held = small.groupBy("token", "level").agg(F.count("*").alias("held"))
+    level = _level("y_size", per_cent)
+    large = side("y", "b").withColumn("level", F.explode(F.array(level, level - 1)))
+    pairs = _salted(small.join(held, ["token", "level"]), large.join(held, ["token", "level"]), ["token", "level"], "held").where(
+        ((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("a") < F.col("b"))))
+        & (F.col("x_root") != F.col("y_root")) & (F.col("x_gk") != F.col("y_gk")) & _fits("x_size", "y_size", per_cent) & _enough(F.least("x_k", "y_k"), "x_size", "y_size", per_cent)
         # The first shared shingle of a linked pair leaves room for all they share, on both sides.
         & (F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= _overlap("x_size", "y_size", per_cent))
-    ).drop("token", "x_pos", "y_pos", "x_root", "y_root", "x_k", "y_k").distinct()
+    ).drop("token", "level", "x_pos", "y_pos", "x_root", "y_root", "x_k", "y_k").distinct()
     fronts = groups.join(opened.select("gk").distinct(), "gk", "left_semi")
     pairs = pairs.join(fronts.select(F.col("gk").alias("x_gk"), F.col("prefix").alias("xp")), "x_gk").join(fronts.select(F.col("gk").alias("y_gk"), F.col("prefix").alias("yp")), "y_gk")
     more = pairs.where(_enough(F.size(F.array_intersect("xp", "yp")), "x_size", "y_size", per_cent)).select("a", "ra", "b", "rb").union(group_pairs(named, docs, words, per_cent))

@@ -126,7 +126,7 @@ def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFra
     count = known.agg(F.count("*"), F.sum((F.col("mark") == 1).cast("int"))).first()
     prior = min(0.5, max(0.01, (count[1] or 0) / max(1, count[0])))
     positive = pick(known.where("mark = 1"), POSITIVES, 1)
-    other = pick(learn_from.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), UNLABELLED, 2)
+    other = pick(learn_from.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct(), UNLABELLED, 2)
     chosen = positive.select("doc_id", F.lit(1).alias("mark")).union(other.select("doc_id", F.lit(0).alias("mark")))
     model = fit(learn_from, chosen, lambda texts, mark: train(texts, mark, prior))
     return score(docs, model, apply)

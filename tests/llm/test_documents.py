@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from epitide.llm import bpe, fingerprint, mixing, ngram_join, suffix_dedup
 
@@ -154,6 +155,31 @@ def test_links_inside_a_group_without_its_first_class(spark, tmp_path, monkeypat
     assert sorted((tuple(r) for r in ngram_join.join_components(spark.read.parquet(str(tmp_path / "d"))).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("list_rows", [2, 4_096])
+def test_opened_lists_by_size_and_salt(spark, tmp_path, monkeypatch, list_rows):
+    """Texts of 5 to 40 words that are edited, cut and lengthened in chains: links between sizes whose ratio is just 0.8, equal
+    sizes, lists of many unlinked classes, on one task and dealt over several."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(ngram_join, "common_slots", lambda docs, words: np.zeros(1 << ngram_join.SLOT_BITS, np.uint8))
+    rng, rows = random.Random(21), []
+    for i in range(60):
+        text = [f"f{i % 25}_{k}" for k in range(rng.randint(5, 40))]
+        for j in range(8):
+            rows.append((10 * i + j, " ".join(text)))
+            at = rng.randrange(len(text))
+            text = rng.choice((text[: max(5, len(text) - 2)], text + [f"t{rng.randrange(4)}"], text[:at] + [f"e{rng.randrange(3)}"] + text[at + 1 :], text[rng.randint(0, 2) :]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    want, _ = brute_components(rows)
+    assert sorted((tuple(r) for r in ngram_join.join_components(spark.read.parquet(str(tmp_path / "d"))).collect()), key=str) == want
+
+
+def test_neighbouring_levels_hold_all_sizes_that_link(spark):
+    sizes = spark.range(1, 3_000).select(F.col("id").alias("n"))
+    least = F.ceil(F.col("n") * 80 / 100).alias("m")
+    levels = sizes.select("n", least).select(ngram_join._level("n", 80).alias("a"), ngram_join._level("m", 80).alias("b"))
+    assert {r["a"] - r["b"] for r in levels.distinct().collect()} <= {0, 1}
+
+
 def test_join_of_no_rows(empty):
     assert ngram_join.join_components(empty).collect() == [] and ngram_join.representatives(empty).collect() == []
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from epitide.llm import ann, html_text, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from epitide.llm import ann, html_text, learning, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, mark int"
 
@@ -59,6 +59,17 @@ def test_classifiers_without_rows_or_labels(labelled, module):
     assert module.scores(docs, docs, labels).columns == [*(c for c in docs.columns if c != "score"), "score"]
 
 
+def test_a_repeated_id_counts_once(labelled):
+    """The fitting task gets one row per chosen id and mark, the last text of a repeated id."""
+    _, docs, labels, _ = labelled
+    hot = docs.where("doc_id = 8").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4_999))).alias("i")).select("doc_id", F.concat(F.lit("ka "), F.lpad(F.col("i").cast("string"), 4, "0")).alias("text"))
+    many = docs.select("doc_id", "text").where("doc_id <> 8").union(hot)
+    chosen = labels.where("doc_id < 20").select("doc_id", F.lit(1).alias("mark")).distinct()
+    seen = learning.fit(many, chosen, lambda texts, mark: {"n": np.array([len(mark)]), "last": np.array([max(x for x in texts.to_pylist() if x.startswith("ka 4"))])})
+    assert seen["n"][0] == 20 and seen["last"][0] == "ka 4999"
+    assert toxicity.judged(many, labels).where("doc_id <> 8 AND held_out AND score >= 0.7").count() > 20
+
+
 def test_scores_depend_on_the_text_alone(labelled, spark):
     _, docs, labels, _ = labelled
     a = {r["doc_id"]: r["score"] for r in quality.judged(docs, labels).collect()}
