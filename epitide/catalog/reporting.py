@@ -45,7 +45,7 @@ def _(v):
     return quality.keyed_report(population(v), ["location_code", "year"], "location_code", "year")
 
 
-@Q.add("qlt03_weather_report", f"select count(*) as output_rows, count(distinct location_code) as country_count, min(date) as date_min, max(date) as date_max, cast(0 as bigint) as duplicate_count from ({WEATHER_SILVER_SQL})")
+@Q.add("qlt03_weather_report", f"select count(*) as output_rows, count(distinct location_code) as country_count, min(date) as date_min, max(date) as date_max, count(*) - count(distinct (location_code, date)) as duplicate_count from ({WEATHER_SILVER_SQL})")
 def _(v):
     return quality.keyed_report(weather(v), ["location_code", "date"], "location_code", "date")
 
@@ -112,9 +112,8 @@ def _(v):
 
 
 @Q.add("qlt09_serving_report", "select count(*) as total_records, min(date) as start_date, max(date) as end_date, count(distinct location_code) as region_count, count(distinct disease) as disease_count, count(case when neg then 1 end) as negative_correction_count, count(case when has_weather then 1 end) as weather_matched_count, count(*) - count(population) as population_unmatched_count, "
-    + ", ".join(f"0.0::double as missing_{c}" for c in REQUIRED_OBSERVATION)
-    + ", " + ", ".join(f"round(avg(case when {c} is null then 1.0 else 0.0 end), 6)::double as missing_{c}" for c in ("temperature_mean", "relative_humidity_mean", "population", "gdp_per_capita", "target_t_plus_7"))
-    + ", 0::bigint as duplicate_count from v_features")
+    + ", ".join(f"round(avg(case when {c} is null then 1.0 else 0.0 end), 6)::double as missing_{c}" for c in (*REQUIRED_OBSERVATION, "temperature_mean", "relative_humidity_mean", "population", "gdp_per_capita", "target_t_plus_7"))
+    + ", count(*) - count(distinct (location_code, disease, date)) as duplicate_count from v_features")
 def _(v):
     return quality.serving_report(v.gold)
 
