@@ -218,7 +218,7 @@ YEAR_NOW = 2020
 
 
 def indicator_rows(v):
-    """Events as indicator records: repeated ids, missing values, a false keyword hit."""
+    """Events as indicator records: repeated ids, missing values, a false keyword hit, broken JSON."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     code = F.expr("case event_type when 'click' then 'HIV_0000000026' when 'view' then 'MDG_0000000029' when 'purchase' then 'TB_1' when 'signup' then 'TB_c_newinc' else 'EMFLIMIT' end")
@@ -226,12 +226,13 @@ def indicator_rows(v):
     number = F.when(k >= 20, k.cast("string"))
     record_id = F.when(kind.isin("click", "purchase"), F.concat(F.lit('"Id":'), F.col("user_id") * 100 + F.dayofmonth("ts"), F.lit(","))).otherwise("")
     slot = F.when(kind == "error", '"Dim1Type":"SEX","Dim1":"SEX_MLE"').otherwise('"Dim1Type":null')
+    end = F.when((kind == "signup") & (k >= 20) & (k % 10 == 7), "").otherwise("}")
     columns = {
         "source": F.lit("GHO"), "endpoint": code, "indicator_code": code, "indicator_name": name,
         "location_code": F.concat(F.lit(" na"), F.char((F.col("user_id") % 25 + 97).cast("long"))), "location_name": F.lit(None).cast("string"), "location_type": F.lit("country"),
         "year": F.when(k == 13, "bad").otherwise((F.dayofmonth("ts") + 2000).cast("string")), "value": F.coalesce(number, F.lit("No data")), "numeric_value": F.when(k <= 60, number),
         "low": F.when(k > 50, (k - 1).cast("string")), "high": F.when(k > 50, (k + 1).cast("string")), "unit": F.lit(None).cast("string"), "sex": F.lit(None).cast("string"),
-        "age": F.lit(None).cast("string"), "publish_state": F.lit(None).cast("string"), "raw_json": F.concat(F.lit("{"), record_id, slot, F.lit("}")),
+        "age": F.lit(None).cast("string"), "publish_state": F.lit(None).cast("string"), "raw_json": F.concat(F.lit("{"), record_id, slot, end),
         "source_file": F.concat(F.lit("file_"), F.col("event_id") % 3),
         "topic": F.when(kind.isin("click", "view"), "hiv").when(kind == "error", "influenza").otherwise("tuberculosis"), "indicator": code,
     }

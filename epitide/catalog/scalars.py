@@ -318,9 +318,9 @@ def _(v):
     return serving.resolve_locations(rows.select("s_suppkey", request.alias("request")), v.catalog, "request").select("s_suppkey", "code")
 
 
-@Q.add("sca38_column_types", """select * from (values ('l_orderkey', 'integer'), ('l_partkey', 'integer'), ('l_suppkey', 'integer'), ('l_linenumber', 'integer'), ('l_quantity', 'integer'), ('l_extendedprice', 'float'),
-    ('l_discount', 'float'), ('l_tax', 'float'), ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'date')) t(column_name, inferred_type)
-    where (select count(*) from lineitem where l_quantity <> floor(l_quantity)) = 0""")
+@Q.add("sca38_column_types", """select column_name, case when filled = 0 then 'all_missing' when dates = filled then 'date' when dates > 0 or numbers < filled then 'string' when whole = filled then 'integer' else 'float' end as inferred_type
+    from (select column_name, count(v) as filled, count(case when column_name = 'l_shipdate' then try_cast(v as date) end) as dates, count(n) as numbers, count(case when n = floor(n) then 1 end) as whole
+    from (select column_name, v, try_cast(v as double) as n from (select columns(*)::varchar from (select * replace (strftime(l_shipdate, '%Y-%m-%d') as l_shipdate) from lineitem)) unpivot include nulls (v for column_name in (*))) group by 1)""")
 def _(v):
     items = v.table("lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     return aggregates.column_types(items.select(*(F.col(c).cast("string").alias(c) for c in items.columns)), ["l_shipdate"])

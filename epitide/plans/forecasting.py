@@ -65,13 +65,12 @@ def baseline_test_rows(features: DataFrame, by: str = "disease") -> DataFrame:
     bounds = scope.groupBy(by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"), F.count("*").alias("_n"))
     days = F.greatest(F.datediff("_hi", "_lo"), F.lit(1))
     cut = F.date_add("_lo", F.floor(days * F.lit(0.85)).cast("int"))
-    rows = scope.join(bounds, by).where((F.col("date") > cut) | (F.col("_hi") == F.col("_lo")))
-    # A group here is one disease on one date: at most one row per location.
+    spans = scope.join(bounds.where("_hi > _lo"), by).where(F.col("date") > cut)
+    # Only diseases with one date are ranked, at most one row per location; the branch is empty where there is none.
     last = Window.partitionBy(by, "date").orderBy(F.desc("location_code"))
     tail = F.greatest(F.ceil(F.col("_n") * F.lit(0.15)), F.lit(1))
-    return rows.withColumn("_rn", F.row_number().over(last)).where(
-        (F.col("_hi") > F.col("_lo")) | (F.col("_rn") <= tail)
-    ).drop("_lo", "_hi", "_n", "_rn")
+    single = scope.join(bounds.where("_hi = _lo"), by).withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= tail)
+    return spans.unionByName(single.drop("_rn")).drop("_lo", "_hi", "_n")
 
 
 def baseline_comparison(features: DataFrame, by: str = "disease") -> DataFrame:
