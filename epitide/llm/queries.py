@@ -31,9 +31,13 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages have no labels of their own: a page's outcome is the quality label with the page's id, 0 being bad."""
+    """Pages have no labels of their own: a page's outcome is the quality label with the page's id, 0 being bad.
+
+    The host's mean and bound are rounded to six places.
+    """
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filter.judged(table(spark, folder, "pages"), outcomes)
+    rows = url_filter.judged(table(spark, folder, "pages"), outcomes)
+    return rows.withColumns({"mean": F.round("mean", 6), "bound": F.round("bound", 6)})
 
 
 def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +48,46 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+OP7_SQL = r"""
+with parts as (
+    select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+    from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages)
+), outcomes as (
+    select doc_id as page_id, max(1 - quality) as bad from labels where doc_id is not null and quality is not null group by 1
+), counted as (
+    select host, string_split(host, '.') as l, count(bad) as n, coalesce(sum(bad), 0) as bad from parts left join outcomes using (page_id) group by 1
+), named as (
+    select *, case when len(l) < 3 then host when length(l[-1]) = 2 and l[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain from counted
+), hosts as (
+    select host, n, bad, domain, case when instr(domain, '.') > 0 then substr(domain, instr(domain, '.') + 1) else domain end as suffix from named
+), domains as (
+    select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by 1, 2
+), suffixes as (
+    select suffix, sum(n) as n, sum(bad) as bad from domains group by 1
+), units as (
+    select 'host' as level, n::double as n, bad::double as bad from hosts union all select 'domain', n, bad from domains union all select 'suffix', n, bad from suffixes
+), sums as (
+    select level, count(*) as k, sum(n) as n, sum(bad) / sum(n) as mean, sum(n * n) as nn, sum(bad * bad / n) as npp, sum(bad * (1 - bad / n)) as within from units where n > 0 group by 1
+), spread as (
+    select level, mean, k, n, greatest(0, npp - n * mean * mean) / nullif(k - 1, 0) as between_units, within / nullif(n - k, 0) as inside, (n - nn / n) / nullif(k - 1, 0) as usual from sums
+), strength as (
+    select level, mean, case when k < 2 or n <= k then 1.0 when between_units > inside then least(1000.0, greatest(1.0, (between_units + (usual - 1) * inside) / (between_units - inside) - 1)) else 1000.0 end as s from spread
+), prior as (
+    select coalesce(max(case when level = 'suffix' then mean end), 0) as overall, coalesce(max(case when level = 'suffix' then s end), 1000.0) as s_suffix, coalesce(max(case when level = 'domain' then s end), 1000.0) as s_domain,
+        coalesce(max(case when level = 'host' then s end), 1000.0) as s_host from strength
+), domain_means as (
+    select domain, (d.bad + s_domain * ((x.bad + s_suffix * overall) / (x.n + s_suffix))) / (d.n + s_domain) as dm from domains d join suffixes x using (suffix), prior
+), beta as (
+    select host, bad + s_host * dm as a, n - bad + s_host * (1 - dm) as b from hosts join domain_means using (domain), prior
+), known as (
+    select host, a / (a + b) as mean, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as bound from beta
+), ruled as (
+    select *, case when ('.' || host) like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/' when ('.' || host) like '%.example.com' and path like '/en/%' then 'example.com/en/'
+        when ('.' || host) like '%.net' and path like '/es/%' then 'net/es/' when ('.' || host) like '%.net' and path like '/fr/%' then 'net/fr/' when ('.' || host) like '%.com' and path like '/%' then 'com/' end as rule from parts join known using (host)
+)
+select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null or bound > 0.5 then 'block' else 'allow' end as verdict, round(mean, 6) as mean, round(bound, 6) as bound from ruled
+"""
+
 OP8_SQL = r"""
 with recursive words as (
   select doc_id, row_number() over () as r,

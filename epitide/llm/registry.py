@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op7_url_filter": q.OP7_SQL,
     "op8_ngram_join": q.OP8_SQL,
     "op11_lexical_search": q.OP11_SQL,
 }

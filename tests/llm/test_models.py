@@ -177,6 +177,30 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert got["new.bad.org"] > 0.6 > 0.3 > got["new.fine.org"] and got["h0.bad.org"] >= got["new.bad.org"]
 
 
+def test_url_filter_equals_its_sql(spark):
+    """Hosts of several levels with unlike outcomes, some of them blocked, against the query's SQL."""
+    import duckdb
+
+    from epitide.llm.queries import OP7_SQL
+
+    hosts = [f"{'abcde'[i % 5]}{i % 7}.{d}" for i in range(35) for d in ("bad.org", "fine.org", "mixed.co.uk", "spam.net", "x.com")] + ["localhost", "uk", "co.uk", "a.b.c.d.gov.uk"]
+    pages = [(i, f"https://{hosts[i * 13 % len(hosts)].upper()}/{'en' if i % 3 else 'es'}/{i}?q#f") for i in range(1500)]
+    pages += [(2, pages[2][1]), (None, "http://bad.org/"), (5000, None), (5001, "no address"), (5002, ""), (5003, "http://new.bad.org")]
+    labels = [(i, int(not (".BAD." in u or (".SPAM." in u and i % 9) or (".MIXED." in u and i % 2)))) for i, u in pages[:1400]] + [(None, 0), (7, None), (9, 0)]
+    rows = spark.createDataFrame(pages, "page_id long, url string").repartition(5)
+    outcomes = spark.createDataFrame(labels, "page_id long, quality long").select("page_id", (1 - F.col("quality")).alias("bad"))
+    got = [tuple(r) for r in url_filter.judged(rows, outcomes).collect()]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", pages)
+    con.execute("create table labels (doc_id bigint, quality bigint)")
+    con.executemany("insert into labels values (?, ?)", labels)
+    got, want = sorted(got, key=str), sorted(con.execute(OP7_SQL).fetchall(), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:7]] == pytest.approx([x for r in want for x in r[5:7]], abs=2e-6)
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"} and len({r[6] for r in got}) > 20
+
+
 # Page texts -----------------------------------------------------------------------------------------------------------
 
 LONG = "A sentence of the article, long enough to count, with some commas, and an end."
