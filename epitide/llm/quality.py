@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epitide.llm.common import Ranges, held_out, lower, text_chunks, word_spans
-from epitide.llm.learning import Adam, fit, marks, pick, score, sigmoid
+from epitide.llm.learning import Adam, fit_features, marks, pick, score, sigmoid
 
 #: Bound of the training sample.
 SAMPLE = 8_000
@@ -70,12 +71,29 @@ def _sparse(slot_row, slot, share, stats, mean, scale):
     return row, np.r_[slot, np.tile(SLOTS + np.arange(STATISTICS), n)], np.r_[share, dense.ravel()]
 
 
-def train(texts: pa.Array, mark: np.ndarray) -> dict[str, np.ndarray]:
+def extract(texts: pa.Array) -> list[pa.Array]:
+    """Slots, shares and statistics of each text: at most SLOTS pairs and STATISTICS numbers, however long it is."""
+    parts = [_chunk(data, at) for _, data, at in text_chunks(texts)]
+    width = np.concatenate([np.zeros(1, int), *(np.bincount(p[0], minlength=len(p[3])) for p in parts)])
+    ends = pa.array(np.cumsum(width), pa.int32())
+    slot, share, stats = (np.concatenate([np.zeros(0, kind), *(p[i].ravel() for p in parts)]) for i, kind in ((1, int), (2, float), (3, float)))
+    return [
+        pa.ListArray.from_arrays(ends, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(share)),
+        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * STATISTICS, pa.int32()), pa.array(stats)),
+    ]
+
+
+#: The columns of `extract`.
+LAYOUT = "slot array<int>, share array<double>, stats array<double>"
+
+
+def train(features: pa.Table, mark: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights, vectors and scaling from the columns of `extract`, one row for each mark."""
+    slot, share, stats = (pc.list_flatten(features[c]).to_numpy() for c in ("slot", "share", "stats"))
+    stats, slot_row = stats.reshape(-1, STATISTICS), np.repeat(np.arange(len(mark)), pc.list_value_length(features["slot"]).to_numpy())
     good = float((mark == 1).mean()) if len(mark) else 0.5
     w, v = np.zeros(SLOTS + STATISTICS), np.random.default_rng(7).normal(0, 0.02, (SLOTS + STATISTICS, RANK))
     w0 = np.array([np.log((good + 1e-3) / (1 - good + 1e-3))])
-    parts = [(first, *_chunk(data, at)) for first, data, at in text_chunks(texts)]
-    stats = np.concatenate([p[4] for p in parts]) if parts else np.zeros((0, STATISTICS))
     mean = stats.mean(0) if len(stats) else np.zeros(STATISTICS)
     scale = stats.std(0) + 1e-6 if len(stats) else np.ones(STATISTICS)
     model = {"w0": w0, "w": w, "v": v, "mean": mean, "scale": scale}
@@ -83,7 +101,7 @@ def train(texts: pa.Array, mark: np.ndarray) -> dict[str, np.ndarray]:
         v[:] = 0
         w0[:] = 60 * np.sign(good - 0.5)
         return model
-    row, col, x = _sparse(np.concatenate([p[1] + p[0] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), stats, mean, scale)
+    row, col, x = _sparse(slot_row, slot, share, stats, mean, scale)
     by = np.argsort(row, kind="stable")
     row, col, x = row[by], col[by], x[by]
     edge = np.searchsorted(row, np.arange(len(mark) + 1))
@@ -114,7 +132,7 @@ def apply(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
 
 def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFrame:
     """Every column of `docs`, and score. Learns from `learn_from` (doc_id, text) and labels."""
-    return score(docs, fit(learn_from, pick(marks(labels, "quality"), SAMPLE, 3), train), apply)
+    return score(docs, fit_features(learn_from, pick(marks(labels, "quality"), SAMPLE, 3), extract, LAYOUT, train), apply)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

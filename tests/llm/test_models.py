@@ -70,6 +70,15 @@ def test_a_repeated_id_counts_once(labelled):
     assert toxicity.judged(many, labels).where("doc_id <> 8 AND held_out AND score >= 0.7").count() > 20
 
 
+def test_features_of_long_and_odd_texts_are_bounded():
+    texts = pa.array(["", None, " ".join(f"w{i}" for i in range(200_000)), "Ab ab  c", "\n"])
+    slot, share, stats = (c.to_pylist() for c in quality.extract(texts))
+    assert [len(x) for x in stats] == [quality.STATISTICS] * 5 and len(slot[2]) <= quality.SLOTS
+    assert slot[0] == slot[1] == slot[4] == [] and sum(share[2]) == pytest.approx(1) and sorted(share[3]) == pytest.approx([1 / 3, 2 / 3])
+    assert [c.to_pylist() for c in quality.extract(texts.slice(3, 1))] == [slot[3:4], share[3:4], stats[3:4]]
+    assert [len(c) for c in quality.extract(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_scores_depend_on_the_text_alone(labelled, spark):
     _, docs, labels, _ = labelled
     a = {r["doc_id"]: r["score"] for r in quality.judged(docs, labels).collect()}
@@ -98,7 +107,7 @@ def test_interactions_are_learnt():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(" ".join((["apple"] if a else ["pear"]) + (["north"] if b else ["south"])))
         mark.append(int(a != b))
-    model = quality.train(pa.array(texts), np.array(mark))
+    model = quality.train(pa.table(quality.extract(pa.array(texts)), names=["slot", "share", "stats"]), np.array(mark))
     assert ((quality.apply(pa.array(texts), model) >= 0.5) == np.array(mark)).mean() > 0.95
 
 
