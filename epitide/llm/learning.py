@@ -26,20 +26,20 @@ def pick(rows: DataFrame, limit: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(limit)
 
 
-def _chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, mark, text: the last text in byte order of each chosen row (doc_id, mark)."""
+def training_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, mark, text of the chosen rows (doc_id, mark), whose number the caller bounds. A repeated doc_id stands for
+    its last text in byte order; equal texts with equal marks are one row, with the smallest id."""
     chosen = materialise(chosen.select("doc_id", "mark"), "sample")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "mark").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "mark").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    return rows.groupBy("mark", "text").agg(F.min("doc_id").alias("doc_id"))
 
 
-def fit_features(docs: DataFrame, chosen: DataFrame, extract: Callable[[pa.Array], list[pa.Array]], layout: str, train: Callable[[pa.Table, np.ndarray], dict]) -> dict[str, np.ndarray]:
-    """What `train` returns for the features and marks of the chosen rows (doc_id, mark), whose number the caller bounds.
+def fit(texts: DataFrame, extract: Callable[[pa.Array], list[pa.Array]], layout: str, train: Callable[[pa.Table, np.ndarray], dict]) -> dict[str, np.ndarray]:
+    """What `train` returns for the features and marks of `training_texts`.
 
     `extract` turns texts into the columns named in `layout` (a schema) where Spark holds the texts, so the one task that
     fits reads features only: its input is bounded by rows times the size of a row of features, however long texts are.
-    A repeated doc_id stands for its last text in byte order; equal texts with equal marks count once, as the first id.
     """
-    texts = _chosen_texts(docs, chosen).groupBy("mark", "text").agg(F.min("doc_id").alias("doc_id"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     names = [f.split()[0] for f in layout.split(", ")]
 
@@ -62,24 +62,6 @@ def fit_features(docs: DataFrame, chosen: DataFrame, extract: Callable[[pa.Array
     return dict(np.load(io.BytesIO(got["model"]))) if got else train(empty, np.zeros(0, np.int32))
 
 
-def fit(docs: DataFrame, chosen: DataFrame, train: Callable[[list[str], np.ndarray], dict]) -> dict[str, np.ndarray]:
-    """What `train` returns for texts and marks of the chosen rows (doc_id, mark), whose number the caller bounds.
-    A repeated doc_id stands for its last text in byte order, so the one task that fits reads no more rows than were
-    chosen. Equal texts with equal marks count once."""
-    rows = _chosen_texts(docs, chosen).repartition(1).dropDuplicates(["mark", "text"])
-
-    def run(batches):
-        parts = list(batches)
-        whole = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("mark", "ascending"), ("text", "ascending")]) if parts else None
-        texts, mark = (whole["text"].combine_chunks(), whole["mark"].to_numpy()) if whole else (pa.array([], pa.string()), np.zeros(0, np.int32))
-        out = io.BytesIO()
-        np.savez(out, **train(texts, mark))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
-
-    got = rows.mapInArrow(tidy(run), "model binary").first()  # one row of fixed size; none without rows
-    return dict(np.load(io.BytesIO(got["model"]))) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
-
-
 def score(docs: DataFrame, model: dict[str, np.ndarray], apply: Callable[[pa.Array, dict], np.ndarray]) -> DataFrame:
     """Every column of `docs`, and score (double) by `apply` over its texts. A column named score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epitide.llm.common import Ranges, held_out, lower, text_chunks, word_spans
-from epitide.llm.learning import Adam, fit_features, marks, pick, score, sigmoid
+from epitide.llm.learning import Adam, fit, marks, pick, score, sigmoid, training_texts
 
 #: Bound of the training sample.
 SAMPLE = 8_000
@@ -132,7 +132,8 @@ def apply(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
 
 def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFrame:
     """Every column of `docs`, and score. Learns from `learn_from` (doc_id, text) and labels."""
-    return score(docs, fit_features(learn_from, pick(marks(labels, "quality"), SAMPLE, 3), extract, LAYOUT, train), apply)
+    texts = training_texts(learn_from, pick(marks(labels, "quality"), SAMPLE, 3))
+    return score(docs, fit(texts, extract, LAYOUT, train), apply)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import Ranges, held_out, lower, text_chunks, word_spans
-from epitide.llm.learning import Adam, fit, marks, pick, score, sigmoid
+from epitide.llm.common import Ranges, held_out, lower, text_chunks, tidy, word_spans
+from epitide.llm.learning import Adam, fit, marks, pick, score, sigmoid, training_texts
+from epitide.sources.scratch import materialise
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -56,44 +58,48 @@ def _parts(texts: pa.Array, table: np.ndarray | None = None) -> Iterator[tuple[n
         yield row[new] + first, h[new]
 
 
-def _presences(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _presences(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     parts = list(_parts(texts, table))
     return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _gain(pos: np.ndarray, un: np.ndarray, n_pos: int, n_un: int) -> np.ndarray:
-    """Log-likelihood ratio of a surplus in positives; 0 where there is none."""
-    rate = (pos + un) / (n_pos + n_un)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (pos * np.log(pos / (n_pos * rate)) + np.where(un > 0, un * np.log(un / (n_un * rate)), 0))
-    return np.where(pos > n_pos * rate, gain, 0)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, pos, un: how many positive and unlabelled texts of a batch hold a feature."""
+    for batch in batches:
+        mark = batch.column(batch.schema.names.index("mark")).to_numpy()
+        row, h = _presences(batch.column(batch.schema.names.index("text")))
+        kinds, which = np.unique(h, return_inverse=True)
+        pos = np.bincount(which, mark[row] == 1, len(kinds)).astype(np.int64)
+        un = np.bincount(which, mark[row] == 0, len(kinds)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(pos), pa.array(un)], names=["hash", "pos", "un"])
 
 
-def train(texts: pa.Array, mark: np.ndarray, prior: float) -> dict[str, np.ndarray]:
-    """Hashes, weights and bias. mark: 1 for a positive text, 0 for an unlabelled one."""
+def surplus_features(texts: DataFrame, n_pos: int, n_un: int) -> np.ndarray:
+    """Sorted hashes of the FEATURES features with the greatest surplus among positives above SURPLUS, ties to the smaller.
+
+    Counts are partial sums by batch, then by feature; at most FEATURES numbers reach the driver."""
+    counts = texts.mapInArrow(tidy(_count), "hash long, pos long, un long").groupBy("hash").agg(F.sum("pos").alias("pos"), F.sum("un").alias("un"))
+    rate = (F.col("pos") + F.col("un")) / (n_pos + n_un)
+    gain = 2 * (F.col("pos") * F.log(F.col("pos") / (n_pos * rate)) + F.when(F.col("un") > 0, F.col("un") * F.log(F.col("un") / (n_un * rate))).otherwise(0.0))
+    able = counts.where((F.col("pos") > 1) & (F.col("pos") > n_pos * rate)).withColumn("gain", gain).where(F.col("gain") > SURPLUS)
+    best = able.orderBy(F.desc("gain"), "hash").limit(FEATURES).select("hash").collect()
+    return np.sort(np.array([r["hash"] for r in best], np.int64).view(np.uint64))
+
+
+def extract(texts: pa.Array, hashes: np.ndarray) -> list[pa.Array]:
+    """Numbers of the features that each text holds, at most as many as there are hashes."""
+    row, col = _known(texts, hashes)
+    by = np.lexsort((col, row))
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))]
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(col[by], pa.int32()))]
+
+
+def train(features: pa.Table, mark: np.ndarray, size: int, prior: float) -> dict[str, np.ndarray]:
+    """Weights of `size` features and the bias. mark: 1 for a positive text, 0 for an unlabelled one."""
     n_pos, n_un = int((mark == 1).sum()), int((mark == 0).sum())
-    if not n_pos:
-        return {"hashes": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.array([-np.inf])}
-    slots = 1 << TABLE_BITS
-    in_pos, in_un = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-    for row, h in _parts(texts):  # counts by slot, of fixed size, tell which features need be held at all
-        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        toxic = mark[row] == 1
-        in_pos += np.bincount(slot[toxic], minlength=slots).astype(np.int32)
-        in_un += np.bincount(slot[~toxic], minlength=slots).astype(np.int32)
-    table = (in_pos >= 2) & (_gain(in_pos, in_un, n_pos, n_un) > SURPLUS / 2)
-    row, h = _presences(texts, table)
-    kinds, which = np.unique(h, return_inverse=True)
-    pos = np.bincount(which, mark[row] == 1, len(kinds))
-    un = np.bincount(which, mark[row] == 0, len(kinds))
-    gain = _gain(pos, un, n_pos, n_un)
-    able = np.flatnonzero(gain > SURPLUS)
-    able = np.sort(able[np.argsort(-gain[able], kind="stable")[:FEATURES]])
-    place = np.full(len(kinds), -1)
-    place[able] = np.arange(len(able))
-    use = place[which] >= 0
-    row, col = row[use], place[which][use]
-    w, b = np.zeros(len(able)), np.zeros(1)
+    row = np.repeat(np.arange(len(mark)), pc.list_value_length(features["col"]).to_numpy())
+    col = pc.list_flatten(features["col"]).to_numpy()
+    w, b = np.zeros(size), np.zeros(1)
     is_pos = (mark == 1).astype(float)
     to_pos, to_un = is_pos / n_pos, (1 - is_pos) / max(1, n_un)
     adam = Adam(w, b, rate=0.05)
@@ -105,19 +111,37 @@ def train(texts: pa.Array, mark: np.ndarray, prior: float) -> dict[str, np.ndarr
         g_neg = (to_un - prior * to_pos) * up
         g = prior * to_pos * (up - 1) + g_neg if negative >= 0 else -g_neg
         adam.step(np.bincount(col, g[row], len(w)) + 1e-4 * w, np.array([g.sum()]))
-    return {"hashes": kinds[able], "weights": w, "bias": b}
+    return {"weights": w, "bias": b}
 
 
-def apply(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
-    hashes = model["hashes"]
+def _known(texts: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each feature of the texts that is one of the sorted hashes."""
     if not len(hashes):
-        return np.full(len(texts), float(sigmoid(model["bias"])[0]) if np.isfinite(model["bias"][0]) else 0.0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
     row, h = _presences(texts, table)
     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
     hit = hashes[at] == h
-    return sigmoid(np.bincount(row[hit], model["weights"][at[hit]], len(texts)) + model["bias"][0])
+    return row[hit], at[hit]
+
+
+def apply(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
+    if not np.isfinite(model["bias"][0]):
+        return np.zeros(len(texts))
+    row, col = _known(texts, model["hashes"])
+    return sigmoid(np.bincount(row, model["weights"][col], len(texts)) + model["bias"][0])
+
+
+def learned(learn_from: DataFrame, chosen: DataFrame, prior: float) -> dict[str, np.ndarray]:
+    """Hashes, weights and bias from the chosen rows (doc_id, mark); their texts are written once and never leave Spark."""
+    texts = materialise(training_texts(learn_from, chosen), "training-texts")
+    n_pos, n_un = texts.agg(F.count_if(F.col("mark") == 1), F.count_if(F.col("mark") == 0)).first()
+    if not n_pos:
+        return {"hashes": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.array([-np.inf])}
+    hashes = surplus_features(texts, n_pos, n_un)
+    size = len(hashes)
+    return {"hashes": hashes, **fit(texts, lambda part: extract(part, hashes), "col array<int>", lambda features, mark: train(features, mark, size, prior))}
 
 
 def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,8 +152,7 @@ def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFra
     positive = pick(known.where("mark = 1"), POSITIVES, 1)
     other = pick(learn_from.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct(), UNLABELLED, 2)
     chosen = positive.select("doc_id", F.lit(1).alias("mark")).union(other.select("doc_id", F.lit(0).alias("mark")))
-    model = fit(learn_from, chosen, lambda texts, mark: train(texts, mark, prior))
-    return score(docs, model, apply)
+    return score(docs, learned(learn_from, chosen, prior), apply)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -60,13 +60,13 @@ def test_classifiers_without_rows_or_labels(labelled, module):
 
 
 def test_a_repeated_id_counts_once(labelled):
-    """The fitting task gets one row per chosen id and mark, the last text of a repeated id."""
+    """There is one training text per chosen id and mark, the last one of a repeated id."""
     _, docs, labels, _ = labelled
     hot = docs.where("doc_id = 8").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4_999))).alias("i")).select("doc_id", F.concat(F.lit("ka "), F.lpad(F.col("i").cast("string"), 4, "0")).alias("text"))
     many = docs.select("doc_id", "text").where("doc_id <> 8").union(hot)
     chosen = labels.where("doc_id < 20").select("doc_id", F.lit(1).alias("mark")).distinct()
-    seen = learning.fit(many, chosen, lambda texts, mark: {"n": np.array([len(mark)]), "last": np.array([max(x for x in texts.to_pylist() if x.startswith("ka 4"))])})
-    assert seen["n"][0] == 20 and seen["last"][0] == "ka 4999"
+    seen = learning.training_texts(many, chosen).collect()
+    assert len(seen) == 20 and {r["doc_id"]: r["text"] for r in seen}[8] == "ka 4999"
     assert toxicity.judged(many, labels).where("doc_id <> 8 AND held_out AND score >= 0.7").count() > 20
 
 
@@ -79,6 +79,27 @@ def test_features_of_long_and_odd_texts_are_bounded():
     assert [len(c) for c in quality.extract(pa.array([], pa.string()))] == [0, 0, 0]
 
 
+def test_features_with_a_surplus_are_those_of_all_counts(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, int(i < 60), " ".join(rng.choices(["evil", "EVILS", "mean", "calm", "fine"], [3, 2, 2, 1, 1] if i < 60 else [0, 0, 1, 3, 3], k=6))) for i in range(200)] + [(500, 1, ""), (501, 0, "evil")]
+    texts = spark.createDataFrame(rows, "doc_id long, mark int, text string").repartition(5)
+    row, h = toxicity._presences(pa.array([r[2] for r in rows]))
+    mark, want = np.array([r[1] for r in rows]), {}
+    for one in np.unique(h):
+        pos, un = (int((mark[row[h == one]] == k).sum()) for k in (1, 0))
+        rate = (pos + un) / len(rows)
+        if pos > 1 and pos > mark.sum() * rate:
+            want[one] = 2 * (pos * np.log(pos / (mark.sum() * rate)) + (un * np.log(un / ((mark == 0).sum() * rate)) if un else 0))
+    want = sorted((-gain, np.uint64(one).astype(np.int64), one) for one, gain in want.items() if gain > toxicity.SURPLUS)
+    assert toxicity.surplus_features(texts, 61, 141).tolist() == sorted(x[2] for x in want) and len(want) > 4
+    monkeypatch.setattr(toxicity, "FEATURES", 3)
+    hashes = toxicity.surplus_features(texts, 61, 141)
+    assert hashes.tolist() == sorted(x[2] for x in want[:3])
+    cols = toxicity.extract(pa.array([None, "calm", "Evil evil mean", ""]), hashes)[0].to_pylist()
+    assert cols[0] == cols[1] == cols[3] == [] and 0 < len(cols[2]) <= 3
+    assert toxicity.surplus_features(texts.where("mark = 1"), 61, 0).tolist() == []
+
+
 def test_scores_depend_on_the_text_alone(labelled, spark):
     _, docs, labels, _ = labelled
     a = {r["doc_id"]: r["score"] for r in quality.judged(docs, labels).collect()}
