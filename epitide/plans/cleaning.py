@@ -260,13 +260,14 @@ def hourly_weather(
     })
 
 
-def report_pages(pages: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Report page index: newest download per url, period, category, numbers, attachment completeness.
+def report_pages(pages: DataFrame, inventory: DataFrame, key: str = "page_url") -> DataFrame:
+    """Report page index: newest download per page, period, category, numbers, attachment completeness.
 
-    `inventory` lists the files present, one `path` per row, with forward slashes.
+    `key` tells pages apart: by url, or by the stored file where several pages have one url. Records without it are
+    left out. `inventory` lists the files present, one `path` per row, with forward slashes.
     """
     latest = windows.keep_latest(
-        pages.where("page_url IS NOT NULL"), ["page_url"],
+        pages.where(F.col(key).isNotNull()), [key],
         [text.parse_timestamp("downloaded_at").desc_nulls_last(), F.col("content_hash").desc()],
     )
     title = F.coalesce(text.blank_to_null("anchor_title"), text.blank_to_null("title"), F.lit(""))
@@ -274,7 +275,7 @@ def report_pages(pages: DataFrame, inventory: DataFrame) -> DataFrame:
     week_year = text.extract_field(body, schema.REPORT_WEEK_PATTERN, "int", 1)
     month_year = text.extract_field(title, schema.REPORT_MONTH_PATTERN, "int", 1)
     rows = latest.select(
-        "page_url",
+        F.col(key).alias("_page"), "page_url",
         title.alias("report_title"),
         text.classify(title, schema.REPORT_CATEGORIES, schema.REPORT_CATEGORY_DEFAULT).alias("report_category"),
         text.page_role("page_url").alias("record_role"),
@@ -289,11 +290,11 @@ def report_pages(pages: DataFrame, inventory: DataFrame) -> DataFrame:
         F.transform("local_attachment_paths", lambda p: F.replace(p, F.lit("\\"), F.lit("/"))).alias("_paths"),
         F.replace(F.col("local_html_path"), F.lit("\\"), F.lit("/")).alias("_html"),
     )
-    files = joins.listed_files_present(rows, "page_url", "_paths", inventory, "path").select(
-        "page_url", F.col("listed_count").alias("local_attachment_count"), F.col("existing_count").alias("existing_attachment_count"),
+    files = joins.listed_files_present(rows, "_page", "_paths", inventory, "path").select(
+        "_page", F.col("listed_count").alias("local_attachment_count"), F.col("existing_count").alias("existing_attachment_count"),
     )
     present = inventory.select(F.col("path").alias("_html")).distinct().withColumn("_there", F.lit(True))
-    out = rows.join(files, "page_url", "left").join(present, "_html", "left")
+    out = rows.join(files, "_page", "left").join(present, "_html", "left")
     influenza = F.col("report_category") == "Influenza surveillance"
     return out.withColumns({
         "disease": F.when(influenza, "Influenza"),
@@ -302,7 +303,7 @@ def report_pages(pages: DataFrame, inventory: DataFrame) -> DataFrame:
         & (F.col("local_attachment_count") == F.col("attachment_url_count")),
         "local_html_exists": F.coalesce("_there", F.lit(False)),
         "numeric_extraction_status": F.when(influenza, "summary_text_only").otherwise("metadata_only"),
-    }).drop("_paths", "_html", "_there")
+    }).drop("_page", "_paths", "_html", "_there")
 
 
 def indicator_catalog(raw: DataFrame, locations: DataFrame, current_year: int) -> DataFrame:

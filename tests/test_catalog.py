@@ -105,3 +105,13 @@ def test_gradient_boosting_beats_nothing_but_runs(spark, tables):
     metrics = {r["model"]: r for r in forecasting.evaluate(scored, {"gbt": "prediction_gbt", "moving_average": "rolling_mean_7"}, "moving_average").collect()}
     assert metrics["moving_average"]["beats_baseline"] is False and metrics["gbt"]["rows"] == scored.count()
     assert scored.where("prediction_gbt < 0").count() == 0
+
+
+def test_pages_with_one_url_or_none_are_all_reported(spark, tmp_path):
+    spark.sql("select id as page_id, case when id = 7 then null else concat('https://a.example.com/en/', id % 3, if(id % 4 = 0, '/', '')) end as url, '' as html from range(12)").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = QUERIES["pip10_report_pages"](spark, str(tmp_path))
+    result = con.execute(ORACLES["pip10_report_pages"])
+    want = canonical(result.fetchall(), [c[0] for c in result.description])
+    assert len(want) == 12 and canonical([tuple(r) for r in df.collect()], df.columns) == want
