@@ -38,6 +38,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV).csv(path)
 
 
+def append_csv_folders(df: DataFrame, path: str, folder: str, folders: int) -> None:
+    """Append CSV, one folder for each value of a column with up to about `folders` values.
+
+    Every task keeps a file open in each folder, so rows are neither shuffled nor sorted by folder.
+    """
+    spark, setting = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, folders)
+    try:
+        df.write.mode("append").partitionBy(folder).options(**CSV).csv(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is not valid JSON; it means missing here."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

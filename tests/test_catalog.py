@@ -115,3 +115,22 @@ def test_pages_with_one_url_or_none_are_all_reported(spark, tmp_path):
     result = con.execute(ORACLES["pip10_report_pages"])
     want = canonical(result.fetchall(), [c[0] for c in result.description])
     assert len(want) == 12 and canonical([tuple(r) for r in df.collect()], df.columns) == want
+
+
+def test_catalog_files_are_written_by_many_tasks(spark, tables, tmp_path, monkeypatch):
+    """Rows of one file come from every task that read them; none is held, sorted and written by one task."""
+    from epitide.catalog import assembling
+    from epitide.catalog.views import Views
+    from epitide.sources import scratch
+
+    folder, setting = tmp_path / "in", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.read.parquet(f"{tables}/events.parquet").repartition(4).write.parquet(str(folder / "events.parquet"))
+    for t in ("nation", "region", "customer", "orders", "supplier", "lineitem"):
+        (folder / f"{t}.parquet").symlink_to(f"{tables}/{t}.parquet")
+    numbers = iter(range(100))
+    monkeypatch.setattr(scratch, "shared_dir", lambda s, name: f"{tmp_path}/{name}-{next(numbers)}")
+    assert assembling.catalog(Views(spark, str(folder))).count() > 0
+    folders = list(tmp_path.glob("indicator-files-*/file=*"))
+    assert len(folders) == 18 and min(len(list(f.glob("*.csv"))) for f in folders) > 1
+    assert spark.conf.get(setting) == before
