@@ -345,7 +345,7 @@ def indicator_catalog(raw: DataFrame, locations: DataFrame, current_year: int) -
     ]))
     rows = rows.withColumns({
         "_key": records.record_key("indicator_code", "who_record_id", schema.DEDUP_COLUMNS),
-        "_signature": F.sha2(records.joined(schema.SIGNATURE_COLUMNS), 256),
+        "_signature": F.unhex(F.sha2(records.joined(schema.SIGNATURE_COLUMNS), 256)),
     })
     kept = [c for c in rows.columns if c not in ("_key", "_signature", "_selected", "topic", "indicator")]
     out = aggregates.latest_with_provenance(rows, "_key", "source_file", "collector_topic", "_signature", [

@@ -140,7 +140,7 @@ def read_latest(spark: SparkSession, root: str, pattern: str, layout: T.StructTy
     table = spark.createDataFrame(
         [(re.sub("^file:/+", "/", p), r["file_name"], r["topic"], r["indicator"]) for p, r in chosen.items()], "_file string, file_name string, topic string, indicator string"
     )
-    return rows.join(table, "_file").drop("_file")
+    return rows.join(F.broadcast(table), "_file").drop("_file")
 
 
 def read_json_lines(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:

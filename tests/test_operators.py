@@ -397,3 +397,22 @@ def test_winner_is_fetched_late_and_whole(spark):
     got = {r["k"]: r for r in aggregates.latest_with_provenance(df, "k", "f", "t", "s", [F.col("at"), F.col("v")], ["at", "v", "f"]).collect()}
     assert (got["k"]["at"], got["k"]["v"], got["k"]["duplicate_source_count"], got["k"]["duplicate_source_files"], got["k"]["duplicate_content_variant_count"]) == (4, 999, 1000, "f0 | f1 | f2", 2)
     assert (got["one"]["duplicate_source_count"], got["one"]["duplicate_source_files"], got["one"]["duplicate_collector_topics"], got["one"]["duplicate_content_conflict"]) == (3, "f9", "u", False)
+
+
+def test_provenance_fetches_whole_rows_by_number(spark):
+    """Whole rows meet one exchange, by their number, and no sort; all their first terms may be missing."""
+    df = spark.range(400).selectExpr("concat('k', id % 40) as k", "concat('f', id % 3) as f", "'t' as t", "concat('s', id % 7) as s", "cast(null as timestamp) as at", "cast(id as string) as payload")
+    out = aggregates.latest_with_provenance(df, "k", "f", "t", "s", [F.col("at"), F.col("f"), F.col("s")], ["f", "s", "payload"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [_row" in plan
+    under_sort = [line for line in plan.splitlines() if "payload" in line and ("Window" in line or "SortMergeJoin" in line or "Exchange" in line)]
+    assert not under_sort and "Exchange hashpartitioning(_row" in plan
+    got = {r["k"]: r for r in out.collect()}
+    want = {}
+    for i in range(400):
+        want.setdefault(f"k{i % 40}", []).append((f"f{i % 3}", f"s{i % 7}", str(i)))
+    assert len(got) == 40
+    for k, rows in want.items():
+        r = got[k]
+        assert (r["f"], r["s"]) == max(rows)[:2] and (r["f"], r["s"], r["payload"]) in rows and r["duplicate_source_count"] == 10
+        assert r["duplicate_source_files"] == " | ".join(sorted({f for f, _, _ in rows})) and r["duplicate_content_variant_count"] == len({s for _, s, _ in rows})
