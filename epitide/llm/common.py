@@ -20,7 +20,8 @@ from epitide.sources.scratch import materialise
 
 #: Fixed constants of the splitmix64 generator.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-CHUNK_BYTES = 1 << 19
+#: Bytes of text that are worked on at once: each takes about 100 bytes of arrays, in every worker of an executor.
+CHUNK_BYTES = 1 << 17
 MAX_LONG = (1 << 63) - 1
 
 

@@ -275,3 +275,20 @@ def test_long_windows_are_cut_and_whole():
     parts = pii.windows(t)
     assert all(sum(1 for _ in pii._TOKEN.finditer(t[a:b])) <= pii.WINDOW_TOKENS for a, b in parts)
     assert all(b <= c for (_, b), (c, _) in zip(parts, parts[1:])) and parts[-1][1] == len(t)
+
+
+def test_windows_of_many_texts_take_little_memory_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from epitide.llm import common, suffix_dedup
+
+    column = pa.array([" ".join(f"w{(i * 7919 + j * 104729) % 9973}" for j in range(400)) for i in range(800)])
+    common.powers(common.BASE, 1), common.powers(pow(common.BASE, -1, 1 << 64), 1)
+    tracemalloc.start()
+    for _, data, at in common.text_chunks(column):
+        suffix_dedup.contexts(data, at, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
