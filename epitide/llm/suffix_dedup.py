@@ -33,7 +33,8 @@ GRAM = 40
 POSITION = np.uint64((1 << 28) - 1)
 #: Contexts of one anchor that a shard sorts; anchors with more take step 4.
 ANCHOR_CONTEXTS = 2_000
-SHARD_CONTEXTS = 20_000
+#: Contexts of a shard, each of at most 160 bytes that take some 60 bytes of arrays apiece in the worker that sorts them.
+SHARD_CONTEXTS = 4_000
 #: Up to so many row numbers (8 bytes each) are broadcast to pick texts from the scan; beyond it texts are shuffled.
 BROADCAST_ROWS = 500_000
 

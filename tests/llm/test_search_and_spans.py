@@ -292,3 +292,18 @@ def test_windows_of_many_texts_take_little_memory_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6
+
+
+def test_a_shard_of_contexts_is_sorted_in_little_memory():
+    import tracemalloc
+
+    from epitide.llm import suffix_dedup
+
+    body = " ".join(f"w{(i * 7919) % 99991}" for i in range(150 * suffix_dedup.SHARD_CONTEXTS // 6)).encode()
+    parts = [body[i * 100 : i * 100 + 160] for i in range(suffix_dedup.SHARD_CONTEXTS)]
+    assert all(len(p) == 160 for p in parts)
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(parts, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
