@@ -91,6 +91,18 @@ class Views:
             F.sum("amount").cast("double").alias("day_total"), F.count("*").alias("n")
         )
 
+    @cached_property
+    def orders_by_day(self) -> DataFrame:
+        """Orders per location, day and status, from which the daily, weekly and annual observations are added up.
+
+        Kept as a silver table: orders are read and located once, and it is bounded by the calendar.
+        """
+        def write(path):
+            rows = self.orders_located.groupBy("location_code", "date", "o_orderstatus")
+            sinks.write_parquet(rows.agg(F.sum("amount").alias("amount"), F.count("*").alias("n")), path)
+
+        return self.spark.read.parquet(self.kept("orders_by_day", ("orders", "customer"), write))
+
     @cached_property
     def cumulative(self) -> DataFrame:
         """Running total per location, as cumulative case reports publish it."""
@@ -144,7 +156,13 @@ class Views:
 
     @cached_property
     def weather(self) -> DataFrame:
-        """Line items per supplier location and ship date, as daily weather."""
+        """Line items per supplier location and ship date, as daily weather.
+
+        Kept as a silver table: it is rolled up to several frequencies, each of which would read the line items again.
+        """
+        return self.spark.read.parquet(self.kept("weather", ("lineitem", "supplier"), lambda path: sinks.write_parquet(self.daily_weather(), path)))
+
+    def daily_weather(self) -> DataFrame:
         suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
         items = self.table("lineitem").select(
             "l_suppkey", F.to_date("l_shipdate").alias("date"), "l_quantity",
@@ -183,9 +201,9 @@ class Views:
 
     def yearly_totals(self) -> DataFrame:
         return (
-            self.orders_located.where(F.year("date") % 2 == 0)
+            self.orders_by_day.where(F.year("date") % 2 == 0)
             .groupBy("location_code", F.year("date").alias("year"))
-            .agg(F.sum("amount").cast("double").alias("population"), F.count("*").cast("double").alias("gdp_per_capita"))
+            .agg(F.sum("amount").cast("double").alias("population"), F.sum("n").cast("double").alias("gdp_per_capita"))
         )
 
     @cached_property
@@ -216,8 +234,11 @@ class Views:
 
     @cached_property
     def daily_obs(self) -> DataFrame:
+        totals = self.orders_by_day.groupBy("location_code", "date").agg(
+            F.sum("amount").cast("double").alias("day_total"), F.sum("n").alias("n")
+        )
         return cleaning.observation(
-            self.totals_daily, location=F.lit(None), disease="COVID-19", frequency="daily", period_days=1, metric="new_cases",
+            totals, location=F.lit(None), disease="COVID-19", frequency="daily", period_days=1, metric="new_cases",
             metric_label="daily", value=F.col("day_total"), new_deaths=F.col("n"), year=F.year("date"), source="orders",
             quality_flag="ok", is_negative_case_correction=F.col("n") > 3, total_cases=F.col("day_total"),
             total_deaths=F.col("n") * 2,
@@ -231,8 +252,8 @@ class Views:
         )
 
     def rolled(self, disease: str, frequency: str, metric: str, period: Column, where: str) -> DataFrame:
-        rows = self.orders_located.where(where).groupBy("location_code", period.alias("date")).agg(
-            F.count("*").cast("double").alias("value"), F.sum("amount").cast("double").alias("total_cases")
+        rows = self.orders_by_day.where(where).groupBy("location_code", period.alias("date")).agg(
+            F.sum("n").cast("double").alias("value"), F.sum("amount").cast("double").alias("total_cases")
         )
         return cleaning.observation(
             rows, location=F.lit(None), disease=disease, frequency=frequency, period_days=7 if frequency == "weekly" else 365,

@@ -134,3 +134,12 @@ def test_catalog_files_are_written_by_many_tasks(spark, tables, tmp_path, monkey
     folders = list(tmp_path.glob("indicator-files-*/file=*"))
     assert len(folders) == 18 and min(len(list(f.glob("*.csv"))) for f in folders) > 1
     assert spark.conf.get(setting) == before
+
+
+def test_features_read_orders_and_line_items_once(spark, tables):
+    """Every frequency starts from the kept daily tables; the plan of the features reads no raw orders or line items."""
+    from epitide.catalog.views import Views
+
+    read = Views(spark, tables).features.inputFiles()
+    assert any("/events.parquet" in f for f in read)
+    assert not any("/orders.parquet" in f or "/lineitem.parquet" in f for f in read)
