@@ -32,8 +32,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 100 bytes that start earlier; a character that lost a byte goes whole."""
     small_batches(spark)
-    rows = suffix_dedup.dedup(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
+    rows = suffix_dedup.dedup(docs.select(*COLUMNS), characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

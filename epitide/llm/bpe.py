@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by merge replay over a block of documents.
 
-A block is one Arrow batch. Its distinct pieces (matches of the split pattern) are laid out byte by byte in one chain;
-an inverted index maps the rank of every mergeable pair to the positions where it stands. The lowest rank is taken
+A block is a run of whole rows of one Arrow batch, BLOCK_BYTES of text or one longer row. Its distinct pieces (matches
+of the split pattern) are laid out byte by byte in chains of at most CHAIN_BYTES or one longer piece; an inverted index maps the rank of every mergeable pair to the positions where it stands. The lowest rank is taken
 again and again: all its positions merge, left to right, and only the two neighbours of each merged pair enter the
 index anew. A piece that is itself in the vocabulary is one token at once, as in tiktoken.
 
-The index spans a block and not the corpus: the ids of a piece don't depend on other pieces, so the result is the same,
+The index spans a chain and not the corpus: the ids of a piece don't depend on other pieces, so the result is the same,
 no text is shuffled, and a lost task repeats its own block only.
 
 Null and empty texts give no ids. Ids are little-endian unsigned 32-bit integers in one binary value.
@@ -22,10 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import tidy
+from epitide.llm.common import text_chunks, tidy
 
 #: Pieces whose ids a worker keeps between blocks; beyond it the oldest half is replayed anew when met again.
 KEPT_PIECES = 200_000
+#: Pairs of tokens whose rank a worker keeps between chains, some 150 bytes each; beyond it all are looked up anew.
+KEPT_PAIRS = 200_000
+#: Bytes of text that are split into pieces at once (some 15 bytes of memory each), and bytes of distinct pieces that are
+#: replayed at once (some 200 each).
+BLOCK_BYTES, CHAIN_BYTES = 1 << 18, 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +56,8 @@ class Vocabulary:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word; words must not be empty."""
+        if len(self.pair) > KEPT_PAIRS:
+            self.pair.clear()
         byte, merged = self.byte, self.merged
         tok: list[int] = []
         starts = []
@@ -150,8 +157,13 @@ class Vocabulary:
                 long.append((x, b))
             else:
                 kept[x] = r.to_bytes(4, "little")
-        for (x, _), ids in zip(long, self.replay([b for _, b in long])):
-            kept[x] = np.array(ids, "<u4").tobytes()
+        size = np.cumsum([len(b) for _, b in long])
+        first = 0
+        while first < len(long):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + CHAIN_BYTES, "right")))
+            for (x, _), ids in zip(long[first:last], self.replay([b for _, b in long[first:last]])):
+                kept[x] = np.array(ids, "<u4").tobytes()
+            first = last
         get = kept.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -169,9 +181,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str =
         for batch in batches:
             names = batch.schema.names
             col = batch.column(names.index(column)).cast(pa.large_string())
-            for first in range(0, max(1, batch.num_rows), 500):  # bounds the piece lists
-                part = batch.slice(first, 500)
-                texts = [t or "" for t in col.slice(first, 500).to_pylist()]
+            for first, _, at in text_chunks(col, BLOCK_BYTES):
+                part = batch.slice(first, len(at) - 1)
+                texts = [t or "" for t in col.slice(first, len(at) - 1).to_pylist()]
                 if len(kept) > KEPT_PIECES:
                     for x in list(kept)[: len(kept) // 2]:
                         del kept[x]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -89,10 +90,10 @@ def _mixed(docs: DataFrame) -> DataFrame:
     words = np.array([n for _, n, _ in sources], np.int64)
     wanted = np.array([goal[s] for s, _ in named])
     seats = sainte_lague(wanted, round(wanted.sum() / block), -(-LIMIT * words // block)) if sources else []
-    plan = docs.sparkSession.createDataFrame(
-        [(k, int(n), float(t), int(q), min(MOST_SHARDS, -(-d // SHARD_DOCS))) for (k, n, d), t, q in zip(sources, wanted if sources else [], seats)],
-        "key string, source_size long, target double, seats long, shards long",
-    )
+    rows = [(k, int(n), float(t), int(q), min(MOST_SHARDS, -(-d // SHARD_DOCS))) for (k, n, d), t, q in zip(sources, wanted if sources else [], seats)]
+    kinds = {"key": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "seats": pa.int64(), "shards": pa.int64()}
+    # From Arrow, not from a list: Spark would start Python workers of a second kind for that and keep them beside the others.
+    plan = docs.sparkSession.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())}))
     plan = F.broadcast(plan) if len(sources) <= MOST_BROADCAST else plan
     dealt = sized.join(plan, "key").withColumn("shard", F.pmod("place", "shards"))
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epitide.llm.common import MAX_LONG, Ranges, mix, numbered, text_chunks, tidy
@@ -248,15 +248,19 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
     return copies.union(sorted_out).union(aggregated)
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
-    """All columns of `docs`, and kept (binary: the remaining bytes), n_removed, n_spans (maximal removed runs)."""
+def dedup(docs: DataFrame, length: int = 100, characters: bool = False) -> DataFrame:
+    """All columns of `docs`, and kept (binary: the remaining bytes), n_removed, n_spans (maximal removed runs).
+
+    With `characters`, kept is text, without the characters that lost a byte. It is made where texts are cut: a second
+    Python step in the same task would take a second worker."""
     own = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
+    kind, arrow = ("string", pa.string()) if characters else ("binary", pa.binary())
     placed = numbered(docs)
     rows = placed.select(F.struct(*own).alias("doc"), "_row", F.coalesce("text", F.lit("")).alias("text"))
     ids = placed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), "_row", F.coalesce("text", F.lit("")).alias("text"))
     ranges, keys = _pick(covered(ids, length).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     touched = rows.join(keys, "_row", "left_semi").join(ranges, "_row").select("doc", "text", F.sort_array("ranges").alias("ranges"))
-    schema = touched.select("doc", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema
+    schema = touched.select("doc", F.lit(None).cast(kind).alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema
 
     def cut(batches):
         for batch in batches:
@@ -270,17 +274,9 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
                 for a, b in zip(lo[head].tolist(), hi[np.r_[head[1:], len(lo)] - 1].tolist()):
                     parts.append(raw[at:a])
                     gone, n, at = gone + b - a, n + 1, b
-                kept.append(b"".join([*parts, raw[at:]])), removed.append(gone), spans.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc", "kept", "n_removed", "n_spans"])
+                left = b"".join([*parts, raw[at:]])
+                kept.append(left.decode("utf-8", "ignore") if characters else left), removed.append(gone), spans.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, arrow), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc", "kept", "n_removed", "n_spans"])
 
-    whole = rows.join(keys, "_row", "left_anti").select("doc", F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    whole = rows.join(keys, "_row", "left_anti").select("doc", F.col("text").cast(kind).alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return touched.mapInArrow(tidy(cut), schema).union(whole).select("doc.*", "kept", "n_removed", "n_spans")
-
-
-def whole_characters(kept: Column) -> Column:
-    """The text of kept bytes without characters that lost a byte."""
-    @F.pandas_udf("string")
-    def read(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return read(kept)

@@ -75,6 +75,40 @@ def test_merge_replay_follows_the_lowest_rank_of_each_word():
     assert bpe.Vocabulary(ranks).replay(texts) == [own.encode_ordinary(t.decode()) for t in texts]
 
 
+def test_bpe_of_many_different_pieces_takes_little_memory_at_once():
+    import tracemalloc
+
+    import regex
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(10_000))
+    vocabulary, splitter = bpe.Vocabulary(ranks), regex.compile(public_tokenizers.PATTERN)
+    vocabulary.encode_block([text[:100_000]], splitter, {})
+    tracemalloc.start()
+    ids = vocabulary.encode_block([text, "", text[:500]], splitter, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [own.encode_ordinary(t) for t in (text, "", text[:500])]
+    assert peak < 30e6
+
+
+def test_bpe_with_few_pairs_kept_and_small_blocks(docs, monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    want = sorted(map(str, bpe.digests(docs, ranks, public_tokenizers.PATTERN).collect()))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 10)
+    monkeypatch.setattr(bpe, "CHAIN_BYTES", 30)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 100)
+    assert sorted(map(str, bpe.digests(docs, ranks, public_tokenizers.PATTERN).collect())) == want
+    vocabulary = bpe.Vocabulary(ranks)
+    texts = [b"unbelievable", b"antidisestablishment", b"x" * 40, b"pneumonia" * 5]
+    for t in texts:
+        assert vocabulary.replay([t]) == [own._encode_single_piece(t)]
+        assert len(vocabulary.pair) < 200
+
+
 def test_bpe_of_no_rows(empty):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert bpe.digests(empty, ranks, public_tokenizers.PATTERN).collect() == []
@@ -337,5 +371,11 @@ def test_sainte_lague_by_single_seats():
         assert mixing.sainte_lague(sizes, seats, caps).tolist() == got.tolist()
 
 
+def test_mixture_starts_no_python_workers_of_another_kind(docs, capsys):
+    mixing.mixed(docs).explain()
+    plan = capsys.readouterr().out
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_mixture_of_no_rows(empty):
     assert mixing.mixed(empty).collect() == [] and mixing.mixture(empty).collect() == []

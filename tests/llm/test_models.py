@@ -307,6 +307,20 @@ def test_pipeline_stages(labelled, spark):
     assert corpus_pipeline.run(spark, root).count() == kept["encoding"]
 
 
+def test_cut_texts_are_read_in_the_worker_that_cuts(spark, tmp_path, capsys):
+    """A repeat that ends inside a character, and one Python step in each task of the stage."""
+    shared = "".join(chr(0xC0 + i) for i in range(60))
+    rows = [(0, "a" + shared + "x"), (1, "b" + shared[:-5] + "ü" + "y"), (2, None), (3, "\ufffd short")]
+    spark.createDataFrame([(i, t, "en", "s", 0, "x", 1) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.without_repeats(spark, docs, str(tmp_path))
+    # 100 and more bytes of b's text repeat, up to the first byte of its last two-byte character, which goes whole
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {0: rows[0][1], 1: "by", 2: None, 3: rows[3][1]}
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
 def test_attribute_values_are_no_names():
     assert html_text.main_text('<p title="a hidden gem">LOST?</p>') == "LOST?"
     page = '<p>Before <a href="/story?id=related">the related story LINK</a> after, and more, and more text.</p><img alt="role=navigation"><p>x, y, z?class=nav</p>'
