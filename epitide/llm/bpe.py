@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by merge replay over a block of documents.
 
 A block is a run of whole rows of one Arrow batch, BLOCK_BYTES of text or one longer row. Its distinct pieces (matches
-of the split pattern) are laid out byte by byte in chains of at most CHAIN_BYTES or one longer piece; an inverted index maps the rank of every mergeable pair to the positions where it stands. The lowest rank is taken
-again and again: all its positions merge, left to right, and only the two neighbours of each merged pair enter the
-index anew. A piece that is itself in the vocabulary is one token at once, as in tiktoken.
+of the split pattern) are laid out byte by byte in chains of at most CHAIN_BYTES or one longer piece; an inverted index
+maps the rank of every mergeable pair to the positions where it stands. The lowest rank is taken again and again, its
+positions merge, and only the two neighbours of each merged pair enter the index anew. Pieces of up to STEP_BYTES go
+through the index together: a step takes from it the first position, by rank, of each of them. In longer pieces, where
+steps would be many and each would pass over the whole index, the positions of one rank merge left to right. A piece
+that is itself in the vocabulary is one token at once, as in tiktoken.
 
 The index spans a chain and not the corpus: the ids of a piece don't depend on other pieces, so the result is the same,
 no text is shuffled, and a lost task repeats its own block only.
@@ -15,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ KEPT_PAIRS = 200_000
 #: Bytes of text that are split into pieces at once (some 15 bytes of memory each), and bytes of distinct pieces that are
 #: replayed at once (some 200 each).
 BLOCK_BYTES, CHAIN_BYTES = 1 << 18, 1 << 16
+#: Longest piece that is replayed together with others, in fewer steps than it has bytes.
+STEP_BYTES = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,6 +52,21 @@ class Vocabulary:
         self.token = {i: b for b, i in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pair: dict[int, int] = {}
+        self.wall = max(ranks.values()) + 1  # stands between pieces: in no pair
+        found = []
+        for b, rank in ranks.items():
+            for k in range(1, len(b)):
+                left = ranks.get(b[:k])
+                if left is not None and (right := ranks.get(b[k:])) is not None:
+                    found.append((left << 32 | right, rank))
+        found.append((self.wall << 32 | self.wall, -1))
+        self.pairs, self.pair_ranks = np.array(sorted(found), np.int64).T.copy()
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each merged pair, -1 if it has none."""
+        key = left << 32 | right
+        place = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[place] == key, self.pair_ranks[place], -1)
 
     def merged(self, left: int, right: int) -> int:
         """Rank of the merged pair, -1 if it has none."""
@@ -56,6 +78,51 @@ class Vocabulary:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word; words must not be empty."""
+        short = [w for w in words if len(w) <= STEP_BYTES]
+        if len(short) == len(words):
+            return self.replay_together(words)
+        at_once, by_rank = iter(self.replay_together(short)), iter(self.replay_by_rank([w for w in words if len(w) > STEP_BYTES]))
+        return [next(at_once if len(w) <= STEP_BYTES else by_rank) for w in words]
+
+    def replay_together(self, words: list[bytes]) -> list[list[int]]:
+        """Each step merges the leftmost pair of lowest rank of every word that has one."""
+        if not words:
+            return []
+        wall = self.wall
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1  # a wall behind each word
+        tok = np.array(self.byte, np.int64)[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)]
+        tok[ends] = wall
+        n = len(tok)
+        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=-1))
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, -1)  # of the pair that starts at a position
+        rank[:-1] = self.ranks_of(tok[:-1], tok[1:])
+        at = np.flatnonzero(rank >= 0)
+        index = np.sort(rank[at] << 32 | at)  # by rank: its positions
+        first = np.empty(len(words), np.int64)
+        while len(index):
+            at = index & 0xFFFFFFFF
+            of, order = word[at], np.arange(len(index))
+            first[of[::-1]] = order[::-1]  # the last value of a word stays
+            due = first[of] == order
+            i = at[due]
+            j, h = nxt[i], prv[i]
+            k = nxt[j]
+            tok[i], tok[j] = index[due] >> 32, -1
+            nxt[i], prv[k] = k, i
+            rank[h] = rank[i] = rank[j] = -1
+            index = index[rank[at] >= 0]
+            rank[i], rank[h] = self.ranks_of(tok[i], tok[k]), self.ranks_of(tok[h], tok[i])
+            new = np.concatenate([i, h])
+            new = new[rank[new] >= 0]
+            index = np.sort(np.concatenate([index, rank[new] << 32 | new]))
+        tok[ends] = -1
+        left = np.flatnonzero(tok >= 0)
+        ids, stops = tok[left].tolist(), np.searchsorted(left, ends).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def replay_by_rank(self, words: list[bytes]) -> list[list[int]]:
+        """Each step merges the positions of one rank in all words."""
         if len(self.pair) > KEPT_PAIRS:
             self.pair.clear()
         byte, merged = self.byte, self.merged
@@ -144,13 +211,10 @@ class Vocabulary:
 
     def encode_block(self, texts: list[str], pattern: regex.Pattern, kept: dict[str, bytes]) -> list[bytes]:
         pieces = [pattern.findall(t) for t in texts]
-        fresh: dict[str, None] = {}
-        for p in pieces:
-            for x in p:
-                if x not in kept:
-                    fresh[x] = None
         long = []
-        for x in fresh:
+        for x in dict.fromkeys(chain.from_iterable(pieces)):
+            if x in kept:
+                continue
             b = x.encode("utf-8", "surrogatepass")
             r = self.ranks.get(b)
             if r is None:
@@ -162,7 +226,7 @@ class Vocabulary:
         while first < len(long):
             last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + CHAIN_BYTES, "right")))
             for (x, _), ids in zip(long[first:last], self.replay([b for _, b in long[first:last]])):
-                kept[x] = np.array(ids, "<u4").tobytes()
+                kept[x] = pack(f"<{len(ids)}I", *ids)
             first = last
         get = kept.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
@@ -171,13 +235,13 @@ class Vocabulary:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Every row with its ids added as `into` and, if named, the bytes these ids decode to as `decoded`; columns of
     those names are replaced. Other columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))  # fixed size
     new = [into, decoded] if decoded else [into]
     others = [c for c in docs.columns if c not in new]
     schema = docs.select(*others, *(F.lit(None).cast("binary").alias(c) for c in new)).schema
 
     def run(batches):
-        vocabulary, splitter, kept = Vocabulary(shared.value), regex.compile(pattern), {}
+        vocabulary, splitter, kept = shared.value, regex.compile(pattern), {}
         for batch in batches:
             names = batch.schema.names
             col = batch.column(names.index(column)).cast(pa.large_string())
@@ -196,12 +260,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str =
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: str = "decoded") -> DataFrame:
     """Every row with the bytes of its ids added as `into`. Null ids give empty bytes."""
-    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     others = [c for c in rows.columns if c != into]
     schema = rows.select(*others, F.lit(None).cast("binary").alias(into)).schema
 
     def run(batches):
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = shared.value
         for batch in batches:
             names = batch.schema.names
             out = [vocabulary.decode(x) for x in batch.column(names.index(column)).to_pylist()]

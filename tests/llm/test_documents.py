@@ -109,6 +109,44 @@ def test_bpe_with_few_pairs_kept_and_small_blocks(docs, monkeypatch):
         assert len(vocabulary.pair) < 200
 
 
+def test_bpe_replays_short_pieces_together_in_few_steps():
+    import sys
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 20))).encode() for _ in range(2_000)]
+    vocabulary = bpe.Vocabulary(ranks)
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return count if frame.f_code.co_filename == bpe.__file__ else None
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        got = vocabulary.replay(words)
+    finally:
+        sys.settrace(before)
+    assert got == [own._encode_single_piece(w) for w in words]
+    assert lines < 10 * len(words)  # and not some lines for each byte and merge
+
+
+def test_merge_replay_of_short_and_long_words_keeps_their_order():
+    rng = random.Random(6)
+    for _ in range(20):
+        tokens = list({"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(30)})
+        ranks = {bytes([b]): b for b in range(256)} | dict(zip(tokens, rng.sample(range(256, 400), len(tokens))))
+        own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        sizes = [1, 2, 3, 9, bpe.STEP_BYTES - 1, bpe.STEP_BYTES, bpe.STEP_BYTES + 1, 90]
+        texts = ["".join(rng.choices(rng.choice(["a", "ab", "abc", "abc\0"]), k=rng.choice(sizes))).encode() for _ in range(50)]
+        texts = [t for t in texts if t not in ranks]
+        assert bpe.Vocabulary(ranks).replay(texts) == [own._encode_single_piece(t) for t in texts]
+        assert bpe.Vocabulary(ranks).replay([]) == []
+
+
 def test_bpe_of_no_rows(empty):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert bpe.digests(empty, ranks, public_tokenizers.PATTERN).collect() == []
